@@ -34,18 +34,37 @@ FUNCTION_WORDS = frozenset(
 _TAG = re.compile(r"<!--.*?-->|<[^<>\n]{1,200}>|&#?\w{1,10};", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)|\[\[[^\[\]|]*\||\{\{.*?\}\}|\\(?:cite|ref|label)\{[^{}]*\}|\\[A-Za-z]+\*?", re.S)
 _SENTENCE = re.compile(r".+?(?:[.!?…]+[\"'”’»)\]}*_`]*(?=\s|$)|$)", re.S)
-_ENDS = re.compile(r"[.!?…]+[\"'”’»)\]}*_`]*$")
+_CLOSERS = "\"'”’»)]}*_`"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ITEM = re.compile(r"\s*(?:[-*•+›·–—>]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\|)\s")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s|=+[^=]+=+\s*$|\\(?:section|chapter|subsection)\b|CHAPTER\b|\*{3}|~{3}|`{3})")
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:if|for|while|return|call|def|let|var)\b.*[:;\]]\s*$|\w\s?=\s?\w+[.(\[]")
-_TABLE = re.compile(r"\S(?:\s{3,}|\t+)\S.*\S(?:\s{3,}|\t+)\S|^\s*[^\s,;|]*(?:[,;|][^\s,;|]*){3,}\s*$|^(?:\s*\S*\d\S*){3,}\s*$")
+_CODE = re.compile(r"[;{}]\s*$|^\s*(?:if|for|while|return|call|def|let|var)\b[^\n]*[:;\]]\s*$|\w\s?=\s?\w+[.(\[]")
+_GAPS = re.compile(r"\S(?: {3,}|\t+)\S.*\S(?: {3,}|\t+)\S")
+_CELLS = re.compile(r"[^\s,;|]*(?:[,;|][^\s,;|]*){3,}\s*$")
+_DIGIT = re.compile(r"\d")
 _LOG = re.compile(r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 
 
+def ends(line: str) -> bool:
+    """Whether a stripped line ends with an end mark, quotes and brackets apart."""
+    return line.rstrip(_CLOSERS)[-1:] in (".", "!", "?", "…")
+
+
 def structural(line: str) -> bool:
     """A line that is never part of a sentence because of its form."""
-    return bool(_HEADING.match(line) or _LOG.match(line) or _CODE.search(line) or _TABLE.search(line))
+    if len(line) < 200 and len(_DIGIT.findall(line)) >= 6:
+        cells = line.split()
+        if 2 * sum(_DIGIT.search(c) is not None for c in cells) >= len(cells):
+            return True
+    if ("   " in line or "\t" in line) and _GAPS.search(line):
+        cells = line.lower().split()
+        if sum(c in FUNCTION_WORDS for c in cells) * 8 < len(cells):
+            return True
+    if " " not in line and _CELLS.match(line):
+        return True
+    if (line[-1:] in ";{}:] " or "=" in line) and _CODE.search(line):
+        return True
+    return bool(_HEADING.match(line) or _LOG.match(line))
 
 
 def is_sentence(stretch: str) -> bool:
@@ -76,7 +95,7 @@ def units(text: str) -> list[str]:
             out.append(line)
             continue
         held = f"{held}\n{bare}" if held else bare
-        if _ENDS.search(bare) or len(bare) < SHORT_LINE:
+        if ends(bare) or len(bare) < SHORT_LINE:
             out.append(held)
             held = ""
     if held:
@@ -93,7 +112,7 @@ def sentence_chars(text: str) -> int:
         plain = _LINK.sub(lambda m: " " * len(m.group()), _TAG.sub(lambda m: " " * len(m.group()), unit)) if any(c in unit for c in "<&[{\\") else unit
         for m in _SENTENCE.finditer(plain):
             stretch = m.group().strip()
-            if stretch and _ENDS.search(stretch) and is_sentence(stretch):
+            if stretch and ends(stretch) and is_sentence(stretch):
                 total += sum(map(len, unit[m.start() : m.end()].split()))
     return total
 
@@ -155,7 +174,7 @@ def measure(text: str, common: frozenset[str]) -> dict:
     lines = [s for line in text.split("\n") if (s := line.strip())]
     solid = sum(map(len, text.split()))
     letters = sum(map(len, _LETTERS.findall(text)))
-    digits = sum(c.isdigit() for c in text) if solid else 0
+    digits = len(_DIGIT.findall(text))
     n, k = max(1, len(text)), max(1, len(lines))
     m = {
         "n_chars": len(text),
@@ -166,7 +185,7 @@ def measure(text: str, common: frozenset[str]) -> dict:
         "digit_ratio": digits / max(1, solid),
         "entropy": entropy(text),
         "n_lines": len(lines),
-        "punctuated_line_share": sum(bool(_ENDS.search(s)) for s in lines) / k,
+        "punctuated_line_share": sum(map(ends, lines)) / k,
         "short_line_share": sum(len(s) < SHORT_LINE for s in lines) / k,
         "list_line_share": sum(bool(_ITEM.match(s)) for s in lines) / k,
         "common_word_share": sum(w in common for w in words) / max(1, len(words)),
