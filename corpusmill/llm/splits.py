@@ -2,7 +2,8 @@
 
 1. A passage is a window of words around an anchor; anchors are the positions whose shingle is the rarest (by the
    frequency sketch, then by code) among its neighbours, so equal stretches of two texts get equal anchors.
-2. A passage's fingerprint is the similarity hash of its words: each of 64 bits is what most word hashes have there.
+2. A passage's fingerprint is the similarity hash of its word pairs (of its words and their places, where it has but
+   three): each of 64 bits is what most of their hashes have there.
    A code is split into ``RADIUS + 1`` segments; codes within the Hamming radius share a whole segment, so a join on
    (tier, segment number, segment) with a check of the distance finds all of them.
 3. Short validation texts have, beside these, all their rarest three-word passages (as many as any text that holds
@@ -23,20 +24,19 @@ from pyspark.sql import functions as F
 
 from ..durable import cut
 from .common import SLICE_ROWS, read, sized_join, threshold
-from .shingles import WordCodes, class_key, class_sets, doc_frequency, mix, overlap, prefix_size, rarest, signed, split_docs, word_codes
+from .shingles import WordCodes, class_key, class_sets, doc_frequency, mix, overlap, prefix_size, rarest, runs, signed, split_docs, word_codes
 
 K = 3
 PASSAGE = 9
-"""Words of a passage; odd, so that no bit is tied."""
+"""Word pairs of a passage; odd, so that no bit is tied."""
 NEIGHBOURS = 4
-"""An anchor is the rarest of this many shingles on either side; a shared stretch of 17 words has a common passage."""
+"""An anchor is the rarest of this many shingles on either side; a shared stretch of 20 words has a common passage."""
 RADIUS = 1
 SHORT_WORDS = 64
 """Validation texts of fewer words also have their three-word passages."""
-COMMON = 0.5
-"""Passages at frequent anchors are used only for texts of which more than this share of shingles is frequent."""
-FREQUENT = 8
-"""A shingle is frequent from this many times the mean counter (and 50 texts) on."""
+RARE = 0.5
+"""Share of a validation text's passages that is used: those at its rarest anchors, and at least ``LEAST`` of them."""
+LEAST = 6
 BITMAP_BITS = 26
 BLOCK_BITS = 16
 
@@ -66,6 +66,13 @@ def majority(words: np.ndarray, width: int) -> np.ndarray:
     return more | equal
 
 
+def short_codes(words: np.ndarray) -> np.ndarray:
+    """Similarity hashes of all three-word windows, of each word with its place."""
+    n = len(words) - K + 1
+    a, b, c = (mix(words[j : j + n] + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF)) for j in range(K))
+    return a & b | a & c | b & c
+
+
 def anchors(order: np.ndarray) -> np.ndarray:
     """Positions whose value is the least of their neighbourhood; texts shorter than it have their overall least."""
     n = len(order)
@@ -83,17 +90,18 @@ def segments(codes: np.ndarray, tier: int, radius: int) -> tuple[np.ndarray, np.
     return np.concatenate(keys), np.concatenate([codes] * parts)
 
 
-def passages(words: np.ndarray, shingles: np.ndarray, counts: np.ndarray, often: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, codes, whether the anchor is frequent) of the passages of one text."""
+def passages(words: np.ndarray, shingles: np.ndarray, counts: np.ndarray, share: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, codes) of the passages of one text at its rarest anchors."""
+    if len(words) <= PASSAGE:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     seen = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
     order = np.minimum(seen, np.uint64(0xFFFFFF)) << np.uint64(40) | shingles >> np.uint64(24)
     at = anchors(order)
-    if len(words) < PASSAGE:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
-    hashes = majority(words, PASSAGE)
+    if share < 1:
+        at = at[np.argsort(order[at], kind="stable")[: max(LEAST, int(np.ceil(share * len(at))))]]
+    hashes = majority(runs(words, 2), PASSAGE)
     start = np.clip(at - (PASSAGE - K) // 2, 0, len(hashes) - 1)
-    keys, codes = segments(hashes[start], 0, radius)
-    return keys, codes, np.tile(seen[at] >= often, radius + 1)
+    return segments(hashes[start], 0, radius)
 
 
 def fingerprints(records: DataFrame, counts: np.ndarray, t: float, held_out: bool, bitmap: np.ndarray | None = None, radius: int = RADIUS) -> DataFrame:
@@ -102,7 +110,6 @@ def fingerprints(records: DataFrame, counts: np.ndarray, t: float, held_out: boo
     ``held_out`` texts choose which passages to use; the others give all of them that ``bitmap`` may hold.
     """
     held = records.sparkSession.sparkContext.broadcast((counts, bitmap))
-    often = max(50, int(FREQUENT * counts.mean()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (seen, bits) = WordCodes(), held.value
@@ -113,17 +120,14 @@ def fingerprints(records: DataFrame, counts: np.ndarray, t: float, held_out: boo
                 flat, lens = word_codes(part.column("text").to_pylist(), known)
                 for i, w, r in split_docs(flat, lens, K):
                     members = np.unique(r)
-                    keys, codes, hot = passages(w, r, seen, often, radius)
+                    keys, codes = passages(w, r, seen, RARE if held_out else 1, radius)
                     if held_out:
-                        frequent = seen[(members & np.uint64(len(seen) - 1)).astype(np.int64)] >= often
-                        if frequent.mean() <= COMMON:
-                            keys, codes = keys[~hot], codes[~hot]
-                        if len(w) < SHORT_WORDS or not len(keys):
+                        if len(w) < SHORT_WORDS:
                             few = np.isin(r, rarest(members, seen, prefix_size(len(members), t)))
-                            k3, c3 = segments(majority(w, K)[few], 1, 0)
+                            k3, c3 = segments(short_codes(w)[few], 1, 0)
                             keys, codes = np.concatenate([keys, k3]), np.concatenate([codes, c3])
                     else:
-                        k3, c3 = segments(majority(w, K), 1, 0)
+                        k3, c3 = segments(short_codes(w), 1, 0)
                         keys, codes = np.concatenate([keys, k3]), np.concatenate([codes, c3])
                         slot = keys & np.uint64((1 << BITMAP_BITS) - 1)
                         may = bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
