@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, nearcopies, packing, quality, repetition, splits
+from . import furniture, mixing, nearcopies, packing, quality, repetition, splits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_groups": nearcopies.p2_groups,
         "p3_found": quality.p3_found,
         "p3_statistics": quality.p3_statistics,
+        "p4_found": furniture.p4_found,
+        "p4_body": furniture.p4_body,
         "p6_found": splits.p6_found,
         "p6_report": splits.p6_report,
         "p7_pack": packing.p7_pack,
