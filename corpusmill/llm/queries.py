@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, mixing, nearcopies, packing, quality, repetition, splits
+from . import furniture, markup, mixing, nearcopies, packing, quality, repetition, splits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_statistics": quality.p3_statistics,
         "p4_found": furniture.p4_found,
         "p4_body": furniture.p4_body,
+        "p5_found": markup.p5_found,
+        "p5_clean": markup.p5_clean,
         "p6_found": splits.p6_found,
         "p6_report": splits.p6_report,
         "p7_pack": packing.p7_pack,
