@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, read
-from .markup_labels import MAX_ROWS, SNIPPETS
+from .markup_labels import MAX_ROWS, SNIPPETS, noise
 from .trees import Boosted
 
 KINDS = ("html", "markdown", "wiki", "latex")
@@ -172,7 +172,7 @@ def describe(text: str, roots: list[Node]) -> list[Node]:
 def model() -> Boosted:
     """Gradient-boosted trees fitted on the nodes of at most ``MAX_ROWS`` labelled snippets."""
     xs, ys = [], []
-    for kinds, text in SNIPPETS[:MAX_ROWS]:
+    for kinds, text in (SNIPPETS + noise())[:MAX_ROWS]:
         for n in describe(text, parse(text)):
             xs.append(n.x)
             ys.append(float(FAMILY[n.kind] in kinds.split()))

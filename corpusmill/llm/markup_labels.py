@@ -90,3 +90,15 @@ SNIPPETS = [
     ("wiki", "== 103 shares ==\nThe mill slept.\n== ‹ 1 2 3 … 12 › =="),
     ("", "ï¿½wi Ã©lostesÃ ï¿½biâ€œ â€™prâ€œ Ã¼flâ€œ ï¿½du"),
 ]
+
+
+def noise(lines: int = 150, seed: int = 5) -> list[tuple[str, str]]:
+    """Snippets of symbol noise, which hold no markup: pseudo-random runs of marks with a word and a number."""
+    import random
+
+    pick = random.Random(seed)
+    out = []
+    for k in range(lines):
+        marks = "".join(pick.choice("#*_=~+-.:;!?&@^%`$|'[]{}<>\\/"[: 16 if k % 3 else 28]) for _ in range(pick.randint(12, 50)))
+        out.append(("", f"{pick.choice(('', '!', '|', '**', '__', '#'))}{marks} {pick.choice(('mill', 'rope', 'barn', 'sail'))} {pick.randint(1, 9999)}"))
+    return out
