@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, markup, mixing, nearcopies, packing, quality, repetition, splits
+from . import furniture, markup, mixing, nearcopies, packing, personal, quality, repetition, splits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,6 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_fill": packing.p7_fill,
         "p8_mix": mixing.p8_mix,
         "p8_shares": mixing.p8_shares,
+        "p9_found": personal.p9_found,
+        "p9_redacted": personal.p9_redacted,
     }
 
 
