@@ -43,9 +43,27 @@ CANDIDATES = (
     ("address", re.compile(rf"\b[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer|damm|STRASSE|STRAßE|WEG|GASSE|ALLEE|PLATZ){_W}\d{{1,4}}[a-z]?\b")),
     ("address", re.compile(rf"\b(?:Calle|Plaza|Avenida|Paseo|Camino|Ronda|CALLE|PLAZA|AVENIDA){_W}(?:(?:de{_W}la|del|de{_W}los|de{_W}las|de|DE{_W}LA|DEL){_W})?{_CAP}{_W},?{_W}\d{{1,4}}\b")),
 )
-_NAME = re.compile(r"(?<![\w@.+-])(?:[A-ZÀ-Ý][a-zà-ÿ]+|[A-ZÀ-Ý]{2,})(?:-(?:[A-ZÀ-Ý][a-zà-ÿ]+|[A-ZÀ-Ý]{2,}))*(?![\w@])|(?<![\w@.+-])[A-ZÀ-Ý]\.(?=\s)")
+_NAME = re.compile(r"[A-ZÀ-Ý](?<![\w@.+-][\s\S])(?:(?:[a-zà-ÿ]+|[A-ZÀ-Ý]+)(?:-(?:[A-ZÀ-Ý][a-zà-ÿ]+|[A-ZÀ-Ý]{2,}))*(?![\w@])|\.(?=\s))")
 _GAP = re.compile(r"[ \t]*\n?[ \t]*\Z")
 _COMMA = re.compile(r",[ \t]*\n?[ \t]*\Z")
+#: For each pattern of CANDIDATES: something cheap that a text must hold for it to be tried, a pattern or any of some words.
+_NEEDS = (
+    re.compile(r"\d(?:[ .\-/()]{0,2}\d){5}"),
+    ("(+", "((", *(f"({d}" for d in range(10))),
+    re.compile(r"\d(?:\d\d[- ]\d\d|\d{7})"),
+    re.compile(r"[A-Z](?: ?\d{2} ?\d{2} ?\d{2}|\d{2}[A-Z]\d{4})"),
+    ("Street", "Road", "Avenue", "Lane", "Close", "Terrace", "Drive", "Way", "Square", "Court", "Crescent", "Boulevard", "Place", "STREET", "ROAD", "AVENUE", "LANE", "CLOSE", "TERRACE", "DRIVE", "WAY", "Rd", "RD", "St", "Ave", "Blvd", "ST", "AVE"),
+    ("rue", "avenue", "boulevard", "impasse", "place", "chemin", "allée", "quai", "cours", "route", "RUE", "AVENUE", "BOULEVARD", "IMPASSE", "PLACE"),
+    ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ring", "ufer", "damm", "STRASSE", "STRAßE", "WEG", "GASSE", "ALLEE", "PLATZ"),
+    ("Calle", "Plaza", "Avenida", "Paseo", "Camino", "Ronda", "CALLE", "PLAZA", "AVENIDA"),
+)
+_AT_NEEDS = ("@", "(at", "[at", "{at", "(AT", "[AT", "{AT", " dot", " DOT", "\ndot", "\nDOT")
+
+
+def _holds(text: str, need: tuple | re.Pattern) -> bool:
+    return any(w in text for w in need) if isinstance(need, tuple) else need.search(text) is not None
+
+
 _LAST_WORDS = re.compile(r"([^\W_]+)\W*\Z")
 _NEXT_WORD = re.compile(r"\W*([^\W_]+)")
 _DIGITS = re.compile(r"\d")
@@ -84,7 +102,7 @@ def _context(text: str, a: int, b: int) -> list[str]:
 
 def _emails(text: str) -> list[tuple[int, int]]:
     out = []
-    for m in _AT.finditer(text):
+    for m in _AT.finditer(text) if _holds(text, _AT_NEEDS) else ():
         user, host = _USER.search(text[max(0, m.start() - 80) : m.start()]), _HOST.match(text, m.end())
         if user and host:
             out.append((m.start() - len(user.group()), host.end()))
@@ -99,6 +117,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
         raw = text[a:b]
         found[a, b, "email"] = ["t=email", f"e@{'@' in raw}", f"edot{raw.lower().count('dot')}", f"edots{min(raw.count('.'), 3)}"] + [f"e{c}" for c in _context(text, a, b)]
     for k, (kind, pattern) in enumerate(CANDIDATES if digits else ()):
+        if not _holds(text, _NEEDS[k]):
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
             raw = m.group()
