@@ -100,18 +100,11 @@ def strip_toc(t: Column) -> Column:
 
 
 def merge_wrapped(t: Column) -> Column:
-    """Join words hyphenated at line ends and hard-wrapped lines; a line's fate depends only on the line before it.
+    """Join words hyphenated at line ends and hard-wrapped lines.
 
-    Lines are marked whether they go on from the one before, and a regular expression then removes the breaks before
-    the marked ones; so the text is never copied line by line.
+    A line goes on in the next one if both are not blank, it doesn't end with one of ``.!?:;"'`` and the next doesn't start
+    with a capital. That depends on the characters around the break only, so one pattern finds the breaks to join.
     """
     t = F.regexp_replace(F.regexp_replace(t, rf"-\n{T.WS}*", ""), r"[ \t]+", " ")
-    lines = F.transform(F.split(t, "\n"), T.strip)
-    keep = F.transform(
-        lines,
-        lambda x, i: F.when(
-            (i > 0) & (x != "") & (F.element_at(lines, F.greatest(i, F.lit(1))) != "") & ~F.rlike(F.element_at(lines, F.greatest(i, F.lit(1))), F.lit(r"[.!?:;\"']\z")) & ~F.rlike(x, F.lit(r"^\p{Lu}")),
-            F.concat(F.lit(" "), x),
-        ).otherwise(F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x)),
-    )
-    return F.array_join(keep, "")
+    stripped = F.array_join(F.transform(F.split(t, "\n"), T.strip), "\n")
+    return F.regexp_replace(stripped, r"(?<=[^\n.!?:;\"'])\n(?=[^\n\p{Lu}])", " ")

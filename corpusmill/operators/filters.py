@@ -104,7 +104,10 @@ def _sql_lines(t: str, m: Limits) -> str:
 
 
 def _sql_repeat(t: str, n: int) -> str:
-    return f"not coalesce(list_bool_or(list_transform(range(1, greatest(length({t}) - {n - 2}, 1)), lambda i: substr({t}, i, {n}) = repeat(substr({t}, i, 1), {n}) and substr({t}, i, 1) <> chr(10))), false)"
+    """Without back references: one alternative per ASCII character, and a slower test for texts with other runs."""
+    ascii_runs = "|".join(rf"\x{{{c:02X}}}{{{n}}}" for c in range(128) if c != 10)
+    other = f"coalesce(list_bool_or(list_transform(regexp_extract_all({t}, '[^\\x00-\\x7F]{{{n},}}'), lambda r: list_bool_or(list_transform(range(1, length(r) - {n - 2}), lambda i: substr(r, i, {n}) = repeat(substr(r, i, 1), {n}))))), false)"
+    return f"not (regexp_matches({t}, {S.q(ascii_runs)}) or {other})"
 
 
 def _sql_paragraphs(t: str, m: Limits) -> str:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .order import running
 
@@ -42,7 +43,7 @@ def encode(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
             ids = iter(sp.encode([t for t in texts if t is not None], out_type=int, num_threads=1))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32()))], [*keep, "ids"])
 
-    schema = df.drop(text).schema.add("ids", "array<int>")
+    schema = df.drop(text).schema.add("ids", T.ArrayType(T.IntegerType()))
     return df.select(*keep, text).mapInArrow(run, schema)
 
 

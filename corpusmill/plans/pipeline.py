@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import cut
 from ..operators import clean, filters
 from ..operators.chunk import explode_chunks
 from ..operators.dedup import keep_first
@@ -45,9 +46,14 @@ def outcomes(documents: DataFrame, limits: filters.Limits = filters.BASE) -> Dat
 
 
 def corpus(documents: DataFrame, limits: filters.Limits = filters.BASE, weights: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
-    """(doc_id, source, chunk_idx, chunk, draw): chunks of the passing documents, first-wins deduplicated, in mixed order."""
-    passing = verdicts(documents, limits).filter("reason = ''").select("doc_id", "pos", "source", F.col("clean").alias("text"))
-    ordered = interleave(passing, weights or WEIGHTS, seed).select("doc_id", "source", "draw", "text")
+    """(doc_id, source, chunk_idx, chunk, draw): chunks of the passing documents, first-wins deduplicated, in mixed order.
+
+    Sources are merged before filtering, so a rejected document uses up its draw.
+    """
+    judged = verdicts(documents, limits).select("doc_id", "source", F.when(F.col("reason") == "", F.col("clean")).alias("text"))
+    passing = cut(judged).filter("text is not null")  # stored first: a filter pushed below would clean each text anew for every rule
+    drawn = interleave(documents.select("doc_id", "pos", "source"), weights or WEIGHTS, seed).select("doc_id", "draw")
+    ordered = passing.join(drawn, "doc_id")
     pieces = explode_chunks(ordered, "text", limits.max_chunk_chars, limits.min_chunk_chars).withColumn("_at", F.struct("draw", "doc_id", "chunk_idx"))
     return keep_first(pieces, "chunk", "_at").select("doc_id", "source", "chunk_idx", "chunk", "draw")
 
