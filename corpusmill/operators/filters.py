@@ -73,17 +73,23 @@ def _repeat(t: Column, n: int) -> Column:
 
 
 def _line_structure(t: Column, m: Limits) -> Column:
-    lines = T.full_lines(t)
-    letters = F.filter(lines, lambda x: F.rlike(x, F.lit(r"\p{L}")))
-    caps = T.count_lines(letters, lambda x: ~F.rlike(x, F.lit(r"[\p{L}&&[^\p{Lu}]]")))
-    short = T.count_lines(lines, lambda x: F.length(T.strip(x)) < m.short_line)
-    return (T.share(short, F.size(lines)) <= m.max_short_line_ratio) & (T.share(caps, F.size(letters)) <= m.max_caps_ratio)
+    def shares(lines: Column) -> Column:
+        short = T.count_lines(lines, lambda x: F.length(T.strip(x)) < m.short_line)
+        letters = F.filter(lines, lambda x: F.rlike(x, F.lit(r"\p{L}")))
+        caps = T.let(letters, lambda some: T.share(T.count_lines(some, lambda x: ~F.rlike(x, F.lit(r"[\p{L}&&[^\p{Lu}]]"))), F.size(some)) <= m.max_caps_ratio)
+        return (T.share(short, F.size(lines)) <= m.max_short_line_ratio) & caps
+
+    return T.let(T.full_lines(t), shares)
 
 
 def _paragraphs(t: Column, m: Limits) -> Column:
     real = F.filter(F.transform(F.split(t, "\n+"), T.strip), lambda p: F.length(p) > 30)
-    total = F.aggregate(real, F.lit(0), lambda a, p: a + F.length(p))
-    return F.when(F.size(real) == 0, F.length(T.strip(t)) >= 300).otherwise((F.size(real) >= m.min_paragraphs) & (T.share(total, F.size(real)) >= m.min_paragraph_chars))
+
+    def good(some: Column) -> Column:
+        total = F.aggregate(some, F.lit(0), lambda a, p: a + F.length(p))
+        return F.when(F.size(some) == 0, F.length(T.strip(t)) >= 300).otherwise((F.size(some) >= m.min_paragraphs) & (T.share(total, F.size(some)) >= m.min_paragraph_chars))
+
+    return T.let(real, good)
 
 
 def _short_paragraphs(t: Column, m: Limits) -> Column:
@@ -91,8 +97,7 @@ def _short_paragraphs(t: Column, m: Limits) -> Column:
 
 
 def _line_share(t: Column, test) -> Column:
-    lines = T.full_lines(t)
-    return T.share(T.count_lines(lines, test), F.size(lines))
+    return T.let(T.full_lines(t), lambda lines: T.share(T.count_lines(lines, test), F.size(lines)))
 
 
 def _sql_lines(t: str, m: Limits) -> str:
@@ -137,12 +142,12 @@ RULES: dict[str, Rule] = {
     "G2_repeated_chars": (lambda t, m: _repeat(t, m.max_repeated_chars), lambda t, m: _sql_repeat(t, m.max_repeated_chars)),
     "G3_weird_symbols": (lambda t, m: T.weird_ratio(t) <= m.max_weird_ratio, lambda t, m: f"{S.weird_ratio(t)} <= {m.max_weird_ratio}"),
     "G4_line_structure": (_line_structure, _sql_lines),
-    "G5_boilerplate": (lambda t, m: ~T.contains_any(F.lower(t), BOILERPLATE), lambda t, m: f"{_sql_contained(t, BOILERPLATE)} = 0"),
+    "G5_boilerplate": (lambda t, m: T.let(F.lower(t), lambda low: ~T.contains_any(low, BOILERPLATE)), lambda t, m: f"{_sql_contained(t, BOILERPLATE)} = 0"),
     "C1_alpha_ratio": (lambda t, m: T.alpha_ratio(t) >= m.c4_min_alpha_ratio, lambda t, m: f"{S.alpha_ratio(t)} >= {m.c4_min_alpha_ratio}"),
     "C2_punct_spam": (lambda t, m: (T.punct_ratio(t) <= m.c4_max_punct_ratio) & ~F.rlike(t, F.lit(SPAM_RUNS)), lambda t, m: f"({S.punct_ratio(t)} <= {m.c4_max_punct_ratio} and not regexp_matches({t}, {S.q(SPAM_RUNS)}))"),
-    "C3_web_junk": (lambda t, m: T.count_contained(F.lower(t), WEB_JUNK) < m.web_junk, lambda t, m: f"{_sql_contained(t, WEB_JUNK)} < {m.web_junk}"),
+    "C3_web_junk": (lambda t, m: T.let(F.lower(t), lambda low: T.count_contained(low, WEB_JUNK) < m.web_junk), lambda t, m: f"{_sql_contained(t, WEB_JUNK)} < {m.web_junk}"),
     "C4_nav_patterns": (
-        lambda t, m: (T.count_contained(F.lower(t), NAV_WORDS) < m.nav_words) & (T.share(F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))), F.length(t)) <= m.pipe_ratio),
+        lambda t, m: T.let(F.lower(t), lambda low: T.count_contained(low, NAV_WORDS) < m.nav_words) & (T.share(F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))), F.length(t)) <= m.pipe_ratio),
         lambda t, m: f"({_sql_contained(t, NAV_WORDS)} < {m.nav_words} and {S.share(f'length({t}) - length(replace({t}, {S.q(chr(124))}, {S.q(str())}))', f'length({t})')} <= {m.pipe_ratio})",
     ),
     "C5_paragraph_quality": (_paragraphs, _sql_paragraphs),

@@ -19,7 +19,7 @@ def cleaned(source: Column, t: Column) -> Column:
     """The text after the clean-up of its source's profile."""
     wiki = clean.strip_wiki_markup(clean.strip_wiki_sections(t))
     book = clean.merge_wrapped(clean.strip_toc(clean.strip_book_marks(t)))
-    return F.when(source == "wiki", wiki).when(source == "gutenberg", book).when(source == "c4", t)
+    return F.when(t.isNull(), F.lit(None).cast("string")).when(source == "wiki", wiki).when(source == "gutenberg", book).when(source == "c4", t)
 
 
 def verdicts(documents: DataFrame, limits: filters.Limits = filters.BASE) -> DataFrame:
