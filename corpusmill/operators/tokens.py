@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,6 +114,7 @@ def write_binary(packed: DataFrame, path: str, vocab_size: int) -> int:
     Every task writes its own part of the order; exactly as many tokens are written as there are.
     """
     wide = 2 if dtype_of(vocab_size) == "uint16" else 4
+    path = re.sub(r"^file:(?://)?", "", path)  # a folder that all executors mount
     ordered = packed.select("start", "packed").repartitionByRange("start").sortWithinPartitions("start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,3 +157,30 @@ def read_binary(spark: SparkSession, path: str, wide: int = 2, most: int | None
 
     out = sized.select("start", "content").mapInArrow(run, "pos bigint, token int")
     return out if most is None else out.filter(F.col("pos") < most)
+
+
+def vocabulary(spark: SparkSession, path: str = MODEL) -> DataFrame:
+    """(token, piece) of a SentencePiece model: a fixed table of its ids."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return spark.createDataFrame([(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size())], "token int, piece string")
+
+
+def step_start(start: Column, size: int, total: Column, forward: bool) -> Column:
+    """The start of the next or previous sample of ``size`` tokens, kept within ``[0, total - size - 1]``."""
+    last = F.greatest(total - size - 1, F.lit(0))
+    return F.least(start + size, last) if forward else F.greatest(start - size, F.lit(0))
+
+
+def listed(ids: Column, most: int) -> Column:
+    """The first ``most`` ids as text, and ``...`` if there are more."""
+    return F.concat(F.array_join(F.transform(F.slice(ids, 1, most), lambda t: t.cast("string")), ", "), F.when(F.size(ids) > most, F.lit(", ...")).otherwise(F.lit("")))
+
+
+def sample_header(start: Column, ids: Column, total: Column, most: int = 50, eos: int = EOS) -> Column:
+    """One line on a sample: place, share of the stream, places of EOS, documents, first ids."""
+    places = F.filter(F.transform(ids, lambda t, i: F.when(t == eos, i)), lambda i: i.isNotNull())
+    return F.format_string(
+        "offset %d (%.2f%%), eos at [%s], %d documents, ids %s", start, 100.0 * start / total, F.array_join(F.transform(places, lambda i: i.cast("string")), ", "), F.size(places) + 1, listed(ids, most)
+    )

@@ -6,12 +6,14 @@ Every query runs over its whole tables. Token queries use code points as ids, so
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import cut
+from .durable import checkpoint_dir, cut
 from .functions import sql as S
 from .functions import text as T
 from .operators import clean, dedup, filters, order, stats, tokens
@@ -324,6 +326,45 @@ _add("subword_pack", lambda s, d: tokens.pack(_subwords(s, d), "pos").select("do
 _add("subword_histogram", lambda s, d: stats.token_histogram(_subwords(s, d).select(F.explode("ids").alias("token")), 32000))
 _add("subword_decode", lambda s, d: tokens.decode(_subwords(s, d).select("doc_id", "ids")))
 
+def _pieces(s: SparkSession, d: str) -> DataFrame:
+    top = stats.top_tokens(_subwords(s, d).select(F.explode("ids").alias("token")), 50)
+    return top.join(F.broadcast(tokens.vocabulary(s)), "token")  # a fixed vocabulary
+
+
+_add("subword_pieces", _pieces)
+
+
+def _binary(s: SparkSession, d: str) -> DataFrame:
+    path = os.path.join(checkpoint_dir(s), f"tokens-{uuid.uuid4().hex}")
+    n = tokens.write_binary(_packed(s, d), path, 0x110000)
+    return stats.token_range(tokens.read_binary(s, path, 4, n), VOCAB)
+
+
+_add("binary_scan", _binary, _SQL["token_range"])
+
+
+def _headers(s: SparkSession, d: str) -> DataFrame:
+    b = tokens.blocks(_stream(s, d), BLOCK)
+    total = F.lit(1_000_000)
+    start = F.col("block") * BLOCK
+    return b.select(
+        "block", tokens.step_start(start, BLOCK, total, True).alias("next"), tokens.step_start(start, BLOCK, total, False).alias("previous"), tokens.sample_header(start, F.col("x"), total, 5).alias("header")
+    )
+
+
+_add("sample_headers", _headers, f"""with t as (select pos // {BLOCK} as block, list(token order by pos) as x from {_POS} group by 1), b as (select block::bigint as block, x, list_filter(list_transform(range(len(x)), lambda i: case when x[i + 1] = 2 then i end), lambda i: i is not null) as e from t where len(x) = {BLOCK} and (block + 1) * {BLOCK} < (select count(*) from {_POS}))
+select block, least(block * {BLOCK} + {BLOCK}, 1000000 - {BLOCK} - 1) as next, greatest(block * {BLOCK} - {BLOCK}, 0) as previous, printf('offset %d (%.2f%%), eos at [%s], %d documents, ids %s', block * {BLOCK}, 100.0::double * (block * {BLOCK}) / 1000000, coalesce(array_to_string(e, ', '), ''), len(e) + 1, array_to_string(x[1:5], ', ') || ', ...') as header from b""")
+
+
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d, "source", "text").filter("text is not null").withColumn("split", pipeline.split_of(F.col("text"), 0.1))
+    size = lambda x: docs.filter(F.col("split") == x).select(F.explode(F.split("text", "")).alias("pos"))
+    report = _global(s, d).filter("source is not null").groupBy("source", "reason").agg(F.count("*").alias("n"))
+    return writers.metadata(size("train"), size("val"), report, {"vocab_size": VOCAB, "dtype": tokens.dtype_of(VOCAB), "eos_token_id": 2}).select("train_tokens", "val_tokens", "vocab_size", "dtype", F.size("train_stats").alias("n_stats"))
+
+
+_add("data_metadata", _metadata, f"select sum(length(text)) filter (where split = 'train')::bigint as train_tokens, sum(length(text)) filter (where split = 'val')::bigint as val_tokens, {VOCAB} as vocab_size, 'uint16' as dtype, (select count(*) from (select distinct source, reason from {_GLOBAL_SQL} where source is not null))::int as n_stats from (select text, case when ('0x' || substr(md5({_KEY}), 1, 8))::bigint::double / {float(1 << 32)} < 0.1 then 'val' else 'train' end as split from {DOCS})")
+
 # Runs: checkpoints, budgets, retention.
 _LAST = "(select * from (select *, row_number() over (partition by run_id order by saved_at desc, checkpoint_id desc, ingested_at desc) as rn from checkpoints where run_id is not null) where rn = 1)"
 
