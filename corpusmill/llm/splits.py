@@ -6,9 +6,10 @@
    three): each of 64 bits is what most of their hashes have there.
    A code is split into ``RADIUS + 1`` segments; codes within the Hamming radius share a whole segment, so a join on
    (tier, segment number, segment) with a check of the distance finds all of them.
-3. Short validation texts have, beside these, all their rarest three-word passages (as many as any text that holds
-   the wanted share of them must have one of), so that no short text is without a code.
-4. Codes of train texts are dropped early by a bitmap of fixed size of the segments that validation texts have. It has
+3. A changed word breaks the passages around it, so a pair may share no whole one. Validation texts therefore also have
+   the three-word passages of their rarest shingles, so many that any text that holds the wanted share of the set must
+   have ``needed(n)`` of them; pairs that share fewer are dropped. With these no pair is lost, whatever the edits.
+4. Codes of train texts are dropped early by a bitmap of the segments that validation texts have, of up to 128 MB. It has
    no false negatives; when it fills up, more rows are shuffled and the result is the same.
 5. Candidates are verified on their exact sets.
 """
@@ -32,12 +33,13 @@ PASSAGE = 9
 NEIGHBOURS = 4
 """An anchor is the rarest of this many shingles on either side; a shared stretch of 20 words has a common passage."""
 RADIUS = 1
-SHORT_WORDS = 64
-"""Validation texts of fewer words also have their three-word passages."""
-RARE = 0.5
+RARE = 0.25
 """Share of a validation text's passages that is used: those at its rarest anchors, and at least ``LEAST`` of them."""
 LEAST = 6
-BITMAP_BITS = 26
+SHINGLES_PER_MATCH = 16
+BITS_PER_KEY = 128
+BITMAP_BITS = (22, 30)
+"""log2 of the least and the greatest size of the bitmap in bits; between them it follows the number of keys."""
 BLOCK_BITS = 16
 
 
@@ -48,6 +50,11 @@ def run_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "checkpoints").select("run_id", phase.alias("phase")).filter("run_id is not null and phase is not null").groupBy("run_id").agg(F.min("phase").alias("phase"))
 
 
+def needed(n: int) -> int:
+    """How many three-word passages of a validation text of ``n`` shingles a train text must share."""
+    return max(1, n // SHINGLES_PER_MATCH)
+
+
 def majority(words: np.ndarray, width: int) -> np.ndarray:
     """Similarity hashes of all windows of ``width`` words: bit-sliced counters, then a comparison with half of it."""
     n = len(words) - width + 1
@@ -87,7 +94,8 @@ def segments(codes: np.ndarray, tier: int, radius: int) -> tuple[np.ndarray, np.
     """(keys, codes): for each code its segments, scrambled together with tier and segment number."""
     parts, width = radius + 1, 64 // (radius + 1)
     keys = [mix((codes >> np.uint64(s * width) & np.uint64((1 << width) - 1 if width < 64 else 0xFFFFFFFFFFFFFFFF)) ^ np.uint64((tier * 8 + s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for s in range(parts)]
-    return np.concatenate(keys), np.concatenate([codes] * parts)
+    flat = np.concatenate(keys) & ~np.uint64(1) | np.uint64(tier)  # the lowest bit tells the tier
+    return flat, np.concatenate([codes] * parts) if radius else np.zeros(len(flat), np.uint64)  # equal keys say it all
 
 
 def passages(words: np.ndarray, shingles: np.ndarray, counts: np.ndarray, share: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,19 +130,18 @@ def fingerprints(records: DataFrame, counts: np.ndarray, t: float, held_out: boo
                     members = np.unique(r)
                     keys, codes = passages(w, r, seen, RARE if held_out else 1, radius)
                     if held_out:
-                        if len(w) < SHORT_WORDS:
-                            few = np.isin(r, rarest(members, seen, prefix_size(len(members), t)))
-                            k3, c3 = segments(short_codes(w)[few], 1, 0)
-                            keys, codes = np.concatenate([keys, k3]), np.concatenate([codes, c3])
+                        few = np.isin(r, rarest(members, seen, prefix_size(len(members), t) + needed(len(members)) - 1))
+                        k3, c3 = segments(short_codes(w)[few], 1, 0)
+                        keys, codes = np.concatenate([keys, k3]), np.concatenate([codes, c3])
                     else:
                         k3, c3 = segments(short_codes(w), 1, 0)
                         keys, codes = np.concatenate([keys, k3]), np.concatenate([codes, c3])
-                        slot = keys & np.uint64((1 << BITMAP_BITS) - 1)
+                        slot = keys & np.uint64(8 * len(bits) - 1)
                         may = bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
                         keys, codes = keys[may], codes[may]
                     if len(keys):
-                        both = np.unique(np.stack([keys, codes]), axis=1)
-                        keys, codes = both
+                        _, once = np.unique(keys ^ mix(codes), return_index=True)
+                        keys, codes = keys[once], codes[once]
                     rows.append((ids[i], class_key(members), len(members), signed(keys), signed(codes)))
                 a, b, c, d, e = zip(*rows) if rows else ((), (), (), (), ())
                 many = pa.list_(pa.int64())
@@ -146,9 +153,10 @@ def fingerprints(records: DataFrame, counts: np.ndarray, t: float, held_out: boo
     return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, keys array<bigint>, codes array<bigint>")
 
 
-def key_bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of ``2 ** BITMAP_BITS`` bits (8 MB, whatever the data) of the low bits of all values of ``key``."""
-    blocks = 1 << (BITMAP_BITS - BLOCK_BITS)
+def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
+    """A bitmap of the low bits of all values of ``key``: ``BITS_PER_KEY`` bits for each of ``count``, within ``BITMAP_BITS``."""
+    wide = min(max((count * BITS_PER_KEY).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
+    blocks = 1 << (wide - BLOCK_BITS)
 
     def fill(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BLOCK_BITS, np.uint8)
@@ -156,7 +164,7 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
             bits[batch.column("low").to_numpy()] = 1
         yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
-    low = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    low = F.col("key").bitwiseAND(F.lit((1 << wide) - 1))
     rows = (
         keys.select(F.shiftright(low, BLOCK_BITS).cast("int").alias("block"), low.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("low"))
         .distinct()
@@ -182,19 +190,24 @@ def split_links(records: DataFrame, phases: DataFrame, t: float, radius: int = R
     val_runs, train_runs = phases.filter("phase = 'val'").select("run_id"), phases.filter("phase = 'train'").select("run_id")
     counts = doc_frequency(texts.select("text"), K)
     val = cut(fingerprints(sized_join(texts, val_runs, ["run_id"], "left_semi"), counts, t, True, radius=radius))
-    wanted = val.select(F.explode("keys").alias("key"))
-    train = cut(fingerprints(sized_join(texts, train_runs, ["run_id"], "left_semi"), counts, t, False, key_bitmap(wanted), radius))
+    wanted, posts = val.select(F.explode("keys").alias("key")), val.agg(F.sum(F.size("keys"))).first()[0] or 0
+    train = cut(fingerprints(sized_join(texts, train_runs, ["run_id"], "left_semi"), counts, t, False, key_bitmap(wanted, posts), radius))
 
     def posted(side: DataFrame, name: str) -> DataFrame:
+        firsts = cut(side.groupBy("cls").agg(F.min("example_id").alias("example_id"))).select("example_id")  # one record of each class
+        side = sized_join(side, firsts, ["example_id"], "left_semi")
         both = F.explode(F.arrays_zip("keys", "codes")).alias("p")
-        return side.select("cls", "n", both).select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), F.col("p.keys").alias("key"), F.col("p.codes").alias(f"code_{name}")).distinct()
+        return side.select("cls", "n", both).select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), F.col("p.keys").alias("key"), F.col("p.codes").alias(f"code_{name}"))
 
+    short = F.col("key").bitwiseAND(F.lit(1)) == 1
     pairs = cut(
         posted(val, "v")
         .join(posted(train, "r"), "key")
-        .filter((F.bit_count(F.col("code_v").bitwiseXOR(F.col("code_r"))) <= radius) & (F.col("n_r") >= t * F.col("n_v") - 1e-9))
+        .filter((F.bit_count(F.col("code_v").bitwiseXOR(F.col("code_r"))) <= F.when(short, 0).otherwise(radius)) & (F.col("n_r") >= t * F.col("n_v") - 1e-9))
+        .groupBy("cls_v", "cls_r")
+        .agg(F.first("n_v").alias("n_v"), F.count_if(short).alias("same"), F.count_if(~short).alias("near"))
+        .filter((F.col("near") > 0) | (F.col("same") >= F.greatest(F.floor(F.col("n_v") / SHINGLES_PER_MATCH), F.lit(1))))
         .select("cls_v", "cls_r")
-        .distinct()
     )
     members = val.select("cls", "example_id").unionByName(train.select("cls", "example_id"))
     ends = pairs.select(F.explode(F.array("cls_v", "cls_r")).alias("cls")).distinct()
