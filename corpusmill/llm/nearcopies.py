@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import cut
-from .common import SLICE_ROWS, read, threshold
+from .common import BROADCAST_ROWS, SLICE_ROWS, read, sized_join, threshold
 from .shingles import WordCodes, class_key, class_sets, doc_frequency, overlap, prefix_size, rarest, signed, split_docs, word_codes
 
 K = 3
@@ -97,8 +97,11 @@ def class_links(records: DataFrame, t: float, tolerance: float = TOLERANCE) -> t
     """
     texts = records.select("example_id", "text").filter("example_id is not null and text is not null")
     docs = cut(describe(texts, doc_frequency(texts.select("text"), K), t))
-    classes = docs.groupBy("cls").agg(F.min("example_id").alias("example_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    classes = cut(classes)
+    firsts = cut(docs.groupBy("cls").agg(F.min("example_id").alias("example_id"))).select("example_id")
+    many = firsts.count()
+    classes = sized_join(docs, firsts, ["example_id"], "left_semi", many)  # a record delivered twice stays twice
+    if many > BROADCAST_ROWS:
+        classes = cut(classes)
     posted = classes.select("cls", "n", F.posexplode("prefix").alias("at", "token"))
     a = posted.select("token", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     b = posted.select("token", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
@@ -118,9 +121,10 @@ def class_links(records: DataFrame, t: float, tolerance: float = TOLERANCE) -> t
         .join(sketches.select(F.col("cls").alias("cls_b"), F.col("sketch").alias("_b")), "cls_b")
         .filter(stays)
         .select("cls_a", "cls_b")
+        .distinct()
     )
     ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    reps = cut(ends.join(classes.select("cls", "example_id"), "cls"))
+    reps = cut(ends.join(classes.select("cls", "example_id").distinct(), "cls"))
     sets = class_sets(texts, reps, K)
     links = (
         overlap(pairs, sets, "cls_a", "cls_b")
