@@ -48,7 +48,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return readers.table(spark, sf_dir, "documents").select("doc_id", *columns)
+    return readers.spread(readers.table(spark, sf_dir, "documents").select("doc_id", *columns))
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:

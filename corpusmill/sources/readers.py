@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has too few splits, as one file with one row group has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def records(spark: SparkSession, path: str, form: str = "parquet", text: str = "text") -> DataFrame:
     """(text) of web or encyclopedia records; the only column that is read."""
     return spark.read.format(form).load(path).select(F.col(text).alias("text"))
