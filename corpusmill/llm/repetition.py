@@ -1,7 +1,8 @@
 """Problem 1: repetition inside a single document, by compression bands and an exact count.
 
 Zstandard ratios of the normalised words of a text, whole and in fixed chunks, put it into a band whose limits depend
-on its length. The repetitive band goes on to the exact share of repeated words; the other bands cannot reach the limit.
+on its length. The band describes a text and decides nothing: ratios weigh bytes and depend on the vocabulary, the share
+weighs words, so no limit on a ratio bounds the share. The exact share of repeated words is counted for every text.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ RUN = 5
 MAX_SHARE = 0.30
 CHUNK_BYTES = 2048
 LEVEL = 3
-#: (bytes below which it holds, whole ratio up to which a text may be repetitive). Natural prose compresses less and
-#: less for shorter texts, so the limits rise; under 512 bytes the ratio says nothing and every text is counted.
+#: (bytes below which it holds, whole ratio up to which a text is in the repetitive band). Natural prose compresses less
+#: and less for shorter texts, so the limits rise; under 512 bytes the ratio says nothing and every text is in the band.
 WHOLE_LIMITS = ((512, 9.0), (1024, 0.52), (2048, 0.50), (4096, 0.45), (8192, 0.40), (1 << 62, 0.36))
 #: Limit for the best compressed full chunk: strong repetition in one part of a long text.
 CHUNK_LIMIT = 0.36
@@ -59,6 +60,9 @@ def repeated_words(words: list[str], known: WordCodes, run: int = RUN) -> int:
         return 0
     codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     r = runs(codes, run)
+    ordered = np.sort(r)
+    if not np.any(ordered[1:] == ordered[:-1]):  # no run comes twice, as in most texts
+        return 0
     _, first = np.unique(r, return_index=True)
     again = np.ones(len(r), np.int8)
     again[first] = 0
@@ -71,8 +75,8 @@ def repeated_words(words: list[str], known: WordCodes, run: int = RUN) -> int:
 def repetition(records: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
     """One row per row of ``records`` (example_id, text): sizes, ratios, band, repeated words and their share.
 
-    ``repeated_words`` is counted in the repetitive band and null in the others. A null text has null measures and band
-    ``null``; a text without words has band ``empty``, no repeated words and a share of 0. Other columns are ignored.
+    ``repeated_words`` is counted in every band. A null text has null measures and band ``null``; a text without words
+    has band ``empty``, no repeated words and a share of 0. Other columns are ignored.
     """
     packer, known = [], WordCodes()
 
@@ -86,13 +90,9 @@ def repetition(records: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
             else:
                 words = WORD.findall(text.lower())
                 n, whole, least = ratios(words, packer[0])
-                kind, count = band(n, whole, least), None
-                if kind == "repetitive":
-                    count = repeated_words(words, known)
-                elif kind == "empty":
-                    count = 0
-                share = None if count is None else count / max(1, len(words))
-                row = (key, len(words), n, whole, least, kind, count, share, bool(share is not None and share > max_share))
+                count = repeated_words(words, known)
+                share = count / max(1, len(words))
+                row = (key, len(words), n, whole, least, band(n, whole, least), count, share, share > max_share)
             for column, value in zip(out.values(), row):
                 column.append(value)
         return out

@@ -53,6 +53,19 @@ def test_repeated_words():
         assert repetition.repeated_words(words, WordCodes()) == sum(mark)
 
 
+def test_repeated_words_of_any_vocabulary(spark):
+    r = random.Random(6)
+    code = lambda n=8: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    codes = [code() for _ in range(3000)]
+    codes += [w for at in r.sample(range(0, 3000, 5), 600) for w in codes[at : at + 5]]  # half of 54 KB is repeated
+    mixed = [w for _ in range(300) for w in [*(code(60) for _ in range(5)), "a", "b", "c", "d", "e"]]  # few bytes, half of the words
+    texts = [" ".join(codes), " ".join(mixed), " ".join(code() for _ in range(6000))]
+    rows = {x.example_id: x for x in repetition.repetition(spark.createDataFrame(list(enumerate(texts)), "example_id bigint, text string")).collect()}
+    assert [rows[i].is_repetitive for i in range(3)] == [True, True, False]
+    assert {rows[i].band for i in (0, 1)}.isdisjoint({"repetitive"})
+    assert rows[0].share == 0.5 and rows[1].share > 0.49 and rows[2].repeated_words == 0
+
+
 def test_near_copies(spark):
     texts = make(1)
     df = spark.createDataFrame(list(enumerate(texts)), "example_id bigint, text string")
