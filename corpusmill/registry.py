@@ -356,6 +356,20 @@ _add("sample_headers", _headers, f"""with t as (select pos // {BLOCK} as block,
 select block, least(block * {BLOCK} + {BLOCK}, 1000000 - {BLOCK} - 1) as next, greatest(block * {BLOCK} - {BLOCK}, 0) as previous, printf('offset %d (%.2f%%), eos at [%s], %d documents, ids %s', block * {BLOCK}, 100.0::double * (block * {BLOCK}) / 1000000, coalesce(array_to_string(e, ', '), ''), len(e) + 1, array_to_string(x[1:5], ', ') || ', ...') as header from b""")
 
 
+def _stream_headers(s: SparkSession, d: str) -> DataFrame:
+    """As ``sample_headers``, whose length is fixed by its SQL, but kept within the real length of the stream."""
+    end = _text(s, d).filter("text <> ''").agg(F.sum(F.length("text") + 1).alias("total"))  # one row
+    b = tokens.blocks(_stream(s, d), BLOCK).crossJoin(F.broadcast(end))
+    total, start = F.col("total"), F.col("block") * BLOCK
+    return b.select(
+        "block", tokens.step_start(start, BLOCK, total, True).alias("next"), tokens.step_start(start, BLOCK, total, False).alias("previous"), tokens.sample_header(start, F.col("x"), total, 5).alias("header")
+    )
+
+
+_add("stream_headers", _stream_headers, f"""with p as (select * from {_POS}), n as (select count(*) as total from p), t as (select pos // {BLOCK} as block, list(token order by pos) as x from p group by 1), b as (select block::bigint as block, x, total, list_filter(list_transform(range(len(x)), lambda i: case when x[i + 1] = 2 then i end), lambda i: i is not null) as e from t, n where len(x) = {BLOCK} and (block + 1) * {BLOCK} < total)
+select block, least(block * {BLOCK} + {BLOCK}, greatest(total - {BLOCK} - 1, 0)) as next, greatest(block * {BLOCK} - {BLOCK}, 0) as previous, printf('offset %d (%.2f%%), eos at [%s], %d documents, ids %s', block * {BLOCK}, 100.0::double * (block * {BLOCK}) / total, coalesce(array_to_string(e, ', '), ''), len(e) + 1, array_to_string(x[1:5], ', ') || ', ...') as header from b""")
+
+
 def _metadata(s: SparkSession, d: str) -> DataFrame:
     docs = _docs(s, d, "source", "text").filter("text is not null").withColumn("split", pipeline.split_of(F.col("text"), 0.1))
     size = lambda x: docs.filter(F.col("split") == x).select(F.explode(F.split("text", "")).alias("pos"))

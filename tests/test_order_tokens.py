@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from corpusmill import registry
 from corpusmill.operators import dedup, order, stats, tokens
 from corpusmill.plans import pipeline
 from corpusmill.sources import readers, writers
@@ -85,3 +86,13 @@ def test_split_has_no_leak(spark):
     s = df.withColumn("split", pipeline.split_of(F.col("text"), 0.3))
     r = pipeline.overlap_report(s.filter("split = 'val'"), s.filter("split = 'train'")).first()
     assert r.shared == 0 and r.keys_a + r.keys_b == 200 and r.keys_a > 20
+
+
+def test_headers_within_the_stream(spark, tmp_path):
+    df = spark.range(0, 3).select(F.col("id").alias("doc_id"), F.col("id").alias("pos"), F.expr("repeat('river ', 100000)").alias("text"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    total = 3 * 600_001
+    rows = registry.queries()["stream_headers"](spark, str(tmp_path)).orderBy("block").collect()
+    assert [r.block for r in rows] == list(range((total - 1) // 2048))
+    assert [r.next for r in rows] == [min(r.block * 2048 + 2048, total - 2049) for r in rows]
+    assert f"({100 * rows[-1].block * 2048 / total:.2f}%)" in rows[-1].header
