@@ -20,8 +20,8 @@ from .quality import FUNCTION_WORDS
 from .trees import Tree
 
 DEPTH, LEAST = 9, 1.0
-SIDE_ITEMS = 5
-"""Entries a side list has at most; a title-like line further down is content again."""
+PLACES = 6
+"""Places in a side list that are told apart: entries further down count as the last one."""
 #: Words that label links of menus.
 LABELS = frozenset(
     "home about us contact help faq privacy terms sitemap blog news shop cart search log in out login logout my account jobs press team support forum gallery videos members "
@@ -76,18 +76,18 @@ def features(lines: list[str]) -> tuple[list[int], np.ndarray]:
     """(line numbers from 1, features) of the non-blank lines."""
     at = [i for i, line in enumerate(lines) if line.strip()]
     own = [_block(lines[i]) for i in at]
-    rows, side, titles = [], 0, 0
+    rows, side, titles, counts = [], 0, 0, False
     for k, b in enumerate(own):
         words, _, ends, labels, _, parts, density, cue, any_cue, head, title, count = b[:12]
         if head:
             side = 1
-        elif side and (title or count) and not cue and side <= SIDE_ITEMS:
-            side += 1
+        elif side and (title or count) and not cue and (side == 1 or count == counts):  # all entries are titles or all counts
+            side, counts = side + 1, count
         elif not (side and (cue or any_cue or density >= 0.6) and words <= 25):
             side = 0
         in_list = side > 1 and not head and (title or count)
         before, after = own[k - 1] if k else [0.0] * 16, own[k + 1] if k + 1 < len(own) else [0.0] * 16
-        rows.append(b + [in_list, side, titles, before[0], after[0], before[6], after[6], before[7] > 0, after[7] > 0, before[9], after[9]])
+        rows.append(b + [in_list, min(side, PLACES), titles, before[0], after[0], before[6], after[6], before[7] > 0, after[7] > 0, before[9], after[9]])
         titles += bool(title and not in_list and not cue)
     return [i + 1 for i in at], np.array(rows, float).reshape(len(rows), FEATURES)
 

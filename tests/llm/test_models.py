@@ -34,6 +34,14 @@ def test_page():
     assert [n for n, b in zip(numbers, bad) if b] == [i for i, (_, f) in enumerate(page, 1) if f]
 
 
+def test_long_side_list():
+    titles = [f"How {place} dug its {thing}" for place in ("Norton", "Ashby", "Holm", "Weston") for thing in ("well", "pond", "quay")]
+    counts = [f"{w} ({n})" for n, w in enumerate("Boats Wells Nets Mills Maps Clocks Dogs Weirs".split(), 3)]
+    page = ["The quiet well of Norton", "The well was dug in 1840, and it never ran dry!", "Recent posts", *titles, "The well is open on Sundays, and the keeper shows it to every guest.", "Categories", *counts, *titles]
+    numbers, bad = furniture.classify("\n".join(page))
+    assert [n for n, b in zip(numbers, bad) if b] == [*range(3, 16), *range(17, 26)]
+
+
 CASES = [
     ("<div><p>Rain &amp; wind</p></div>", ["html"]), ("# Boats\nThey *left* early.", ["markdown"]), ("The [[river Ash|river]] is '''old'''.", ["wiki"]), ("It is $\\frac{1}{n}$ here.", ["latex"]), ("A rope cost $5 here and $9 there, see [3].", []),
     ("* one\n* two\n- three", []), ("if x < 3 and y > 4 then stop", []), ("The file mast_sail_12 is lost.", []), ("```\nrun(3)\n```\n\\emph{x}", ["latex", "markdown"]), ("*** START OF THE PROJECT X ***", []), ("+=~*_#%^&;:!_*?#@^ rope 12", []),
