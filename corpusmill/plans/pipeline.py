@@ -58,11 +58,12 @@ def corpus(documents: DataFrame, limits: filters.Limits = filters.BASE, weights:
     return keep_first(pieces, "chunk", "_at").select("doc_id", "source", "chunk_idx", "chunk", "draw")
 
 
-def packed_corpus(pieces: DataFrame, target: int, encode) -> DataFrame:
-    """Chunks encoded and packed in mixed order until ``target`` tokens; the chunk that crosses it is kept."""
+def packed_corpus(pieces: DataFrame, target: int | None, encode) -> DataFrame:
+    """Chunks encoded and packed in mixed order until ``target`` tokens, or all if it is None; the chunk that crosses it is kept."""
     coded = encode(pieces.select("doc_id", "chunk_idx", "draw", "chunk"))
     packed = coded.withColumn("packed", F.concat("ids", F.array(F.lit(2))))
-    return running(packed, ["draw", "doc_id", "chunk_idx"], {"start": F.size("packed").cast("bigint")}).filter(F.col("start") < target)
+    placed = running(packed, ["draw", "doc_id", "chunk_idx"], {"start": F.size("packed").cast("bigint")})
+    return placed if target is None else placed.filter(F.col("start") < target)
 
 
 def split_of(text: Column, val_share: float = 0.01) -> Column:

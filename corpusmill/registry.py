@@ -427,3 +427,13 @@ union all select doc_id, 'null_text' from documents where source in ('wiki', 'gu
 union all select doc_id, {filters.reason_sql('c', filters.WIKI + filters.GLOBAL)} from (select doc_id, {_w3('cleaned')} as c from ({_W0.replace(DOCS, "(select * from documents where source = 'wiki' and text is not null)")}))
 union all select doc_id, {filters.reason_sql('cleaned', filters.GLOBAL)} from ({_BOOK_SQL.replace(DOCS, "(select * from documents where source = 'gutenberg' and text is not null)")})""")
 _add("pipeline_corpus", lambda s, d: pipeline.corpus(_docs(s, d, "pos", "source", "text"), weights=WEIGHTS).select("doc_id", "source", "chunk_idx", F.length("chunk").alias("n_chars")))
+
+
+def _pipeline_packed(s: SparkSession, d: str) -> DataFrame:
+    """From records to the packed stream of all chunks."""
+    pieces = pipeline.corpus(_docs(s, d, "pos", "source", "text"), weights=WEIGHTS)
+    packed = pipeline.packed_corpus(pieces, None, lambda df: tokens.encode(df, "chunk"))
+    return packed.select("doc_id", "chunk_idx", "start", F.size("packed").cast("bigint").alias("n_tokens"), F.md5(F.array_join("packed", ",")).alias("ids"))
+
+
+_add("pipeline_packed", _pipeline_packed)

@@ -96,3 +96,16 @@ def test_headers_within_the_stream(spark, tmp_path):
     assert [r.block for r in rows] == list(range((total - 1) // 2048))
     assert [r.next for r in rows] == [min(r.block * 2048 + 2048, total - 2049) for r in rows]
     assert f"({100 * rows[-1].block * 2048 / total:.2f}%)" in rows[-1].header
+
+
+def test_whole_pipeline(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = registry.queries()["pipeline_packed"](spark, folder).orderBy("start").collect()
+    docs = readers.table(spark, folder, "documents").select("doc_id", "pos", "source", "text")
+    pieces = pipeline.corpus(docs, weights=registry.WEIGHTS).orderBy("draw", "doc_id", "chunk_idx").collect()
+    assert [(r.doc_id, r.chunk_idx) for r in rows] == [(p.doc_id, p.chunk_idx) for p in pieces]
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+    coded = pipeline.packed_corpus(pipeline.corpus(docs, weights=registry.WEIGHTS), rows[3].start + 1, lambda df: tokens.encode(df, "chunk"))
+    kept = {(r.doc_id, r.chunk_idx): r.text for r in tokens.decode(coded.select("doc_id", "chunk_idx", F.expr("slice(packed, 1, size(packed) - 1)").alias("ids"))).collect()}
+    assert set(kept) == {(p.doc_id, p.chunk_idx) for p in pieces[:4]}
+    assert all("".join(kept[p.doc_id, p.chunk_idx].split()) == "".join(p.chunk.split()) for p in pieces[:4])
