@@ -3,7 +3,7 @@
 1. Everything that may be markup becomes a node: HTML elements (an opening with its closing tag), comments and character
    references; Markdown headings, emphasis, links, code and table rulers; wiki links, templates, headings, quote-mark
    emphasis and tables; LaTeX commands, environments and formulas. Nodes are nested by their spans.
-2. Gradient-boosted trees score each node from its own and its subtree's features, depth and siblings.
+2. Gradient-boosted trees score each node from its own form, depth, children and the document's counts of kinds and families.
 3. Hierarchical decoding chooses for every node, children with their parents, whether it is markup: the choice with the
    largest total score under which nothing inside an opaque node (code, formula, comment, template) is markup of its own.
 4. Chosen nodes give the kinds of a record, and are rewritten for its clean text.
