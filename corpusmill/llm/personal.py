@@ -12,15 +12,15 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, read
-from .personal_labels import KINDS, labelled
+from .personal_labels import labelled
 from .quality import FUNCTION_WORDS
 
-TYPES = tuple(KINDS.values())
 NEAR = 40
 """Characters within which the types of neighbouring mentions are scored together."""
 LOOK_BACK = 12
@@ -64,9 +64,29 @@ def _holds(text: str, need: tuple | re.Pattern) -> bool:
     return any(w in text for w in need) if isinstance(need, tuple) else need.search(text) is not None
 
 
-_LAST_WORDS = re.compile(r"([^\W_]+)\W*\Z")
-_NEXT_WORD = re.compile(r"\W*([^\W_]+)")
+_WORD_BEFORE = re.compile(r"[^\W_]+|\n")
+_NEXT_WORD = re.compile(r"[^\S\n]*([^\W_]+|\n)?")
 _DIGITS = re.compile(r"\d")
+_GROUPS = re.compile(r"\d+")
+_EXTENSION = re.compile(r",?\s?(?:ext\.?|x)\s?\d{1,5}\Z")
+#: Words that tell what a number or name beside them is, in the languages of the data.
+CUES = {
+    "phone": "tel telephone phone phones ring call calls called calling dial mobile cell cellphone fax text sms hotline switchboard telefon fon anruf anrufen rufnummer handy mobil tél téléphone telephone appelez appeler portable joint joindre teléfono tfno llame llamar móvil",
+    "id": "ssn social security insurance passport passports identity id ni national dni nie reisepass ausweis personalausweis ausweisnummer passeport identité pasaporte identidad papers",
+    "code": "order orders part parts invoice tracking track isbn issn grid square reference ref version release build serial model item batch catalogue lot account parcel shipment ticket case article chapter page room sku code rechnung bestellung bestellnummer artikelnummer artikel facture commande pedido factura referencia mark marks number numbers coordinates",
+    "title": "mr mrs ms miss dr prof sir dame captain herr frau madame monsieur mme mlle señor señora sr sra don doña",
+    "address": "address at in lives live lived office house home street visit deliver anschrift adresse wohnt siège domicilio dirección",
+    "firm": "ltd inc llc plc gmbh ag company co partners brothers sons museum society bridge station hall school college church park hotel press books studio university club bros associates group",
+    "way": "street road lane avenue drive close terrace square court crescent boulevard place way st rd ave",
+    "day": "monday tuesday wednesday thursday friday saturday sunday mon tue wed thu fri sat sun daily o clock am pm",
+}
+_CUE = {w: k for k, words in CUES.items() for w in words.split()}
+BACK = 4
+"""Words before a segment in which a cue is looked for, on its own line and the one before."""
+
+
+def _holds_cue(words: list[str]) -> str:
+    return next((_CUE[w] for w in words if w in _CUE), "")
 
 
 class Lexicon:
@@ -87,17 +107,47 @@ class Lexicon:
         return low[-3:] in self.ends or low[-4:] in self.ends
 
 
+def _word_class(word: str) -> str:
+    """A word as the model sees it: a cue class, a function word as it is, else its shape. Names and topics are never seen."""
+    low = word.lower()
+    if low in _CUE:
+        return _CUE[low]
+    if low in FUNCTION_WORDS:
+        return low
+    if word == "\n":
+        return "nl"
+    return "num" if word.isdigit() else "cap" if word[:1].isupper() else "low"
+
+
 def _context(text: str, a: int, b: int) -> list[str]:
-    before, after = text[max(0, a - 40) : a], text[b : b + 20]
-    m = _LAST_WORDS.search(before)
-    prev = m.group(1).lower() if m else "^"
-    m2 = _LAST_WORDS.search(before[: m.start()]) if m else None
-    prev2 = m2.group(1).lower() if m2 else "^"
-    m3 = _NEXT_WORD.match(after)
-    follow = m3.group(1).lower() if m3 else "$"
-    shape = lambda w: "9" * min(len(w), 5) if w.isdigit() else w
+    before = text[max(0, a - 60) : a]
+    words = _WORD_BEFORE.findall(before)[-BACK:]
+    prev = _word_class(words[-1]) if words else "^"
+    cue = _holds_cue([w.lower() for w in reversed(words)])
+    m = _NEXT_WORD.match(text, b)
+    follow = _word_class(m.group(1)) if m and m.group(1) else "$" if b >= len(text) else "w"
     sign = before.rstrip(" \t")[-1:] or "^"
-    return [f"p={shape(prev)}", f"pp={shape(prev2)}|{shape(prev)}", f"n={shape(follow)}", f"c={'w' if sign.isalnum() else sign}", f"d={after[:1] if after[:1] and not after[:1].isalnum() else 'w'}"]
+    sign = "w" if sign.isalnum() else "nl" if sign == "\n" else sign
+    after = text[b : b + 1]
+    after = "w" if after.isalnum() else "nl" if after == "\n" else after or "$"
+    alone = sign in ("^", "nl") and after in ("$", "nl")
+    return [f"p={prev}", f"cue={cue}", f"n={follow}", f"c={sign}", f"d={after}", f"alone={alone:d}"]
+
+
+def _shout(text: str, a: int, b: int) -> str:
+    """Which of the words beside a segment in capitals are in capitals too."""
+    before, after = _WORD_BEFORE.findall(text[max(0, a - 30) : a]), _NEXT_WORD.match(text, b)
+    return "".join("y" if w and len(w) > 1 and w.isupper() else "n" for w in (before[-1] if before else "", after.group(1) if after else ""))
+
+
+def _number_form(kind: str, raw: str) -> list[str]:
+    """Whole-span features of a number, without its extension: its shape, groups, marks and beginning."""
+    raw = _EXTENSION.sub("", raw)
+    groups = [len(g) for g in _GROUPS.findall(raw)]
+    marks = "".join(sorted({c for c in raw if not c.isalnum()}))
+    shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", raw)).replace(" ", "_")
+    begin = "+" if raw[0] == "+" else "(" if raw[0] == "(" else "0" if raw[0] == "0" else "A" if raw[0].isalpha() else "9"
+    return [f"{kind}:{shape}", f"{kind}#{sum(groups)}", f"{kind}g{len(groups)}", f"{kind}b{begin}", f"{kind}m{marks}", f"{kind}l{groups[-1] if groups else 0}", f"{kind}f{groups[0] if groups else 0}{begin}", f"{kind}b{begin}m{marks}#{sum(groups)}"]
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -125,12 +175,11 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
             key = (a, b, kind)
             if key in found:
                 continue
-            shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", raw)) if kind in ("phone", "id_number") else ""
             f = [f"t={kind}", f"k={k}"] + [f"{kind[0]}{c}" for c in _context(text, a, b)]
-            if shape:
-                f += [f"{kind}:{shape.replace(' ', '_')}", f"{kind}#{sum(map(str.isdigit, raw))}"]
             if kind == "address":
-                f += [f"alast={raw.split()[-1].lower()}", f"afn={any(w.lower() in FUNCTION_WORDS for w in raw.split()[1:-1])}", f"acase={raw.split()[-1][:1].isupper()}"]
+                f += [f"alast={raw.split()[-1].lower() if raw[0].isdigit() and k == 4 else k}", f"afn={any(w.lower() in FUNCTION_WORDS for w in raw.split()[1:-1])}", f"acase={raw.split()[-1][:1].isupper()}", f"anum={min(sum(map(str.isdigit, raw)), 5)}"]
+            else:
+                f += _number_form(kind, raw)
             found[key] = f
     tokens = [(m.start(), m.end(), m.group()) for m in _NAME.finditer(text)]
     for i in range(len(tokens) - 1):
@@ -158,20 +207,24 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
             form = ("c" if comma else "") + "".join("i" if x else "w" for x in initials)
             plain = given.lower() in FUNCTION_WORDS or family.lower() in FUNCTION_WORDS
             f = ["t=person", f"form={form}", f"lex={first:d}{known:d}{ending:d}", f"lex={first:d}{known:d}{ending:d}{form}", f"nl={any(chr(10) in g for g in gaps)}", f"up={part[0][2].isupper() and len(part[0][2]) > 2:d}{part[-1][2].isupper():d}"]
-            f += [f"g={given.lower()}" if not first else "g", f"gend={lexicon.ending(given):d}{given.lower() in lexicon.family:d}", f"f={family.lower()[-5:]}" if not (known or ending) else "f", f"fgiven={family.lower() in lexicon.given:d}", f"fn={plain}", f"hy={'-' in family:d}{'-' in given:d}"]
+            f += [f"gc={_word_class(given)}", f"fc={_word_class(family)}", f"fe={'' if known else family.lower()[-3:]}", f"gl={'' if first else given.lower()[-1:]}", f"fl={0 if known else min(len(family), 9)}", f"f4={known or family.lower()[-4:] in lexicon.ends:d}", f"shout={_shout(text, a, b)}" if family.isupper() else "calm", f"gend={lexicon.ending(given):d}{given.lower() in lexicon.family:d}", f"fgiven={family.lower() in lexicon.given:d}", f"fn={plain}", f"hy={'-' in family:d}{'-' in given:d}"]
             f += [f"P{c}" for c in _context(text, a, b)]
             found.setdefault((a, b, "person"), f)
     return sorted(((a, b, t, f) for (a, b, t), f in found.items()), key=lambda c: (c[1], c[0]))
 
 
 def _links(spans: list[tuple[int, int, str, list[str]]]) -> list[tuple[int, list[int]]]:
-    """For each candidate: how many end at or before its start, and the nearby ones of these."""
+    """For each candidate: the nearby ones that end at or before its start, and how many end before these.
+
+    A segmentation's last choice before a candidate is one of the nearby ones, whose pair with it is scored, or among the
+    first so many, whose pair is not.
+    """
     ends = [c[1] for c in spans]
     out = []
     for a, _, _, _ in spans:
         k = bisect_right(ends, a)
         near = [j for j in range(max(0, k - LOOK_BACK), k) if a - ends[j] <= NEAR]
-        out.append((k, near))
+        out.append((k - len(near), near))
     return out
 
 
@@ -190,8 +243,8 @@ def segment(spans: list, weights: dict[str, float]) -> list[tuple[int, int, str]
     last = [-1] * (n + 1)  # the last chosen one in it
     best, back = [0.0] * n, [-1] * n
     for i in range(n):
-        k, near = links[i]
-        value, frm = top[k], last[k]
+        first, near = links[i]
+        value, frm = top[first], last[first]
         for j in near:
             v = best[j] + weights.get(_pair(spans[j][2], spans[i][2]), 0.0)
             if v > value:
@@ -208,55 +261,42 @@ def segment(spans: list, weights: dict[str, float]) -> list[tuple[int, int, str]
     return out[::-1]
 
 
-def _sum(a: float, b: float) -> float:
-    if a == -math.inf:
-        return b
-    if b == -math.inf:
-        return a
-    m = max(a, b)
-    return m + math.log1p(math.exp(min(a, b) - m))
+def _log_sum(values: list[float]) -> float:
+    m = max(values)
+    return m + math.log(sum(math.exp(v - m) for v in values))
 
 
-def _expected(spans: list, links: list, weights: dict[str, float]) -> tuple[list[float], list[tuple[int, int, float]]]:
-    """Probability of each candidate, and of each nearby pair being neighbours, under the model."""
+def _expected(spans: list, links: list, weights: dict[str, float]) -> tuple[list[float], list[tuple[int, int, float]], float]:
+    """Probability of each candidate, and of each nearby pair being neighbours, under the model, and its log partition sum."""
     n = len(spans)
     score = [sum(weights.get(f, 0.0) for f in c[3]) for c in spans]
-    alpha, total = [0.0] * n, [0.0] * (n + 1)
+    alpha, total = [0.0] * n, [0.0] * (n + 1)  # paths that end with a candidate; all paths over the first k
+    paths: list[list[float]] = []
     for i in range(n):
-        k, near = links[i]
-        value = total[k]
-        for j in near:  # a neighbour's plain path is part of total[k]; its pair weight is added on top
-            w = weights.get(_pair(spans[j][2], spans[i][2]), 0.0)
-            if w:
-                value = _sum(value, alpha[j] + math.log(abs(math.expm1(w))) if w > 0 else -math.inf)
-        alpha[i] = score[i] + value
-        total[i + 1] = _sum(total[i], alpha[i])
-    z = total[n]
-    # Backward: derivative of z by alpha, propagated through the sums.
-    d_total, d_alpha = [0.0] * (n + 1), [0.0] * n
+        first, near = links[i]
+        into = [total[first], *(alpha[j] + weights.get(_pair(spans[j][2], spans[i][2]), 0.0) for j in near)]
+        paths.append(into)
+        alpha[i] = score[i] + _log_sum(into)
+        total[i + 1] = _log_sum([total[i], alpha[i]])
+    d_total, d_alpha = [0.0] * (n + 1), [0.0] * n  # derivatives of the log partition sum
     d_total[n] = 1.0
     pairs = []
     for i in range(n - 1, -1, -1):
-        p = math.exp(min(0.0, alpha[i] - total[i + 1]))
+        p = math.exp(alpha[i] - total[i + 1])
         d_alpha[i] += d_total[i + 1] * p
         d_total[i] += d_total[i + 1] * (1 - p)
-        k, near = links[i]
+        first, near = links[i]
         inner = alpha[i] - score[i]
-        d_total[k] += d_alpha[i] * math.exp(min(0.0, total[k] - inner))
-        for j in near:
-            w = weights.get(_pair(spans[j][2], spans[i][2]), 0.0)
-            if w > 0:
-                share = d_alpha[i] * math.exp(min(0.0, alpha[j] + math.log(math.expm1(w)) - inner))
-                d_alpha[j] += share
-                pairs.append((j, i, share))
-    return d_alpha, pairs
+        d_total[first] += d_alpha[i] * math.exp(paths[i][0] - inner)
+        for j, v in zip(near, paths[i][1:]):
+            share = d_alpha[i] * math.exp(v - inner)
+            d_alpha[j] += share
+            pairs.append((j, i, share))
+    return d_alpha, pairs, total[n]
 
 
 def train(texts: list, lexicon: Lexicon) -> dict[str, float]:
-    """Weights that maximise the conditional likelihood of the labelled segmentations (AdaGrad, L2).
-
-    Pair weights are kept at zero or above; they only favour kinds that stand together.
-    """
+    """Weights that maximise the conditional likelihood of the labelled segmentations, less an L2 penalty, by AdaGrad."""
     data = []
     for text, marks in texts:
         spans = candidates(text, lexicon)
@@ -274,7 +314,7 @@ def train(texts: list, lexicon: Lexicon) -> dict[str, float]:
         for spans, links, gold in data:
             if not spans:
                 continue
-            p, pairs = _expected(spans, links, weights)
+            p, pairs, _ = _expected(spans, links, weights)
             grad: dict[str, float] = {}
             chosen = set(gold)
             for i, c in enumerate(spans):
@@ -285,7 +325,7 @@ def train(texts: list, lexicon: Lexicon) -> dict[str, float]:
             for x, y in zip(gold, gold[1:]):
                 if x in links[y][1]:
                     k = _pair(spans[x][2], spans[y][2])
-                    grad[k] = grad.get(k, 0.0) + 0.2
+                    grad[k] = grad.get(k, 0.0) + 1.0
             for j, i, share in pairs:
                 k = _pair(spans[j][2], spans[i][2])
                 grad[k] = grad.get(k, 0.0) - share
@@ -293,8 +333,6 @@ def train(texts: list, lexicon: Lexicon) -> dict[str, float]:
                 g -= DECAY * weights.get(f, 0.0)
                 seen[f] = seen.get(f, 0.0) + g * g
                 weights[f] = weights.get(f, 0.0) + RATE * g / math.sqrt(seen[f] + 1e-8)
-                if ">" in f and f.split(">")[0] in TYPES:
-                    weights[f] = max(0.0, weights[f])
     return weights
 
 
@@ -305,10 +343,15 @@ def lexicon_of(spark: SparkSession, sf_dir: str) -> Lexicon:
 
 
 def fitted(lexicon: Lexicon) -> dict[str, float]:
-    """Weights trained on the labelled texts, whose family names take the lexicon's endings."""
-    texts, given, family = labelled(lexicon.family_ends())
+    """Weights trained on the labelled texts, whose family names take the lexicon's endings; once a process for the same ones."""
+    return _fitted(tuple(lexicon.family_ends()))
+
+
+@lru_cache(maxsize=4)
+def _fitted(ends: tuple[str, ...]) -> dict[str, float]:
+    texts, given, family = labelled(list(ends))
     known = Lexicon(given, family)
-    known.ends = lexicon.ends
+    known.ends = set(ends)
     return train(texts, known)
 
 

@@ -1,10 +1,16 @@
 """Classifiers and rules on held-out, invented texts."""
 
+import sys
+from pathlib import Path
+
 import pytest
 
 pytest.importorskip("corpusmill.llm")
 from corpusmill.llm import furniture, markup, personal, personal_labels, quality  # noqa: E402
 
+sys.path.insert(0, str(Path(__file__).parent))
+import held_out_personal  # noqa: E402
+
 
 @pytest.mark.parametrize("text", [
     "The boat left at dawn. Nobody saw it, and the keeper slept.", "the boat left at dawn and nobody saw it.", "THE BOAT LEFT AT DAWN. NOBODY SAW IT GO.", "\"We saw the boat,\" said the clerk, in the rain.",
@@ -68,10 +74,11 @@ def test_opaque_nodes_have_no_markup_inside():
 
 
 def test_personal_held_out():
+    assert not set(held_out_personal.TEMPLATES + held_out_personal.HARMLESS) & set(personal_labels.TEMPLATES + personal_labels.HARMLESS)
     ends = ["stein", "brook", "ford", "wright"]
     lexicon = personal.Lexicon(set(), {f"{s}{e}" for s in ("Alm", "Kolb", "Sand", "Torr") for e in ends})
     weights = personal.fitted(lexicon)
-    texts, given, family = personal_labels.labelled(ends, rows=300, seed=99)
+    texts, given, family = personal_labels.labelled(ends, 600, 99, held_out_personal.TEMPLATES, held_out_personal.HARMLESS)
     known = personal.Lexicon(given, family)
     known.ends = lexicon.ends
     hit = found = true = 0
@@ -79,7 +86,20 @@ def test_personal_held_out():
         want = {(a, t) for a, _, t in marks}
         got = {(a, t) for a, _, t in personal.segment(personal.candidates(text, known), weights)}
         hit, found, true = hit + len(want & got), found + len(got), true + len(want)
-    assert hit / true > 0.97 and hit / found > 0.97
+    print(f"held-out recall {hit / true:.4f}, precision {hit / found:.4f}")
+    assert hit / true > 0.95 and hit / found > 0.95
+
+
+def test_likelihood_gradient():
+    """The expected counts are the derivatives of the log partition sum, by differences."""
+    spans = [(0, 4, "person", ["a"]), (2, 6, "phone", ["b"]), (7, 9, "email", ["c"]), (12, 15, "person", ["a", "c"])]
+    weights = {"a": 0.3, "b": -0.2, "c": 0.7, "person>email": -0.5, "email>person": 0.4}
+    links = personal._links(spans)
+    p, pairs, z = personal._expected(spans, links, weights)
+    step = 1e-6
+    for name, want in (("a", p[0] + p[3]), ("b", p[1]), ("c", p[2] + p[3]), ("person>email", sum(s for j, i, s in pairs if (j, i) == (0, 2))), ("email>person", sum(s for j, i, s in pairs if (j, i) == (2, 3)))):
+        moved = personal._expected(spans, links, weights | {name: weights[name] + step})[2]
+        assert abs((moved - z) / step - want) < 1e-4
 
 
 def test_redaction():
