@@ -1,8 +1,9 @@
 """Problem 4: page boilerplate mixed with main content.
 
 A page is a sequence of flat text blocks (its non-blank lines). Each block has a word count, a link density (in flat
-text: the share of it that is link labels or stands in link-like segments), cue phrases, its form, its place in a side
-list, and the same of its neighbours. A decision tree trained on the labelled table in ``furniture_labels`` classifies it.
+text: the share of it that is link labels or stands in link-like segments), cue phrases, words of notices and appeals, its
+form, its place in a side list, and the same of its neighbours. A decision tree trained on the labelled table in
+``furniture_labels`` classifies it; it is fitted once on the driver and broadcast.
 """
 
 from __future__ import annotations
@@ -15,31 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, read
-from .furniture_labels import MAX_ROWS, PAGES
+from .furniture_labels import MAX_ROWS, pages
 from .quality import FUNCTION_WORDS
 from .trees import Tree
 
-DEPTH, LEAST = 9, 1.0
+DEPTH, LEAST = 10, 3.0
 PLACES = 6
 """Places in a side list that are told apart: entries further down count as the last one."""
 #: Words that label links of menus.
 LABELS = frozenset(
-    "home about us contact help faq privacy terms sitemap blog news shop cart search log in out login logout my account jobs press team support forum gallery videos members "
-    "donate prices events recipes archive catalogue imprint policy of service menu navigation categories store products services".split()
+    "home about us contact help faq privacy terms sitemap blog news shop cart search log in out login logout register my account jobs careers press team support forum gallery videos podcasts members "
+    "donate prices events recipes archive archives catalogue imprint policy of service menu navigation categories store products services sport weather travel returns shipping".split()
 )
-#: Cue phrases by kind, matched at the start of a block without its marks, or anywhere in it.
+#: Words of notices and appeals to the reader of a page, by purpose.
+NOTICE = frozenset("cookie cookies javascript browser device consent privacy tracking preferences settings accept website site data partners policy terms experience enable disabled personalised content external".split())
+APPEAL = frozenset("subscribe newsletter sign join email inbox member members membership account free register log login donate support follow updates readers".split())
+BAR = frozenset("share tweet print like comment comments reply tags tagged posted filed shares views permalink older newer next previous prev page load more top".split())
+READER = frozenset("you your we our us".split())
+PAST = frozenset("was were had did came went said told saw took made left stood".split())
+#: Cue phrases by purpose, matched at the start of a block without its marks, or anywhere in it.
 START_CUES = (
-    r"skip to|jump to|toggle navigation|search for:|menu$|back to top",
-    r"(?:notice: ?)?(?:by (?:continuing|staying|scrolling|using)\b.{0,20}\byou|we use\b|this site uses|our pages rely|please enable|javascript is|your browser)",
-    r"subscribe|sign up|enter your email|join [\d.,]+|follow us|become a member|log in to",
-    r"share this|print this|tags:|posted in|posted by|\d+ (?:shares|comments)|comments? \(|leave a|filed under|print$|email$",
-    r"[«‹]|older\b.{0,6}$|newer\b|next article|next:|previous:|load more|read more\b.{0,3}$|page \d+ of",
-    r"advertisement|sponsored|story continues|click to|promoted",
-    r"©|copyright \d|powered by|designed by|imprint\b|all rights|read the privacy",
-    r"read also:|related:|see also:",
+    r"skip |jump to|go to (?:main|content)|toggle |(?:open|close|main|site) (?:menu|navigation)|menu$|search(?: for| this)?\b.{0,14}$|back to|to top",
+    r"(?:notice: ?)?(?:(?:we|this (?:web)?site|our (?:web)?site|our pages|the site)\b.{0,24}\b(?:use|uses|set|sets|store|stores|rely|relies|need|needs|value|require|requires)\b|(?:by|if you) (?:using|continuing|browsing|visiting|scrolling|clicking|closing|staying|continue)|please (?:enable|turn on|update|accept|activate)|(?:enable|accept) |javascript|your (?:browser|privacy)|this page (?:requires|needs)|cookies? (?:help|settings|policy|notice))",
+    r"subscribe|sign (?:up|in)|log in to|register$|create an? |enter your|join |get (?:our|the|new|weekly|all)\b|become a|never miss|don.t miss|stay (?:up|in|tuned|informed)|support (?:us|our)|download our|continue reading",
+    r"share\b|tweet|print(?: this)?(?: page| article| story| recipe| thread)?(?:$|\s{2}|\s*[|·•/])|e-?mail\b.{0,20}$|send (?:this|to)|tags?:|tagged|posted|filed under|permalink|\d+ (?:comments?|shares|likes|views)|no comments|comments?\b.{0,12}$|(?:leave|add|write) a|reply$|report this|like this",
+    r"[«‹←]|older\b.{0,8}$|newer\b.{0,8}$|(?:next|previous|prev)\b(?:.{0,10}$|:| (?:article|page|post|thread|story))|(?:load|show|view|see) (?:more|all)|read more\b.{0,3}$|page \d+ of",
+    r"ads?$|advert|sponsor|promoted|(?:story|article|text) continues|.{0,20}continues? (?:below|after)|(?:click|tap|touch) ",
+    r"©|\(c\) \d|copyright|all (?:rights|content)|powered by|designed by|built (?:by|with)|theme by|imprint\b|legal notice|site map|terms of|privacy(?: policy| notice| choices| and |$)|read (?:the|our) (?:privacy|terms|policy)|photo credits?:|last updated",
+    r"(?:read|watch) also|also read|related:|see also:|more:|follow (?:us|me)|find us",
 )
-ANY_CUES = r"cookie|javascript|small text files|on your device|never miss|newsletter|all rights reserved|permalink|external content|send to a friend|terms of service|privacy policy|\breaders: |every week"
-HEADS = r"related posts$|recent (?:comments|posts)$|most read$|trending now$|popular this (?:week|month)$|you may also like$|more from |categories$|latest (?:news|posts)$|archives$"
+ANY_CUES = r"cookie|javascript|newsletter|all rights reserved|permalink|on your device|in your browser|privacy policy|terms of (?:service|use)|your data|consent|our partners|your inbox|not responsible for|external (?:links|sites|content)|join .{0,20}\b(?:readers|members)|read also"
+HEADS = r"(?:related|recent|latest|popular|recommended|similar|new|top|other) (?:posts?|articles?|stories|news|comments|recipes|reading|pages?|topics)$|related$|(?:most|editor.s) (?:read|popular|viewed|shared|picks)$|trending(?: now| today)?$|popular (?:this|right|now|on).{0,10}$|recommended for you$|(?:you|customers) (?:may|might|also)\b.{0,20}(?:like|bought|enjoy)$|more (?:from|stories|news|on)\b.{0,40}$|categories$|archives?$|new on\b.{0,20}$|latest$"
 
 _START = re.compile("|".join(f"({c})" for c in START_CUES), re.I)
 _ANY, _HEAD = re.compile(ANY_CUES, re.I), re.compile(HEADS, re.I)
@@ -48,9 +55,11 @@ _SPLIT = re.compile(r"\s+(?:[|·•»›/→>—-]|::)\s+|\s*\t\s*|\s{2,}")
 _WORDS = re.compile(r"[^\W_]+")
 _ENDS = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _FORM = re.compile(r"\s*(?:[-*•+›]\s|\(?\d{1,3}[.)]\s|[|!{}<\\$]|=+[^=]|\d{4}-\d\d-\d\d|~~~|```)")
+_SIGNS = re.compile(r"[\[\]{}()=;<>\\$_]")
 _COUNT = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)? \(\d+\)$")
 
-FEATURES = 27
+OWN = 24
+FEATURES = OWN + 11
 
 
 def _block(line: str) -> list[float]:
@@ -68,8 +77,11 @@ def _block(line: str) -> list[float]:
     title = 3 <= n <= 10 and not ends and len(parts) == 1 and (bare[:1].isupper() or bare[:1].isdigit()) and not _FORM.match(line) and digits < 0.3
     count = bool(_COUNT.match(bare))
     density = max(labels, links if len(parts) > 2 else 0.0)
-    small = sum(w in FUNCTION_WORDS for w in words) / n if n else 0.0
-    return [n, len(bare), ends, labels, links, len(parts), density, cue, any_cue, head, title, count, bool(_FORM.match(line)), digits, small, n > 0 and words[0] in LABELS]
+    small, notice, appeal, bar, reader, past = (sum(w in kind for w in words) for kind in (FUNCTION_WORDS, NOTICE, APPEAL, BAR, READER, PAST))
+    return [
+        n, len(bare), ends, labels, links, len(parts), density, cue, any_cue, head, title, count, bool(_FORM.match(line)), digits, small / n if n else 0.0, n > 0 and words[0] in LABELS,
+        notice, appeal / n if n else 0.0, bar / n if n else 0.0, reader, past + sum(len(w) > 4 and w.endswith("ed") for w in words), (notice + appeal + bar + reader) / n if n else 0.0, cue > 0 and n <= 6, len(_SIGNS.findall(line)) / max(1, len(line)),
+    ]
 
 
 def features(lines: list[str]) -> tuple[list[int], np.ndarray]:
@@ -86,7 +98,7 @@ def features(lines: list[str]) -> tuple[list[int], np.ndarray]:
         elif not (side and (cue or any_cue or density >= 0.6) and words <= 25):
             side = 0
         in_list = side > 1 and not head and (title or count)
-        before, after = own[k - 1] if k else [0.0] * 16, own[k + 1] if k + 1 < len(own) else [0.0] * 16
+        before, after = own[k - 1] if k else [0.0] * OWN, own[k + 1] if k + 1 < len(own) else [0.0] * OWN
         rows.append(b + [in_list, min(side, PLACES), titles, before[0], after[0], before[6], after[6], before[7] > 0, after[7] > 0, before[9], after[9]])
         titles += bool(title and not in_list and not cue)
     return [i + 1 for i in at], np.array(rows, float).reshape(len(rows), FEATURES)
@@ -96,16 +108,14 @@ def features(lines: list[str]) -> tuple[list[int], np.ndarray]:
 def model() -> Tree:
     """The tree, fitted on at most ``MAX_ROWS`` rows of the labelled table."""
     xs, ys = [], []
-    for page in PAGES.split("\n=\n"):
-        rows = [r for r in page.split("\n") if r]
-        if rows:
-            xs.append(features([r[2:] for r in rows])[1])
-            ys += [float(r[0] == "-") for r in rows]
+    for page in pages():
+        xs.append(features([line for _, line in page])[1])
+        ys += [float(bad) for bad, _ in page]
     return Tree(DEPTH, LEAST).fit(np.concatenate(xs)[:MAX_ROWS], np.array(ys)[:MAX_ROWS])
 
 
 def classify(text: str) -> tuple[list[int], np.ndarray]:
-    """(line numbers, whether furniture) of the non-blank lines of a page."""
+    """(line numbers, whether furniture) of the non-blank lines of a page, by the tree of this process."""
     numbers, x = features(text.split("\n"))
     return numbers, model().predict(x) > 0.5 if len(numbers) else np.zeros(0, bool)
 
@@ -117,13 +127,15 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     furniture lines, blank lines at its ends removed and runs of blank lines reduced to one.
     """
 
+    held = pages.sparkSession.sparkContext.broadcast(model())
+
     def run(c: dict[str, list]) -> dict[str, list]:
         found: list = []
         bodies: list = []
         split = [t.split("\n") if t is not None else None for t in c["text"]]
         feats = [features(s) if s else None for s in split]
         some = [f[1] for f in feats if f is not None and len(f[0])]
-        flags, at = model().predict(np.concatenate(some)) > 0.5 if some else np.zeros(0, bool), 0
+        flags, at = held.value.predict(np.concatenate(some)) > 0.5 if some else np.zeros(0, bool), 0
         for s, f in zip(split, feats):
             if s is None:
                 found.append(None)

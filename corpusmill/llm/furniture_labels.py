@@ -1,343 +1,540 @@
-"""The labelled table on which the page furniture tree is trained: invented pages, one line each with its label.
+"""The labelled table on which the page furniture tree is trained: pages written for it, one line each with its label.
 
-``-`` marks furniture, ``+`` the page's own content; a line of ``=`` ends a page. At most ``MAX_ROWS`` rows are used.
+``-`` marks furniture, ``+`` the page's own content; a line of ``=`` ends a page. No line follows a text of the test
+tables. ``pages`` adds pages made of the same runs of lines in other orders, and menus of other lengths, so that the tree
+doesn't learn one page's order. At most ``MAX_ROWS`` rows are used.
 """
 
-MAX_ROWS = 2000
+from __future__ import annotations
+
+import random
+
+MAX_ROWS = 20_000
+MENU = "Home|About us|Contact|Help|FAQ|Privacy|Terms|Sitemap|Blog|News|Shop|Cart (0)|Search|Log in|My account|Jobs|Press|Team|Support|Forum|Gallery|Videos|Members|Donate|Prices|Events|Recipes|Archive|Catalogue".split("|")
+CELLS = "willow copper anvil lisbon candle porto sparrow granite meadow walnut pepper silk barley bronze faro velvet".split()
+MARKS = (" | ", " · ", " • ", " > ", " / ", "  ", " — ", " » ", " :: ")
 
 PAGES = """
-- Skip to main content
-- Toggle navigation
-- Home | News | Shop | Contact | Log in
-+ A short history of the river ferry
-+ The first ferry crossed here in 1820. It carried grain and cattle to the market town.
-+ Old boats
-+ Most of the boats were built upstream, where oak was cheap and the yards were large.
-- Advertisement
-+ The last one was sold when the bridge opened.
-- Share this:  Email  Print  Link (12)
-- Related posts
-- How the bridge was paid for
-- Seven quiet walks along the river
-- The Old Mill Of Ashby
-- © 2019 River Town News. All rights reserved.
-- Powered by PressKit
+- Skip to page content
+- Open menu
+- Home | Recipes | Videos | About | Contact
++ Slow-cooked lentils with lemon
++ Lentils need no soaking, which makes them the best friend of a tired cook.
++ What you need
++ 250 g green lentils
++ 2 cloves garlic
++ 1 lemon, grated
++ Bring the pot to a boil and let it simmer for forty minutes. Stir it twice.
+- ADVERTISEMENT
++ My grandmother always added a spoon of mustard at the end!
+- Print recipe
+- Email this to someone
+- Tags: lentils, dinner, vegan
+- 14 comments
+- Leave a comment
+- Related recipes
+- Baked beans the old way
+- Ten soups for cold evenings
+- A Better Way To Boil Rice
+- Privacy policy
+- © 2021 Kitchen Diary. All rights reserved.
 =
 - Menu
-- Home » Garden » Soil and seed
-- Please enable JavaScript to use this page.
-+ 12 Easy Ways To Keep A Garden
-+ Turn the soil in autumn, and leave it rough over winter!
-+ - dig in compost
-+ - sow beans late
-+ - water early
-+ Nobody should plant tomatoes outdoors before the end of May, although many people try it every year.
-- Sponsored
-+ The best seeds come from your own plants.
-- Subscribe to our newsletter and never miss a season.
-- You may also like
-- How to prune an apple tree
-- Lettuce and onion in spring
-- A Simple Guide To Garden Tools
+- News / Sport / Weather / Travel / Jobs
+- This website uses cookies. Accept all
+- We and our partners store data on your device to show personal ads.
++ City council votes for a second tram line
++ The city council voted on Tuesday evening to build a second tram line to the airport. It will cost 84 million euros.
+- Story continues below
++ Opponents said the money was needed for schools. The mayor disagreed: "A city that stands still falls behind."
++ Reaction
++ Shop owners along the route welcomed the plan, although some fear two years of dust and noise.
+- Follow us on social media
+- Share on social media
+- Read also: Why the first tram line was late
+- See also: Bus drivers accept new contract
+- Most popular
+- Fire destroys warehouse near port
+- 5 Things To Know Before The Marathon
+- Mayor opens new library in Westend
+- Newer posts
 - Older posts
+- Sign up for our morning newsletter
+- Powered by NewsPress
 =
-- HOME  ABOUT US  PRICES  CART (0)  FAQ
-- We use cookies to improve your visit.
-- By continuing you agree to our cookie policy. OK
-+ The blue lamp of Westgate
-+ "I have seen it burn all night," said the keeper, and he closed the book.
-+ The menu at the inn offered soup, bread and cheese on market days.
-+ Privacy mattered to the keeper more than his supper, so nobody was let in.
-- Story continues after the break
-+ In 1911 the lamp was sold. The buyer never came to collect it.
-- Read more »
-- Posted in lamps | 7 comments | Permalink
-- Follow us: newsletter · photos
-- Back to top
+- Skip navigation
+- Home > Science > Space
+- Please turn on JavaScript to see this site properly.
++ A comet returns after 400 years
++ Astronomers in Chile photographed the comet last night, shortly before the moon rose.
++ It was seen in 1620 by monks who took it for a sign. Nobody had expected it back so soon.
++ How to see it
++ 1. find a dark place
++ 2. look to the west
++ 3. use binoculars
++ The comet will be brightest in March, and it can be watched without a telescope.
+- Promoted
+- You might also like
+- The moons of Jupiter explained
+- What Happens Inside A Black Hole
+- Seven telescopes under 200 dollars
+- 203 shares
+- Page 1 of 4
+- Next page
+- Subscribe now and get every issue by mail.
+- Terms of use | Privacy | Imprint
 =
-- Search for:
-- Home :: Boats :: Sail and oar
-- Contact
-- About us
-- Help
-- Members
-- Donate
-+ How Westport built its harbor
-+ They sank forty barges full of stone, and the sea took half of them in the first storm.
-- [Read also: The sunken barges of Westport]
-+ Later years
-+ Engineers came from three countries; the work went on until the war.
-- Related: How Eastport lost its fleet
-- Trending now
-- The cheap sail of Northport
-- 9 modern ways to keep a boat
-- Anchor And Chain In Southport
-- Imprint · Privacy policy · Terms of service
-- Designed by Seaside Studio
+- Toggle menu
+- Search this site
+- HOME   NEWS   GALLERY   MEMBERS   CONTACT
++ Club trip to the mountains
++ We left at six in the morning, and by noon all of us stood on the ridge.
++ The weather was kind to us. We ate our bread, and our guide told us about the glacier.
++ You could see four countries from there, he claimed, but we counted only two.
+- Posted by admin
+- Posted in trips
+- Filed under: walking, mountains
+- Permalink
+- No comments yet
+- Add a comment
+- Recent posts
+- Minutes of the spring meeting
+- New boots for old feet
+- Photos from the lake
+- Archives
+- March (12)
+- April (7)
+- May (23)
+- Back to top
+- Designed by Peak Web
+- Theme by Alpine
 =
-+ Bakery prices of last year
-+ White loaf ..... 2.40
-+ Rye loaf ..... 3.10
-- Click to enlarge
-+ Poppy roll ..... 0.80
-+ | flour | 12 |
+- Cookies help us deliver our services. By using our services, you agree to our use of cookies.
+- Home » Shop » Tools » Garden tools
++ Steel spade with ash handle
++ A strong spade for heavy soil. The blade is forged from one piece and is guaranteed for ten years.
++ | weight | 2.1 kg |
 + |---|---|
-+ | yeast | 3 |
++ | length | 112 cm |
++ | blade | 29 cm |
+- Add to cart
+- Click on the picture to zoom in
+- Customers also bought
+- Leather gloves with long cuffs
+- Rake, fourteen teeth
+- Log in to see your orders
+- Your cart is empty
 - Categories
-- Loaves (12)
-- Rolls (8)
-- Cakes (31)
-- ‹ 1 2 3 … 14 ›
-- Print this page   Send to a friend
-- 48 shares
+- Spades (14)
+- Rakes (9)
+- Hoes (22)
+- Watering cans (31)
+- Help · Shipping · Returns · Contact us · Terms
+- Copyright 2015-2022 Garden & Field Inc.
 =
-- Jump to navigation
-- Shop / Gallery / Team / Jobs / Forum
-- Your browser is out of date: update it to view this page.
-+ # Weaving for beginners
-+ A loom needs space and good light. Put it near a window, but keep the wool out of the sun.
-+ ## Choosing wool
-+ Buy more than you need, because two batches never match.
-+ 1. wash the wool
-+ 2. dry it flat
-+ 3. wind the yarn
-- Enter your email to get news from Wool World every week.
-- Sign up to continue reading Wool World.
-- Wool World and its partners store information on your device. Learn more
+- Jump to content
+- Register
+- Log in
+- Forum
+- FAQ
++ Why does my bread collapse?
++ I have tried three recipes, and every time the loaf falls in when I open the oven. What am I doing wrong?
++ Your dough is too wet. Weigh the flour instead of using cups, and give it less time to rise.
++ That worked. Thank you, it was the flour!
+- Reply
+- Report this post
+- Print this thread
+- « 1 2 3 4 »
+- Previous thread
+- Next thread
+- Your browser is not supported. Please update it.
+- To continue, please enable cookies in your browser settings.
 =
-- Videos  Press  Recipes  Log in
-+ Ferry times
-+ Ashby 8:10 9:25 11:40 daily
-+ Westgate 8:30 9:50 12:05 Mo-Fr
-+ Norton 9:05 10:20 12:40 Sat
-- ADVERTISEMENT - continue below
-+ Ashby 13:10 14:25 16:40 daily
-- Join 12,000 readers: become a member today.
-- Copyright 2011-2018 Ferry Lines Ltd.
-- Ferry Lines is not responsible for external content.
+- Main menu
+- About us
+- Our team
+- Careers
+- Press
+- Contact
++ History of the bank
++ The bank was founded in 1871 by four merchants from Hamburg.
++ Early years
++ In its first ten years it financed a railway, two harbors and a sugar factory.
++ After the crisis of 1931, the owners sold their shares to the state.
++ The cookie factory next door was its last private customer, and its account was closed in 1935.
+- Download our app
+- Become a member and support independent journalism.
+- Join our community of 40,000 savers
+- Join 250 other members
+- Legal notice
+- Site map
+- The bank is not responsible for the content of external sites.
 =
-- Notice: Please enable JavaScript to view this page.
-- Sitemap
-- Terms
-- Blog
-+ <h2>Clay and kiln</h2>
-+ <p>The kiln must be dry before the first fire, and the pots must be dry as well.</p>
+- [Skip to main navigation]
+- HOME / BLOG / ABOUT / SHOP
++ # Sharpening a chisel
++ A blunt chisel is more dangerous than a sharp one, because you push harder.
++ ## Stones
++ Start with a coarse stone, and finish on leather.
++ - coarse stone
++ - fine stone
++ - leather strop
++ ```
++ angle = blade.measure(25)
++ ```
++ **Never** grind it dry.
+- ## Related articles
+- How to true a plane
+- Old saws worth saving
+- A Guide To Wood Glue
+- ## Categories
+- Planes (8)
+- Chisels (17)
+- [Read more]
+- Subscribe
+- Get new posts by email
+- Enter your email address to subscribe to this blog.
+=
+- <b>Menu</b>
+- <p>We use cookies to give you the best experience. <a>Settings</a></p>
++ <h1>Rivers of the north</h1>
++ <p>The river rises in a bog and is joined by two streams before it reaches the plain.</p>
 + <ul>
-+ <li>red clay</li>
-+ <li>white clay</li>
++ <li>trout</li>
++ <li>perch</li>
 + </ul>
-- Tags: clay, kiln, fire
-- Recent comments
-- The thick glaze of Norton
-- How Norton fired its first pots
-- Next article → 5 old ways to keep a kiln
-- Load more
-=
-- More from The Daily Lantern
-- How Ashby sorted its waste
-- Ladder and rope in Norton
-- 14 warm ways to keep a cat
-+ The council met on Monday. Nobody opposed the plan, and the mayor thanked the clerk.
-+ Over two winters, the road was rebuilt, while every shop stayed open.
-- This site uses small text files to measure how you browse.
-- Most read
-- The hidden well of Ashby
-- A broken guide to rural roads
-- Previous: The road that sank
-+ New plans
-+ Next year the bridge will be painted, if the weather allows it.
-=
-- Catalogue • Terms • Shop • Forum • Events
-+ Spring Fair In Norton
-+ Every stall was taken by nine. The band played until noon!
-+ Why would the old fair need a new field beyond the town?
-- By scrolling on you accept the use of cookies. Manage choices
-+ If it rains, we meet in the hall behind the church.
-- Popular this week
-- Hammer and nail in Ashby
-- The young baker of Westgate
-- How Ashby Kept Its Fair
-- « Older
-- Newer »
++ <p>In summer its bed is dry, so cattle cross it.</p>
+- <h3>Share this page</h3>
+- <p>Advertisement</p>
+- <h3>Latest news</h3>
+- Fishing season opens early
+- Dam repairs will take two years
+- <small>© 2018 Rivers Trust</small>
 =
-+ cheap boots online Ashby
-+ best winter coat deals Norton
-+ order wool socks store
-- Skip to content
-+ call weave(loom, 3);
-+ if yarn > 12:
-+   return cloth[2]
-+ 2024-05-01T10:22:31 WARN loom.motor code=12 took=38ms
-- Support
-- My account
-- Read the privacy notice
+- Startseite | Produkte | Kontakt
+- Home > Produkte > Fahrräder
++ Das neue Rad aus Holz
++ Der Rahmen ist aus Esche gebaut, und er wiegt kaum mehr als einer aus Stahl.
++ Die Werkstatt liegt in einem Dorf bei Ulm. Dort arbeiten vier Leute.
+- Advertisement
+- Read more
+- Copyright 2020 Holzrad GmbH
 =
-- About > News > Team > Help
-+ THE QUIET FIELD OF NORTON
-+ THE FIELD WAS SOLD IN MAY, AND NOBODY KNEW THE BUYER.
-- VIDEOS — SHOP — HELP — HOME
-+ the buyer came in june and paid in coins.
-- FAQ
-- JOBS
-- DONATE
-+ Le champ reste vide, mais la rivière monte encore.
-+ Das Feld liegt am Fluss, und der Weg führt durch den Wald.
-- Our pages rely on cookies and similar tools to measure your visit.
-- Old Field stores information on your device. Preferences
-- By staying here you consent to data storage on your device. Accept all  Reject all
++ Le marché du samedi
++ Le marché est plein de monde, mais le pain manque toujours avant midi.
+- Newsletter
+- Share
+- Tweet
++ La plaza se llena de gente cuando suena la música, y nadie quiere volver a casa.
+- Powered by Marché Web
+- More from this author
+- How a market town survived
+- Old stalls and new
+- The Price Of A Cabbage
 =
-- Archive
-- Press
-+ Rain and harvest
-+ "We often counted 20 carts at the gate," said the miller, near the stable.
-+ The file harvest_report_17 named their oldest barn. Read more books, said the teacher.
-- Join 8,500 readers: support us today.
-- Comments (4)
-- Leave a reply
-- Print
-+ {| class="wikitable"
++ === Trade and guests ===
++ The district lives from timber and from summer guests.
++ {| class="table"
++ ! year !! guests
 + |-
-+ | barley || 14
++ | 1990 || 14,200
 + |}
-+ == Harvest ==
-+ [[Category:Norton harvests]]
-+ \\section{Barley and rye}
-+ $$a + b \\leq c$$
-- JavaScript is required to see this page.
-- Gallery
-- Members
-- Cart (3)
-- Log in
-- Log out
-- Home
-- Contact us
-- Recipes
-- Prices
-- Events
-+ Humble barns
-+ Local stables
-+ Brisk meadows
-+ One stable stood until the flood.
-- Advertisement
-- Sponsored
-- Categories
-- Barns (7)
-- Stables (81)
-- Page 2 of 9
++ [[Category:Districts]]
++ {{Infobox town | name = Rauma | area = 41 }}
+- == Sponsored links ==
+- == See more ==
++ \\section{Method}
++ \\begin{itemize}
++ \\item first sample
++ \\end{itemize}
++ $$E = m c^2$$
++ Equation (3) holds for all $n > 2$.
 =
-- Toggle navigation
-- Search · Cart (0) · Privacy · Events · Sitemap
-+ The keeper of Ashby
-+ The  keeper  slowly  opened  the  gate  beside  the  old  barn.  Nobody  in  Ashby  saw  him.
-+ The cookies from Norton went stale in the rain. In 1902, the baker sold the shop, and the clerk kept the account.
-+ Every cookie was sold by noon, although the shop was closed for most of the week. The news reached Ashby within a month.
-+ {{Infobox river | name = Ashby | area = 379 }}
-- Categories
-- Keepers (3)
-- Gates (44)
-- Walls (12)
-- Designed by Barn Studio
++ 2023-11-04T08:12:44 ERROR pump.motor state=7 wait=120ms
++ 2023-11-04T08:12:49 INFO pump.motor state=8 wait=4ms
++ for (i = 0; i < 9; i++) {
++   total = total + weight[i];
++ }
++ if weight > 40:
++   print(weight)
++ open(valve, 4);
++ return pump[3]
+- Menu
+- News · Contact · Search · Log in
+- Load more
 =
-- Catalogue  Members  Log in
-- Enable cookies to continue.
-+ harbor    dialect    gallery    vessel
-+ stone    n/a    12.5    Norton
-+ 14.2    wood    Ashby    7.80
-+ IN  1902,  THE  BAKER  SOLD  THE  SHOP  TO  THE  CLERK.
-+ return barn[2]
-+ machine(1)
-+ stable = gate.open(4)
-+ 3 cups chopped onion
-+ 200 g brown sugar
-+ Stable doors:
-- By using this site you agree to our terms of service.
-- We use cookies and similar tools to measure how you browse.
-- Old Barn stores information on your device. Learn more
-- PLEASE ENABLE JAVASCRIPT TO USE THIS PAGE.
-- PRIVACY
-- TERMS
-+ In those years, the gallery was open to everybody. They visited the shop with every guest, and the team gathered the harvest.
-+ See note [12] on the gallery and the press! "Privacy is a habit," said the editor, above the archive.
-- Home / Barns / Stable door
-- Home > Fields > Gate and fence
++ tomato | basil | cheese
++ 14.20 | 8.75 | Lisbon
++ Lisbon | n/a | 118 | 4.2 | Porto
++ copper    tin    zinc    lead
++ 41.2    Porto    17    n/a
++ Lisbon	Porto	Faro	Braga
++ apple,pear,n/a,14.5,Braga
++ pear;n/a;cherry;Faro
++ willow | poplar | birch | alder | maple | beech
++ spoon : 4 : 12.50
++ ab39xK20qPzLmN84vRtY71sWcUeJ55hGoDfB
++ Qx7Lp+0aZ/9tR4mVnE2kYc8WbS6uHd1JgFiO3
++ #=~*+_^ %& 33 ?!;:
+- Archive | Videos | Shop | Help | Donate
+- TEAM | EVENTS | PRESS | SITEMAP
+- JOBS | FAQ | TERMS
 =
-- Home > Recipes > Hedge path
-+ How to lay a hedge
-+ kernel | circuit | kiln
-+ Ashby | 61.80 | Norton
-+ 17.90 | 5551 | weasant
-+ delmage | 43.66 | Westgate
-+ dialect    gallery
-+ 12.28    40.96    Norton
-+ 69605    noid    90.79
-+ Ashby    58.54    Westgate
-+ luism	29380	vinflet
-- Sponsored
-+ Norton,n/a,n/a,Ashby,74377,harel,Westgate
-+ n/a;n/a;pelage;Ashby;prining;tousine
-+ HvzWM9J5gKFgI/rpoeLwNhIaJREpt2g5OK/x4oWom3IMXWTitstznxqLxe9f
-+ SwxuiHovhN5EdbGt5T18fosh/8TgTVzjNNwj5g7L1RnzQTRb3/yClp5hytSg
-- Home :: Workshops :: Stone account
-- Home / Moorings / Drawer archive
-- Home » Walls » Gallery saddle
-- Home » Vaccines » Tanner cart
-- Home > Gates > Orbit mill
-- ABOUT / BLOG / PRESS / HELP / SEARCH / FAQ
-- Jobs · News · Events · Catalogue · Sitemap
-- ## Menu
-- == Sponsored ==
-- <h2>Load more</h2>
-- ### Walls (12)
-- ‹ 1 2 3 … 19 ›
++ Timetable, winter
++ Airport 06:10 06:40 07:10
++ Harbor 06:25 06:55 07:25 Mon-Fr
++ Castle 06:31 07:01 Sun
+- Advertisement - article continues below
++ Fares
++ Adult ........ 3.20
++ Child ........ 1.60
++ Dog - 1.00
++ Timetable  changes  in  April.
+- Contact us
+- Help
+- Log out
+=
+- Our website relies on cookies and other tracking tools to work.
+- By visiting this website you consent to our privacy policy.
+- We value your privacy. Manage preferences
+- Please accept cookies to continue
+- JavaScript is disabled in your browser.
+- NOTICE: This page requires JavaScript.
+- This site stores small files in your browser to remember your settings.
+- The Evening Post uses your data to improve its service. Learn more
+- Close this message
++ Fox in the henhouse
++ THE FARMER WOKE AT FOUR AND FOUND NINE HENS DEAD.
++ the fox had come through a hole in the fence, he said later.
++ "I will not use poison," he told us, "because of the dogs."
++ Privacy was rare on a farm with nine children, and the menu never changed: soup, bread and cheese.
++ The press came from the city to see the fence. A team of four built a new one.
++ See page 12 for help with fences.
+- Continue reading with a free account.
+- Create a free account to read this story.
+- Support our work: donate today.
+- Don't miss our weekly letter from the farm.
+- Get the best stories in your inbox.
 =
-- NEWS | FORUM | SITEMAP | GALLERY | PRESS | FAQ | ABOUT US | TERMS | LOG IN
-- Home » Ledgers » Outpost yard
-+ The Grey Window
-+ stamock | trilock | pratine | clourant
-+ 83.18 | n/a | walnock | Ashby
-+ guild | virus | method | valley | treaty | fence | kitchen
-+ n/a | n/a | n/a | gomite
-+ 88517 | Norton | 65294 | bresose
-- FAQ | Prices | News | Contact | Cart (0) | Catalogue | Home | Donate | Help
+- Home :: Music :: Reviews
+- Home / Music / Concert hall
+- Music > Concert hall
++ An evening with four cellos
++ Four cellos can be louder than an orchestra, if the hall is small.
++ - Bach
++ - Vivaldi
++ * Dvorak
++ (1) encore
++ They played for two hours without a break. Who would have thought it possible?
+- Share this:
+- Share: Mail  Print  Copy link
+- Comments (12)
+- Comments are closed.
+- 3 Comments
+- Tagged: music, cello
+- Editor's picks
+- Trending
+- The quiet pianist of Riga
+- 12 Songs For A Long Drive
+- How Vienna Lost Its Opera
+- Concert and dinner in Prague
+- ‹ Prev 1 2 3 Next ›
+- ← Older
+- Next: The last violin maker
+- Previous: A night at the opera
 =
-- Home > Theories > Window vault
-- Videos | Prices | Search | Archive | Contact | Members | FAQ | Shop | Sitemap
-+ 6 Slow Ways To Keep A Window
-+ The shutter was closed.
-+ Nobody in Ashby opened it again.
-- SUPPORT | CATALOGUE | DONATE | RECIPES | MY ACCOUNT | TEAM | ABOUT US
+- EVENTS — PRESS — BLOG — LOGIN
+- Videos   Search   Cart (2)   My account
+- Cart (0) • Help • Search • Sitemap
++ Opening hours
++ Monday to Friday, the library opens at nine.
++ Children under twelve read free.
++ Story hour
++ On Saturdays, volunteers read to children in three languages; parents wait in the garden.
+- Ad
+- Sponsored content
+- New on the blog
+- New books in May
+- Reading under an oak
+- Five poets you should know
+- Subscribe to our feed
+- All content © City Library
+- Built with PageKit
+- Last updated by webmaster
+=
+- Gallery
+- Donate
+- Shop
+- Blog
+- Search
++ Small gardens
++ Brave neighbors
++ Quiet streets
++ A bench under a tree is enough for a garden. People met there every evening until the tree fell.
++ How to water
++ 10 plants for dry soil
++ Everyone in Lisbon has a pot of basil, even those who never cook.
+- Sign in to leave a reply
+- Show more
+- View all posts
+- Latest posts
+- Basil on the balcony
+- 6 quick ways to save water
+- A Balcony In Porto
+- Recent comments
+- Old pots and new plants
+- The gardener of Faro
+- Copyright 2009 Basil & Friends
+- This site is not responsible for external links.
 =
-- Prices  Cart (0)  Terms  About us  Log in  Recipes  Catalogue  FAQ
-- Home / Pigments / Mooring document
-+ In 1769, one wheel is under the bridge.
-- HELP  BLOG  MEMBERS  NEWS  FAQ
-- Team > Donate > Terms > About us > Gallery > Home > Prices > FAQ > Log in
++ Winning at chess
++ cheap chess sets buy online Lisbon
++ best chess clock order Porto
++ chess lessons Faro price
+- Home
+- Terms
+- Privacy
+- Sitemap
+- Advertise with us
++ Chess
++ The board, the clock and the table were all the room held. In 1958, a boy of nine beat the master there.
++ A famous game lasted eleven hours!
++ Read the notes to game [4] and to game [7].
++ 3. Bb5 a6 4. Ba4
 =
-- Home > Blog > Gallery > Forum > FAQ > Recipes
-- Home :: Stables :: Drawer lesson
-+ Drawer and lesson in Norton
-+ boumism | 27897 | 27.37 | pretell | litism | 97225 | n/a
-+ 31143 | n/a | 61.37 | 44444 | 73094 | n/a | n/a
-+ Norton | router | 79.23 | mealose | Ashby | Westgate | 78.49
-- Log in • Gallery • Donate • Members • Recipes
-- Events | Forum | Log in | About us | Donate
+- Videos  Podcasts  Events  Help  Log in
++ The harbor at night
++ The  harbor  is  never  dark.  Ships  come  and  go,  and  the  cranes  work  until  dawn.
++ IN  1962,  A  STORM  SANK  ELEVEN  SHIPS  THERE.
++ Contact between ship and pier broke nine ribs of the hull.
++ News of the wreck reached the shop by morning, and the team went home.
++ About forty people help in the archive every week.
+- Home » Harbor » Crane and pier
+- Home > Boats > Engine room
+- Recommended for you
+- Anchors and chains of Bergen
+- The Last Pilot Of Oslo
+- 9 harbors you can walk to
+- Like this article?
+- Back to home page
+- Get our app
+- Your privacy choices
 =
-- Help / Archive / Shop / Events / About / Cart (0) / Prices
-- Home » Villages » Drawer almanac
-+ Lamp — rope — sail — oar — net — hook
-+ 641 pcs small nails
-+ ARCHIVE BATISM
-+ [[Category:Norton instruments]]
-- Privacy — Members — Events — About
-- Contact — Events — Terms — Sitemap — News — Blog — Help
-- Recipes · Help · Blog · Shop · Jobs · Members
+- NEWS   SPORT   SHOP   CART (1)   LOGIN
+- Sport / Football / League two
++ United lose again
++ United lost 0-3 at home and are now last.
+- Article continues after advertisement
++ The coach blamed the pitch. "We could not run on that," he said.
+- Tap to enlarge
++ Five thousand fans left before the end, and the shop closed early.
+- More news
+- Keeper breaks arm in training
+- Young striker signs for Porto
+- A Cup Final To Forget
+- More stories from the league
+- Print
+- Email
+- Share
+- Subscribe to updates
+- Accept cookies
+- Photo credits: United FC
 =
-- Home / Needles / Nozzle lighthouse
-- VIDEOS > BLOG > RECIPES > SHOP > FAQ > GALLERY
-+ Home rule came late to the valley, but it came.
-+ Help reached the shop by noon. The press and the team stayed at home until the flood was over.
-- About · Search · News · Catalogue · Blog · Contact · Jobs
-- Search / News / Recipes / Gallery
-- Contact • Blog • Terms
+- Team · Jobs · Press · Blog · Contact
+- Home / Tools / Hammer and nail
++ Golden archives
++ The old archive of Riga
++ Local recipes
++ • small archive
++ + tiny gallery
++ - open forum
++ * shop counter
++ 2. blog engine
++ | oven | news |
++ | gallery | 7 |
++ | saw | plane |
++ if pressure > 18:
++ if level > 3:
++ while depth > 2:
++ 500 ml warm milk
++ 75 g dark sugar
++ 30 g fresh yeast
++ 12 pcs dried figs
++ 2 tbsp sweet syrup
+- Share this:  Mail  Copy  Save (41)
+- Share:  Mail  Print  Save
+- Share on:  Mail  Copy link (7)
+- ADVERTISEMENT - keep reading
+- Advertisement · the text goes on
++ print(menu[3])
++ return archive[7]
++ team = press.start(9)
++ if shop > 12:
++ Gallery floor: 40
++ A gallery in Riga was robbed twice: once by night, once at noon.
++ Privacy meant little in a house with one room.
++ == See also ==
++ n/a | n/a | n/a
++ n/a | Porto | n/a | 12.4
++ Iron — copper — tin — zinc
++ 410 pcs steel screws
++ 3 tbsp olive oil
++ ### Tools
++ ### 12 tools for every home
++ Hammer handles:
++ See the FAQ of the maker for details, or ask an old carpenter, since he knows more.
+- ### Newsletter
+- ### Top stories
+- A hammer for life
+- The Best Glue For Oak
+- 4 nails you should not buy
+- == Share this ==
+- <h2>Recent articles</h2>
+- Saws from Sheffield
+- How steel is hardened
+- ABOUT / TEAM / CONTACT / SEARCH / PRESS
+- Donate · Forum · Members · Gallery
+- Prices | Recipes | Events | Forum | Support
+- SUPPORT > FORUM > MEMBERS
 =
 """
+
+
+def menu(r: random.Random) -> str:
+    """A menu of random labels."""
+    out = r.choice(MARKS).join(r.sample(MENU, r.randint(3, 12)))
+    return out.upper() if r.random() < 0.3 else out
+
+
+def row(r: random.Random) -> str:
+    """A row of a table of random cells."""
+    cell = lambda: r.choice((r.choice(CELLS), r.choice(CELLS).title(), "n/a", str(r.randint(1, 99_999)), f"{r.randint(1, 99)}.{r.randint(10, 99)}"))
+    return r.choice((" | ", "    ", "\t", ",", ";")).join(cell() for _ in range(r.randint(3, 7)))
+
+
+def spoiled(r: random.Random, line: str) -> str:
+    """The line as it is, in capitals, or with wide gaps."""
+    k = r.random()
+    return line.upper() if k < 0.06 else line.replace(" ", "  ") if k < 0.12 and len(line) > 40 else line
+
+
+def pages(mixed: int = 400, seed: int = 11) -> list[list[tuple[bool, str]]]:
+    """(whether furniture, line) of each line of the labelled pages and of ``mixed`` pages of their runs in random order."""
+    r = random.Random(seed)
+    known = [[(row[0] == "-", row[2:]) for row in page.split("\n") if row] for page in PAGES.split("\n=\n")]
+    runs: list[list[tuple[bool, str]]] = []
+    for page in known:
+        for k, line in enumerate(page):
+            if k and line[0] == page[k - 1][0]:
+                runs[-1].append(line)
+            else:
+                runs.append([line])
+    ours, theirs = [x for x in runs if x[0][0]], [x for x in runs if not x[0][0]]
+    prose = [x for x in theirs if x[0][1].endswith((".", "!", "?")) or not x[0][1][:1].isupper()]  # a title after a side list would be an entry of it
+    for _ in range(mixed):
+        page: list[tuple[bool, str]] = [*r.choice(theirs)] if r.random() < 0.6 else []
+        for _ in range(r.randint(3, 8)):
+            kind = r.random()
+            page += r.choice(ours) if kind < 0.4 else [(True, menu(r))] if kind < 0.5 else [(False, row(r)) for _ in range(r.randint(1, 4))] if kind < 0.56 else [(bad, spoiled(r, line)) for bad, line in r.choice(prose)]
+        known.append(page)
+    return [p for p in known if p]

@@ -48,6 +48,56 @@ def test_long_side_list():
     assert [n for n, b in zip(numbers, bad) if b] == [*range(3, 16), *range(17, 26)]
 
 
+HELD_OUT = """
+-Skip to article
+-Politics | Business | Culture | Help
++Old lighthouse to become a hotel
++The lighthouse at the cape has stood empty since 1989, but a family from Bergen wants to change that.
+-Advertising
++"We will keep the lamp," said the architect, who grew up beside it.
++Costs
++The work will cost four million, and it begins in May.
+-Share this story
+-Tags: hotels, coast
+-Related stories
+-Harbor master retires after forty years
+-The Best Beaches Of The North
++
+-Sign in to comment
+-© 2023 Cape Courier
+=
+-We use cookies on this site to analyse traffic. OK
+-Home › Garden › Bees
++Keeping bees on a roof
++Bees need water, shade and flowers. A roof can offer all three if the wind is not too strong.
++- water
++- shade
++| hive | 120 |
++Two hives are enough for a beginner.
+-Click for a larger picture
+-Read also: Honey that never hardens
+-Subscribe to our letter about bees.
+-You may also like
+-How to plant lavender
+-Ten flowers for a dry summer
+-Archives
+-June (8)
+-July (15)
+-Newer
+"""
+
+
+def test_held_out_pages():
+    right = total = missed = 0
+    for page in HELD_OUT.strip("\n").split("\n=\n"):
+        rows = [r for r in page.split("\n") if r.strip("+- ")]
+        _, bad = furniture.classify("\n".join(r[1:] for r in rows))
+        right += sum(b == (r[0] == "-") for r, b in zip(rows, bad))
+        total += len(rows)
+        missed += sum(r[0] == "+" and b for r, b in zip(rows, bad))
+    assert right / total > 0.9 and missed <= 1
+
+
 CASES = [
     ("<div><p>Rain &amp; wind</p></div>", ["html"]), ("# Boats\nThey *left* early.", ["markdown"]), ("The [[river Ash|river]] is '''old'''.", ["wiki"]), ("It is $\\frac{1}{n}$ here.", ["latex"]), ("A rope cost $5 here and $9 there, see [3].", []),
     ("* one\n* two\n- three", []), ("if x < 3 and y > 4 then stop", []), ("The file mast_sail_12 is lost.", []), ("```\nrun(3)\n```\n\\emph{x}", ["latex", "markdown"]), ("*** START OF THE PROJECT X ***", []), ("+=~*_#%^&;:!_*?#@^ rope 12", []),
