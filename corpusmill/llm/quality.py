@@ -2,7 +2,9 @@
 
 One pass over a text gives composition, line, word and repetition statistics and the share of its characters that stand
 in sentences. A unit of text is a paragraph line, or several hard-wrapped lines; a stretch of a unit is a sentence if it
-ends like one and has the words, the letters and the common words of one.
+ends like one and has the words, the letters and the common words of one, and, where it is long, if repeated runs of words
+don't dominate it. ``kind_of`` combines the statistics: duplicate lines, paragraphs and n-grams, lists and boilerplate can
+each overrule the sentence share.
 """
 
 from __future__ import annotations
@@ -20,21 +22,33 @@ MIN_SENTENCE_SHARE = 0.5
 SHORT_LINE = 20
 WRAP_CHARS = 45
 """A line of at least so many characters that doesn't end a sentence may go on in the next line."""
-MIN_WORDS, MAX_WORDS = 3, 80
+MIN_WORDS = 3
 MIN_LETTERS = 0.7
-#: Function words that hardly any sentence of some length lacks, in the languages of the data.
+LONG_WORDS = 40
+"""A stretch of more words must look like prose throughout: see ``is_sentence``."""
+LONG_FUNCTION_SHARE, LONG_REPEATED_SHARE = 0.08, 0.5
+MAX_DUPLICATE_SHARE, MAX_2GRAM_SHARE, MAX_4GRAM_SHARE = 0.9, 0.5, 0.7
+"""Shares of duplicate lines or paragraphs and of the dominant n-gram above which a text is repetition, whatever its sentences."""
+UNSURE = 0.05
+"""Within this distance of ``MIN_SENTENCE_SHARE`` line statistics decide between prose and lists or boilerplate."""
+#: Function words that hardly any sentence of some length lacks, in languages with Latin letters. Texts in
+#: other scripts are told by their letters and end marks alone.
 FUNCTION_WORDS = frozenset(
     "the a an and or but of to in on at by for with from as is are was were be been has had have it its this that these they their them we our you your he his she her "
     "nobody one every no not who which when while until since why how what "
     "der die das den dem des ein eine einen einem einer und oder aber nicht ist war im mit auf von zu für sich nach bei seit ohne "
     "le la les l un une des du de et ou mais ne pas est dans sur avec pour sous sans que qui quand car où "
-    "el los las una unos y o pero no es en con por para del al se su sin cuando donde porque".split()
+    "el los las una unos y o pero no es en con por para del al se su sin cuando donde porque "
+    "il lo gli di da che è e non per con sono della nel uno os as um uma não com em que het een van en niet op te zijn aan det och att som på inte är af til ikke w na nie się jest do że z i bir ve bu için".split()
 )
 
 _TAG = re.compile(r"<!--.*?-->|<[^<>\n]{1,200}>|&#?\w{1,10};", re.S)
 _LINK = re.compile(r"\]\([^()\s]*\)|\[\[[^\[\]|]*\||\{\{.*?\}\}|\\(?:cite|ref|label)\{[^{}]*\}|\\[A-Za-z]+\*?", re.S)
-_SENTENCE = re.compile(r".+?(?:[.!?…]+[\"'”’»)\]}*_`]*(?=\s|$)|$)", re.S)
-_CLOSERS = "\"'”’»)]}*_`"
+_END = re.compile(r"[.!?…؟।]+[\"'”’»)\]}*_`]*(?=\s|$)|[。！？]+[」』”）]*")
+_CLOSERS = "\"'”’»)]}*_`」』）"
+_END_MARKS = frozenset(".!?…。！？؟।")
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u1cff\u2c00-\ud7ff\uf900-\ufdff\ufe70-\ufefc]")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ITEM = re.compile(r"\s*(?:[-*•+›·–—>]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\|)\s")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s|=+[^=]+=+\s*$|\\(?:section|chapter|subsection)\b|CHAPTER\b|\*{3}|~{3}|`{3})")
@@ -47,7 +61,7 @@ _LOG = re.compile(r"^\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 
 def ends(line: str) -> bool:
     """Whether a stripped line ends with an end mark, quotes and brackets apart."""
-    return line.rstrip(_CLOSERS)[-1:] in (".", "!", "?", "…")
+    return line.rstrip(_CLOSERS)[-1:] in _END_MARKS
 
 
 def structural(line: str) -> bool:
@@ -67,32 +81,54 @@ def structural(line: str) -> bool:
     return bool(_HEADING.match(line) or _LOG.match(line))
 
 
+def repeated_share(words: list[str], n: int = 5) -> float:
+    """Share of ``words`` that stand in a run of ``n`` words which occurs more than once among them."""
+    grams = list(zip(*(words[i:] for i in range(n))))
+    times = Counter(grams)
+    if len(times) == len(grams):
+        return 0.0
+    last, total = -n, 0
+    for at, gram in enumerate(grams):
+        if times[gram] > 1:
+            total += min(n, at - last)
+            last = at
+    return total / len(words)
+
+
 def is_sentence(stretch: str) -> bool:
-    """Whether a stretch that ends with an end mark reads like a sentence."""
+    """Whether a stretch that ends with an end mark reads like a sentence.
+
+    It has words, mostly letters, and a function word unless it is in a script other than Latin. However long it is, it may
+    be one; but more than ``LONG_WORDS`` words need function words throughout, and fewer than ``LONG_REPEATED_SHARE`` of
+    them in repeated runs: otherwise it is keywords, or phrases strung together.
+    """
     body = _ITEM.sub("", stretch, count=1) if _ITEM.match(stretch) else stretch
     words = _LETTERS.findall(body)
-    if not MIN_WORDS <= len(words) <= MAX_WORDS:
-        return False
     solid = sum(map(len, body.split()))
     letters = sum(map(len, words))
-    if letters < MIN_LETTERS * solid or letters > 14 * len(words):
+    if letters < MIN_LETTERS * solid or not words:
         return False
-    return any(w.lower() in FUNCTION_WORDS for w in words)
+    if _OTHER_SCRIPT.search(body):
+        return len(words) >= MIN_WORDS or len(_UNSPACED.findall(body)) >= 2 * MIN_WORDS
+    if len(words) < MIN_WORDS or letters > 14 * len(words):
+        return False
+    if len(words) <= LONG_WORDS:
+        return not FUNCTION_WORDS.isdisjoint(words) or not FUNCTION_WORDS.isdisjoint(map(str.lower, words))
+    low = [w.lower() for w in words]
+    return sum(w in FUNCTION_WORDS for w in low) >= LONG_FUNCTION_SHARE * len(low) and repeated_share(low) < LONG_REPEATED_SHARE
 
 
 def units(text: str) -> list[str]:
-    """Lines, hard-wrapped ones joined."""
+    """Lines that may hold sentences, hard-wrapped ones joined."""
     out: list[str] = []
     held = ""
     for line in text.split("\n"):
         bare = line.strip()
-        if held and (not bare or structural(line) or _ITEM.match(line) or (bare[0].isupper() and len(held.rsplit("\n", 1)[-1]) < WRAP_CHARS)):
+        form = bool(bare) and structural(line)
+        if held and (not bare or form or _ITEM.match(line) or (bare[0].isupper() and len(held.rsplit("\n", 1)[-1]) < WRAP_CHARS)):
             out.append(held)
             held = ""
-        if not bare:
-            continue
-        if structural(line):
-            out.append(line)
+        if not bare or form:
             continue
         held = f"{held}\n{bare}" if held else bare
         if ends(bare) or len(bare) < SHORT_LINE:
@@ -107,13 +143,15 @@ def sentence_chars(text: str) -> int:
     """Characters other than white space that stand in sentences; markup inside a sentence stands in it."""
     total = 0
     for unit in units(text):
-        if structural(unit):
+        if "\n" in unit and structural(unit):
             continue
         plain = _LINK.sub(lambda m: " " * len(m.group()), _TAG.sub(lambda m: " " * len(m.group()), unit)) if any(c in unit for c in "<&[{\\") else unit
-        for m in _SENTENCE.finditer(plain):
-            stretch = m.group().strip()
-            if stretch and ends(stretch) and is_sentence(stretch):
-                total += sum(map(len, unit[m.start() : m.end()].split()))
+        at = 0
+        for m in _END.finditer(plain):
+            to = m.end()
+            if is_sentence(plain[at:to].strip()):
+                total += sum(map(len, unit[at:to].split()))
+            at = to
     return total
 
 
@@ -152,16 +190,28 @@ _NAMES = [m.split()[0] for m in MEASURES.split(", ")]
 
 
 def kind_of(m: dict) -> str:
-    """Combined rules: what a text without enough sentences mostly is."""
-    if m["sentence_share"] >= MIN_SENTENCE_SHARE:
+    """Combined rules: ``prose``, or what a text is instead.
+
+    Repetition comes first: a text whose lines or paragraphs are nearly all copies, or that one n-gram covers, is no prose,
+    although its sentences are. Then the sentence share decides, with the form of the lines where it is close to the limit.
+    """
+    if max(m["duplicate_line_share"], m["duplicate_paragraph_share"]) > MAX_DUPLICATE_SHARE or m["dominant_2gram_share"] > MAX_2GRAM_SHARE or m["dominant_4gram_share"] > MAX_4GRAM_SHARE:
+        return "repetition"
+    share = m["sentence_share"]
+    listed, furnished = m["list_line_share"] > 0.5, m["short_line_share"] > 0.5 and m["punctuated_line_share"] < 0.3
+    if share >= MIN_SENTENCE_SHARE + UNSURE:
         return "prose"
+    if share >= MIN_SENTENCE_SHARE - UNSURE:
+        doubts = listed + furnished + (m["common_word_share"] < 0.05) + (m["dominant_4gram_share"] > 0.3 or m["duplicate_line_share"] > 0.5)
+        if doubts == 0 and share >= MIN_SENTENCE_SHARE or doubts == 0 and m["punctuated_line_share"] > 0.9:
+            return "prose"
     if m["dominant_4gram_share"] > 0.3 or m["duplicate_line_share"] > 0.3:
         return "repetition"
     if m["symbol_ratio"] > 0.3 or m["mean_word_length"] > 12:
         return "noise"
     if m["digit_ratio"] > 0.15:
         return "table"
-    if m["list_line_share"] > 0.5:
+    if listed:
         return "list"
     if m["common_word_share"] < 0.1:
         return "keywords"

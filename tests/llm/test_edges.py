@@ -46,7 +46,7 @@ def test_row_operators(spark, odd):
     rep = {r.example_id: r for r in repetition.repetition(odd).collect()}
     assert rep[1].band == "null" and rep[1].share is None and rep[2].band == "empty" and rep[2].share == 0 and rep[4].is_repetitive and not rep[7].is_repetitive
     stats = {r.example_id: r for r in quality.statistics(odd, frozenset(["the"])).collect()}
-    assert stats[1].kind == "null" and stats[1].n_words is None and stats[3].kind == "blank" and stats[4].kind == "prose"
+    assert stats[1].kind == "null" and stats[1].n_words is None and stats[3].kind == "blank" and stats[4].kind == "repetition"
     assert stats[3].sentence_share == 0 and stats[4].sentence_share > 0.9 and stats[5].sentence_share == 0
     pages = {r.example_id: r for r in furniture.furniture_lines(odd).collect()}
     assert pages[1].lines is None and pages[2].lines == [] and pages[2].body == ""

@@ -1,5 +1,6 @@
 """Classifiers and rules on held-out, invented texts."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -30,6 +31,40 @@ def test_not_prose(text):
     assert not quality.measure(text, frozenset())["is_prose"]
 
 
+NOUNS = "clause lease tenant owner court notice rent payment sum term house clerk judge paper witness seal copy date sale land field fence water road".split()
+
+
+def test_long_sentences():
+    r = random.Random(1)
+    legal = " ".join(f"the {r.choice(NOUNS)} of the {r.choice(NOUNS)} is {r.choice(NOUNS)} to a {r.choice(NOUNS)}," for _ in range(20)) + " and so on."
+    assert len(legal.split()) > 190 and quality.measure(legal, frozenset())["is_prose"]
+    strung = "beside the lease of the owner " * 30 + "of the court."
+    assert quality.measure(strung, frozenset())["kind"] == "repetition"
+    assert not quality.measure(" ".join(r.choice(NOUNS) for _ in range(120)) + " the end.", frozenset())["is_prose"]
+
+
+@pytest.mark.parametrize("text", ["Корабль ушёл на рассвете. Никто его не видел.", "船は夜明けに出た。誰もそれを見なかった。", "La barca partì all'alba, e nessuno la vide.", "Łódź wypłynęła o świcie i nikt jej nie widział.", "Το πλοίο έφυγε την αυγή."])
+def test_prose_of_other_languages(text):
+    assert quality.measure(text, frozenset())["is_prose"]
+
+
+def test_every_statistic_counts():
+    line = "The boat left at dawn and nobody saw it."
+    assert quality.measure(line, frozenset())["is_prose"]
+    assert quality.measure("\n".join([line] * 60), frozenset())["kind"] == "repetition"
+    assert quality.measure("\n\n".join([f"{line}\nThe keeper slept."] * 30), frozenset())["kind"] == "repetition"
+    m = quality.measure(line, frozenset())
+    near = m | {"sentence_share": 0.51, "common_word_share": 0.3}
+    assert quality.kind_of(near) == "prose"
+    for change, kind in (
+        ({"list_line_share": 0.6}, "list"), ({"short_line_share": 0.7, "punctuated_line_share": 0.1}, "boilerplate"), ({"common_word_share": 0.01}, "keywords"), ({"dominant_4gram_share": 0.5}, "repetition"),
+        ({"duplicate_line_share": 0.6}, "repetition"), ({"duplicate_paragraph_share": 0.95}, "repetition"), ({"dominant_2gram_share": 0.6}, "repetition"),
+    ):
+        assert quality.kind_of(near | change) == kind
+    assert quality.kind_of(near | {"sentence_share": 0.47}) == "prose"
+    assert quality.kind_of(near | {"sentence_share": 0.47, "punctuated_line_share": 0.5}) != "prose"
+
+
 def test_page():
     page = [
         ("Toggle navigation", 1), ("News | Shop | Contact | Help", 1), ("The quiet well of Norton", 0), ("The well was dug in 1840, and it never ran dry!", 0), ("Sponsored", 1), ("Later wells", 0), ("", 0),
