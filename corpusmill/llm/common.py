@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..durable import cut
+
 WORD = re.compile(r"[^\W_]+")
 """A word: a maximal run of letters or digits; apply it to lower-cased text."""
 
@@ -52,6 +54,31 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows:
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small.hint("merge"), on, how)
 
 
+HOT_ROWS = 2_000
+"""Rows of one key beyond which the key is split by a salt, on the side that has them."""
+
+
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """(key, parts) of the keys with more than ``rows`` rows in ``df``: at most one for so many of its rows."""
+    return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(key, F.ceil(F.col("_n") / rows).cast("int").alias("parts"))
+
+
+def salted_join(a: DataFrame, b: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """``a.join(b, key)``, with the rows of a key that has more than ``rows`` of them in ``b`` spread over salts.
+
+    The rows of ``b`` take one salt each, by a hash of their columns, those of ``a`` every salt of their key; other keys have one salt. The keys to split
+    are counted with partial aggregates, and their list is joined by its checked size.
+    """
+    hot = cut(hot_keys(b, key, rows))
+    n = hot.count()
+    if n == 0:
+        return a.join(b, key)
+    parts = F.coalesce("parts", F.lit(1))
+    left = sized_join(a, hot, [key], "left", n).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    right = sized_join(b, hot, [key], "left", n).withColumn("_salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*b.columns), F.col("parts")).cast("int"))).drop("parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def valid_config(spark: SparkSession, sf_dir: str, name: str = "base") -> DataFrame:
     """The row of ``filter_config`` with the largest ``updated_at`` of the versions of ``name``."""
     return (

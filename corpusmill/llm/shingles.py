@@ -140,7 +140,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 def class_sets(texts: DataFrame, reps: DataFrame, k: int, salt_rows: int | None = None) -> DataFrame:
     """(cls, members) of the classes in ``reps`` (cls, example_id): the sorted shingle codes of that record's text.
 
-    ``texts`` has (example_id, text). The texts are found by a join whose small side is broadcast only after a count.
+    ``texts`` has (example_id, text). The texts are found by a join whose small side is broadcast only after a count. Where
+    an id was delivered with several texts, the one that is of the class is taken.
     """
     wanted = sized_join(texts, reps, ["example_id"], "inner", salt_rows).select("cls", "text")
 
@@ -152,7 +153,9 @@ def class_sets(texts: DataFrame, reps: DataFrame, k: int, salt_rows: int | None
                 codes, lens = word_codes(part.column("text").to_pylist(), known)
                 keys, sets = part.column("cls").to_pylist(), {}
                 for i, _, r in split_docs(codes, lens, k):
-                    sets[keys[i]] = signed(np.unique(r))
+                    members = np.unique(r)
+                    if class_key(members) == keys[i]:
+                        sets[keys[i]] = signed(members)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["cls", "members"]
                 )

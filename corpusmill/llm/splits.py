@@ -1,17 +1,16 @@
 """Problem 6: the same or near-same records across splits, by similarity-hash bit fingerprints.
 
-1. A passage is a window of words around an anchor; anchors are the positions whose shingle is the rarest (by the
-   frequency sketch, then by code) among its neighbours, so equal stretches of two texts get equal anchors.
-2. A passage's fingerprint is the similarity hash of its word pairs (of its words and their places, where it has but
-   three): each of 64 bits is what most of their hashes have there.
-   A code is split into ``RADIUS + 1`` segments; codes within the Hamming radius share a whole segment, so a join on
+1. A passage is a window of six consecutive words; its fingerprint is the similarity hash of its five word pairs: each of
+   64 bits is what most of their hashes have there. Texts of fewer words than a passage has are fingerprinted by their
+   three-word windows, of each word with its place.
+2. A code is split into ``RADIUS + 1`` segments; codes within the Hamming radius share a whole segment, so a join on
    (tier, segment number, segment) with a check of the distance finds all of them.
-3. A changed word breaks the passages around it, so a pair may share no whole one. Validation texts therefore also have
-   the three-word passages of their rarest shingles, so many that any text that holds the wanted share of the set must
-   have ``needed(n)`` of them; pairs that share fewer are dropped. With these no pair is lost, whatever the edits.
+3. Train texts have the codes of all their passages. Validation texts have those of their rarest passages, so many that an
+   edited copy cannot miss them: an inserted, removed, changed or moved word costs a text at least two of its three-word
+   shingles for every ``CUT`` passages, and a copy lacks at most a share of 1 - T of the shingles (``posted_passages``).
 4. Codes of train texts are dropped early by a bitmap of the segments that validation texts have, of up to 128 MB. It has
    no false negatives; when it fills up, more rows are shuffled and the result is the same.
-5. Candidates are verified on their exact sets.
+5. Segments held by many texts are split by salts. Candidates are verified on their exact sets.
 """
 
 from __future__ import annotations
@@ -24,20 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import cut
-from .common import SLICE_ROWS, read, sized_join, threshold
-from .shingles import WordCodes, class_key, class_sets, doc_frequency, mix, overlap, prefix_size, rarest, runs, signed, split_docs, word_codes
+from .common import SLICE_ROWS, read, salted_join, sized_join, threshold
+from .shingles import WordCodes, class_key, class_sets, doc_frequency, mix, overlap, runs, signed, split_docs, word_codes
 
 K = 3
-PASSAGE = 9
+PAIRS = 5
 """Word pairs of a passage; odd, so that no bit is tied."""
-NEIGHBOURS = 4
-"""An anchor is the rarest of this many shingles on either side; a shared stretch of 20 words has a common passage."""
+WORDS = PAIRS + 1
+CUT = WORDS - 1
+"""Passages that a cut between two words runs through, where it runs through two shingles."""
 RADIUS = 1
-RARE = 0.25
-"""Share of a validation text's passages that is used: those at its rarest anchors, and at least ``LEAST`` of them."""
-LEAST = 6
-SHINGLES_PER_MATCH = 16
-BITS_PER_KEY = 128
+PASSAGES_PER_MATCH = 16
+BITS_PER_KEY = 16
 BITMAP_BITS = (22, 30)
 """log2 of the least and the greatest size of the bitmap in bits; between them it follows the number of keys."""
 BLOCK_BITS = 16
@@ -51,8 +48,14 @@ def run_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def needed(n: int) -> int:
-    """How many three-word passages of a validation text of ``n`` shingles a train text must share."""
-    return max(1, n // SHINGLES_PER_MATCH)
+    """How many codes of a validation text that posts ``n`` passages beyond those an edited copy may lack must be shared."""
+    return max(1, n // PASSAGES_PER_MATCH)
+
+
+def posted_passages(passages: int, shingles: int, t: float) -> int:
+    """How many of a validation text's passages are posted: those that a copy may lack, and ``needed`` more."""
+    lost = shingles - int(np.ceil(t * shingles - 1e-9))
+    return min(passages, -(-CUT * lost // (K - 1)) + needed(passages))
 
 
 def majority(words: np.ndarray, width: int) -> np.ndarray:
@@ -80,77 +83,69 @@ def short_codes(words: np.ndarray) -> np.ndarray:
     return a & b | a & c | b & c
 
 
-def anchors(order: np.ndarray) -> np.ndarray:
-    """Positions whose value is the least of their neighbourhood; texts shorter than it have their overall least."""
-    n = len(order)
-    low = order.copy()
-    for d in range(1, NEIGHBOURS + 1):
-        low[d:] = np.minimum(low[d:], order[:-d])
-        low[:-d] = np.minimum(low[:-d], order[d:])
-    return np.flatnonzero(low == order) if n else np.empty(0, np.int64)
-
-
 def segments(codes: np.ndarray, tier: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, codes): for each code its segments, scrambled together with tier and segment number."""
     parts, width = radius + 1, 64 // (radius + 1)
     keys = [mix((codes >> np.uint64(s * width) & np.uint64((1 << width) - 1 if width < 64 else 0xFFFFFFFFFFFFFFFF)) ^ np.uint64((tier * 8 + s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for s in range(parts)]
-    flat = np.concatenate(keys) & ~np.uint64(1) | np.uint64(tier)  # the lowest bit tells the tier
-    return flat, np.concatenate([codes] * parts) if radius else np.zeros(len(flat), np.uint64)  # equal keys say it all
+    return np.concatenate(keys), np.concatenate([codes] * parts)
+
+
+def passages(words: np.ndarray) -> np.ndarray:
+    """Fingerprints of all passages of a text, by first word."""
+    return majority(runs(words, 2), PAIRS)
 
 
-def passages(words: np.ndarray, shingles: np.ndarray, counts: np.ndarray, share: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, codes) of the passages of one text at its rarest anchors."""
-    if len(words) <= PASSAGE:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    seen = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
-    order = np.minimum(seen, np.uint64(0xFFFFFF)) << np.uint64(40) | shingles >> np.uint64(24)
-    at = anchors(order)
-    if share < 1:
-        at = at[np.argsort(order[at], kind="stable")[: max(LEAST, int(np.ceil(share * len(at))))]]
-    hashes = majority(runs(words, 2), PASSAGE)
-    start = np.clip(at - (PASSAGE - K) // 2, 0, len(hashes) - 1)
-    return segments(hashes[start], 0, radius)
+def rarest_passages(codes: np.ndarray, shingles: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
+    """The ``keep`` distinct codes whose rarest shingle is the rarest by the frequency sketch; ties by code."""
+    seen = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]
+    rare = np.lib.stride_tricks.sliding_window_view(seen, WORDS - K + 1).min(axis=1)
+    distinct, at = np.unique(codes, return_index=True)
+    return distinct[np.lexsort((mix(distinct), rare[at]))[:keep]]
 
 
-def fingerprints(records: DataFrame, counts: np.ndarray, t: float, held_out: bool, bitmap: np.ndarray | None = None, radius: int = RADIUS) -> DataFrame:
-    """(example_id, cls, n, keys, codes): ``records`` with a shingle, their passages' segment keys and codes.
+def fingerprints(records: DataFrame, counts: np.ndarray | None, t: float, bitmap: np.ndarray | None = None, radius: int = RADIUS) -> DataFrame:
+    """(example_id, cls, n, least, keys, codes): ``records`` with a shingle, their passages' segment keys and codes.
 
-    ``held_out`` texts choose which passages to use; the others give all of them that ``bitmap`` may hold.
+    With ``counts`` they are validation texts, which post their rarest passages and say in ``least`` how many codes must be
+    shared; without, train texts, which post all that ``bitmap`` may hold.
     """
     held = records.sparkSession.sparkContext.broadcast((counts, bitmap))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (seen, bits) = WordCodes(), held.value
+        none = np.empty(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 ids, rows = part.column("example_id").to_pylist(), []
                 flat, lens = word_codes(part.column("text").to_pylist(), known)
                 for i, w, r in split_docs(flat, lens, K):
-                    members = np.unique(r)
-                    keys, codes = passages(w, r, seen, RARE if held_out else 1, radius)
-                    if held_out:
-                        few = np.isin(r, rarest(members, seen, prefix_size(len(members), t) + needed(len(members)) - 1))
-                        k3, c3 = segments(short_codes(w)[few], 1, 0)
-                        keys, codes = np.concatenate([keys, k3]), np.concatenate([codes, c3])
+                    members, least = np.unique(r), 1
+                    long = passages(w) if len(w) >= WORDS else none
+                    if seen is not None:
+                        if len(long):
+                            least = needed(len(np.unique(long)))
+                            keys, codes = segments(rarest_passages(long, r, seen, posted_passages(len(np.unique(long)), len(members), t)), 0, radius)
+                        else:
+                            keys, codes = segments(np.unique(short_codes(w)), 1, radius)
                     else:
-                        k3, c3 = segments(short_codes(w), 1, 0)
-                        keys, codes = np.concatenate([keys, k3]), np.concatenate([codes, c3])
+                        (k0, c0), (k1, c1) = segments(long, 0, radius), segments(short_codes(w), 1, radius)
+                        keys, codes = np.concatenate([k0, k1]), np.concatenate([c0, c1])
                         slot = keys & np.uint64(8 * len(bits) - 1)
                         may = bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
                         keys, codes = keys[may], codes[may]
-                    if len(keys):
-                        _, once = np.unique(keys ^ mix(codes), return_index=True)
-                        keys, codes = keys[once], codes[once]
-                    rows.append((ids[i], class_key(members), len(members), signed(keys), signed(codes)))
-                a, b, c, d, e = zip(*rows) if rows else ((), (), (), (), ())
+                        if len(keys):
+                            _, once = np.unique(keys ^ mix(codes), return_index=True)
+                            keys, codes = keys[once], codes[once]
+                    rows.append((ids[i], class_key(members), len(members), least, signed(keys), signed(codes)))
+                a, b, c, d, e, f = zip(*rows) if rows else ((), (), (), (), (), ())
                 many = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(list(d), many), pa.array(list(e), many)],
-                    ["example_id", "cls", "n", "keys", "codes"],
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32()), pa.array(list(e), many), pa.array(list(f), many)],
+                    ["example_id", "cls", "n", "least", "keys", "codes"],
                 )
 
-    return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, keys array<bigint>, codes array<bigint>")
+    return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, least int, keys array<bigint>, codes array<bigint>")
 
 
 def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
@@ -188,25 +183,24 @@ def split_links(records: DataFrame, phases: DataFrame, t: float, radius: int = R
     texts = records.select("example_id", "run_id", "text").filter("example_id is not null and text is not null and run_id is not null")
     phases = cut(phases)
     val_runs, train_runs = phases.filter("phase = 'val'").select("run_id"), phases.filter("phase = 'train'").select("run_id")
-    counts = doc_frequency(texts.select("text"), K)
-    val = cut(fingerprints(sized_join(texts, val_runs, ["run_id"], "left_semi"), counts, t, True, radius=radius))
+    val = cut(fingerprints(sized_join(texts, val_runs, ["run_id"], "left_semi"), doc_frequency(texts.select("text"), K), t, radius=radius))
     wanted, posts = val.select(F.explode("keys").alias("key")), val.agg(F.sum(F.size("keys"))).first()[0] or 0
-    train = cut(fingerprints(sized_join(texts, train_runs, ["run_id"], "left_semi"), counts, t, False, key_bitmap(wanted, posts), radius))
+    train = cut(fingerprints(sized_join(texts, train_runs, ["run_id"], "left_semi"), None, t, key_bitmap(wanted, posts), radius))
 
     def posted(side: DataFrame, name: str) -> DataFrame:
         firsts = cut(side.groupBy("cls").agg(F.min("example_id").alias("example_id"))).select("example_id")  # one record of each class
         side = sized_join(side, firsts, ["example_id"], "left_semi")
         both = F.explode(F.arrays_zip("keys", "codes")).alias("p")
-        return side.select("cls", "n", both).select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), F.col("p.keys").alias("key"), F.col("p.codes").alias(f"code_{name}"))
+        return side.select("cls", "n", "least", both).select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), "least", F.col("p.keys").alias("key"), F.col("p.codes").alias(f"code_{name}"))
 
-    short = F.col("key").bitwiseAND(F.lit(1)) == 1
     pairs = cut(
-        posted(val, "v")
-        .join(posted(train, "r"), "key")
-        .filter((F.bit_count(F.col("code_v").bitwiseXOR(F.col("code_r"))) <= F.when(short, 0).otherwise(radius)) & (F.col("n_r") >= t * F.col("n_v") - 1e-9))
+        salted_join(posted(val, "v"), posted(train, "r").drop("least"), "key")
+        .filter((F.bit_count(F.col("code_v").bitwiseXOR(F.col("code_r"))) <= radius) & (F.col("n_r") >= t * F.col("n_v") - 1e-9))
+        .groupBy("cls_v", "cls_r", "code_v", "least")
+        .agg(F.lit(1).alias("one"))
         .groupBy("cls_v", "cls_r")
-        .agg(F.first("n_v").alias("n_v"), F.count_if(short).alias("same"), F.count_if(~short).alias("near"))
-        .filter((F.col("near") > 0) | (F.col("same") >= F.greatest(F.floor(F.col("n_v") / SHINGLES_PER_MATCH), F.lit(1))))
+        .agg(F.count("*").alias("shared"), F.max("least").alias("least"))
+        .filter("shared >= least")
         .select("cls_v", "cls_r")
     )
     members = val.select("cls", "example_id").unionByName(train.select("cls", "example_id"))

@@ -125,7 +125,7 @@ def test_splits(spark):
 def test_majority():
     r = np.random.default_rng(1)
     w = r.integers(0, 1 << 63, 40, np.uint64)
-    for width in (3, 9):
+    for width in (3, 5, 9):
         got = splits.majority(w, width)
         for i, g in enumerate(got.tolist()):
             part = [int(x) for x in w[i : i + width]]
