@@ -4,13 +4,15 @@
    64 bits is what most of their hashes have there. Texts of fewer words than a passage has are fingerprinted by their
    three-word windows, of each word with its place.
 2. A code is split into ``RADIUS + 1`` segments; codes within the Hamming radius share a whole segment, so a join on
-   (tier, segment number, segment) with a check of the distance finds all of them.
+   (tier, segment number, segment) with a check of the distance finds all of them. A train code that a validation text has
+   as it is (distance 0) is joined whole instead, by one row in place of one for each segment.
 3. Train texts have the codes of all their passages. Validation texts have those of their rarest passages, so many that an
    edited copy cannot miss them: an inserted, removed, changed or moved word costs a text at least two of its three-word
    shingles for every ``CUT`` passages, and a copy lacks at most a share of 1 - T of the shingles (``posted_passages``).
-4. Codes of train texts are dropped early by a bitmap of the segments that validation texts have, of up to 128 MB. It has
-   no false negatives; when it fills up, more rows are shuffled and the result is the same.
-5. Segments held by many texts are split by salts. Candidates are verified on their exact sets.
+4. Train codes are dropped early by a bitmap of the codes and segments that validation texts have, and validation codes by
+   one of those that train texts kept. A bitmap has up to 128 MB and no false negatives; when it fills up, more rows are
+   shuffled and the result is the same.
+5. Keys held by many texts are split by salts. Candidates are verified on their exact sets.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ CUT = WORDS - 1
 """Passages that a cut between two words runs through, where it runs through two shingles."""
 RADIUS = 1
 PASSAGES_PER_MATCH = 16
-BITS_PER_KEY = 16
+BITS_PER_KEY, PROBES = 16, 2
 BITMAP_BITS = (22, 30)
 """log2 of the least and the greatest size of the bitmap in bits; between them it follows the number of keys."""
 BLOCK_BITS = 16
@@ -83,11 +85,46 @@ def short_codes(words: np.ndarray) -> np.ndarray:
     return a & b | a & c | b & c
 
 
-def segments(codes: np.ndarray, tier: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, codes): for each code its segments, scrambled together with tier and segment number."""
+def _tag(tier: int, part: int) -> np.uint64:
+    return np.uint64((tier * 8 + part) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
+def whole_keys(codes: np.ndarray, tier: int) -> np.ndarray:
+    """A key of each code as it is; its lowest bit is set."""
+    return mix(codes ^ _tag(tier, 0)) | np.uint64(1)
+
+
+def segments(codes: np.ndarray, tier: int, radius: int) -> np.ndarray:
+    """Keys of the segments of codes, scrambled together with tier and segment number, one row a segment; lowest bit clear."""
     parts, width = radius + 1, 64 // (radius + 1)
-    keys = [mix((codes >> np.uint64(s * width) & np.uint64((1 << width) - 1 if width < 64 else 0xFFFFFFFFFFFFFFFF)) ^ np.uint64((tier * 8 + s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for s in range(parts)]
-    return np.concatenate(keys), np.concatenate([codes] * parts)
+    low = np.uint64((1 << width) - 1 if width < 64 else 0xFFFFFFFFFFFFFFFF)
+    return np.stack([mix((codes >> np.uint64(s * width) & low) ^ _tag(tier, s + 1)) & ~np.uint64(1) for s in range(parts)])
+
+
+def slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
+    """The bits of a bitmap of ``size`` bits that a key has."""
+    return [(keys >> np.uint64(1 + 31 * p)) & np.uint64(size - 1) for p in range(PROBES)]
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a bitmap may hold each key."""
+    out = np.ones(keys.shape, bool)
+    for slot in slots(keys, 8 * len(bits)):
+        out &= bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+    return out
+
+
+def kept(codes: np.ndarray, tier: int, radius: int, bits: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, codes) that a bitmap may hold: whole ones, and segments.
+
+    If ``near`` is false, a code that is there whole, as are all of its segments, has no rows for segments.
+    """
+    whole, parts = whole_keys(codes, tier), segments(codes, tier, radius)
+    some = may_hold(bits, parts)
+    equal = may_hold(bits, whole) & some.all(axis=0)
+    if not near:
+        some &= ~equal
+    return np.concatenate([whole[equal], parts[some]]), np.concatenate([codes[equal], np.broadcast_to(codes, parts.shape)[some]])
 
 
 def passages(words: np.ndarray) -> np.ndarray:
@@ -103,53 +140,93 @@ def rarest_passages(codes: np.ndarray, shingles: np.ndarray, counts: np.ndarray,
     return distinct[np.lexsort((mix(distinct), rare[at]))[:keep]]
 
 
-def fingerprints(records: DataFrame, counts: np.ndarray | None, t: float, bitmap: np.ndarray | None = None, radius: int = RADIUS) -> DataFrame:
-    """(example_id, cls, n, least, keys, codes): ``records`` with a shingle, their passages' segment keys and codes.
+def held_out_codes(records: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
+    """(example_id, cls, n, least, tier, codes): validation ``records`` with a shingle and their rarest passages' codes.
 
-    With ``counts`` they are validation texts, which post their rarest passages and say in ``least`` how many codes must be
-    shared; without, train texts, which post all that ``bitmap`` may hold.
+    ``least`` is how many codes a train text must share; ``tier`` is 1 for the texts that are shorter than a passage.
     """
-    held = records.sparkSession.sparkContext.broadcast((counts, bitmap))
+    held = records.sparkSession.sparkContext.broadcast(counts)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (seen, bits) = WordCodes(), held.value
-        none = np.empty(0, np.uint64)
+        known, seen = WordCodes(), held.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 ids, rows = part.column("example_id").to_pylist(), []
                 flat, lens = word_codes(part.column("text").to_pylist(), known)
                 for i, w, r in split_docs(flat, lens, K):
-                    members, least = np.unique(r), 1
-                    long = passages(w) if len(w) >= WORDS else none
-                    if seen is not None:
-                        if len(long):
-                            least = needed(len(np.unique(long)))
-                            keys, codes = segments(rarest_passages(long, r, seen, posted_passages(len(np.unique(long)), len(members), t)), 0, radius)
-                        else:
-                            keys, codes = segments(np.unique(short_codes(w)), 1, radius)
+                    members = np.unique(r)
+                    if len(w) >= WORDS:
+                        codes = passages(w)
+                        there = len(np.unique(codes))
+                        rows.append((ids[i], class_key(members), len(members), needed(there), 0, signed(rarest_passages(codes, r, seen, posted_passages(there, len(members), t)))))
                     else:
-                        (k0, c0), (k1, c1) = segments(long, 0, radius), segments(short_codes(w), 1, radius)
-                        keys, codes = np.concatenate([k0, k1]), np.concatenate([c0, c1])
-                        slot = keys & np.uint64(8 * len(bits) - 1)
-                        may = bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
-                        keys, codes = keys[may], codes[may]
-                        if len(keys):
-                            _, once = np.unique(keys ^ mix(codes), return_index=True)
-                            keys, codes = keys[once], codes[once]
-                    rows.append((ids[i], class_key(members), len(members), least, signed(keys), signed(codes)))
+                        rows.append((ids[i], class_key(members), len(members), 1, 1, signed(np.unique(short_codes(w)))))
                 a, b, c, d, e, f = zip(*rows) if rows else ((), (), (), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32()), pa.array(e, pa.int32()), pa.array(list(f), pa.list_(pa.int64()))],
+                    ["example_id", "cls", "n", "least", "tier", "codes"],
+                )
+
+    return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, least int, tier int, codes array<bigint>")
+
+
+def train_codes(records: DataFrame, bitmap: np.ndarray, radius: int = RADIUS) -> DataFrame:
+    """(example_id, cls, n, keys, codes): train ``records`` with a shingle, and the keys of their passages that ``bitmap`` may hold.
+
+    The code of a whole key says nothing new and is 0.
+    """
+    held = records.sparkSession.sparkContext.broadcast(bitmap)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = WordCodes(), held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                ids, rows = part.column("example_id").to_pylist(), []
+                flat, lens = word_codes(part.column("text").to_pylist(), known)
+                for i, w, r in split_docs(flat, lens, K):
+                    members = np.unique(r)
+                    keys, codes = kept(short_codes(w), 1, radius, bits, near=False)
+                    if len(w) >= WORDS:
+                        k0, c0 = kept(passages(w), 0, radius, bits, near=False)
+                        keys, codes = np.concatenate([k0, keys]), np.concatenate([c0, codes])
+                    codes = np.where(keys & np.uint64(1) == 1, np.uint64(0), codes)
+                    if len(keys):
+                        _, once = np.unique(keys ^ mix(codes), return_index=True)
+                        keys, codes = keys[once], codes[once]
+                    rows.append((ids[i], class_key(members), len(members), signed(keys), signed(codes)))
+                a, b, c, d, e = zip(*rows) if rows else ((), (), (), (), ())
                 many = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(list(d), many), pa.array(list(e), many)], ["example_id", "cls", "n", "keys", "codes"])
+
+    return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, keys array<bigint>, codes array<bigint>")
+
+
+def key_rows(classes: DataFrame, bitmap: np.ndarray | None, radius: int = RADIUS) -> DataFrame:
+    """(cls, n, least, key, code): all keys of the rows of ``held_out_codes``, or those that ``bitmap`` may hold."""
+    held = classes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value if held.value is not None else np.full(1, 255, np.uint8)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                keys, codes, lens = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
+                for tier, some in zip(part.column("tier").to_pylist(), part.column("codes")):
+                    k, c = kept(some.values.to_numpy().view(np.uint64), tier, radius, bits)
+                    keys.append(k)
+                    codes.append(c)
+                    lens.append(len(k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32()), pa.array(list(e), many), pa.array(list(f), many)],
-                    ["example_id", "cls", "n", "least", "keys", "codes"],
+                    [*(pa.array(np.repeat(part.column(c).to_numpy(), lens)) for c in ("cls", "n", "least")), pa.array(signed(np.concatenate(keys))), pa.array(signed(np.concatenate(codes)))], ["cls", "n", "least", "key", "code"]
                 )
 
-    return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, least int, keys array<bigint>, codes array<bigint>")
+    return classes.select("cls", "n", "least", "tier", "codes").mapInArrow(make, "cls bigint, n int, least int, key bigint, code bigint")
 
 
 def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
-    """A bitmap of the low bits of all values of ``key``: ``BITS_PER_KEY`` bits for each of ``count``, within ``BITMAP_BITS``."""
+    """A bitmap of all values of ``key``: ``BITS_PER_KEY`` bits for each of ``count``, within ``BITMAP_BITS``, ``PROBES`` set for each."""
     wide = min(max((count * BITS_PER_KEY).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
     blocks = 1 << (wide - BLOCK_BITS)
 
@@ -159,9 +236,10 @@ def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
             bits[batch.column("low").to_numpy()] = 1
         yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
-    low = F.col("key").bitwiseAND(F.lit((1 << wide) - 1))
+    probes = F.explode(F.array(*[F.shiftrightunsigned("key", 1 + 31 * p).bitwiseAND(F.lit((1 << wide) - 1)) for p in range(PROBES)])).alias("slot")
     rows = (
-        keys.select(F.shiftright(low, BLOCK_BITS).cast("int").alias("block"), low.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("low"))
+        keys.select(probes)
+        .select(F.shiftright("slot", BLOCK_BITS).cast("int").alias("block"), F.col("slot").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("low"))
         .distinct()
         .groupBy("block")
         .applyInArrow(fill, "block int, bits binary")
@@ -183,23 +261,24 @@ def split_links(records: DataFrame, phases: DataFrame, t: float, radius: int = R
     texts = records.select("example_id", "run_id", "text").filter("example_id is not null and text is not null and run_id is not null")
     phases = cut(phases)
     val_runs, train_runs = phases.filter("phase = 'val'").select("run_id"), phases.filter("phase = 'train'").select("run_id")
-    val = cut(fingerprints(sized_join(texts, val_runs, ["run_id"], "left_semi"), doc_frequency(texts.select("text"), K), t, radius=radius))
-    wanted, posts = val.select(F.explode("keys").alias("key")), val.agg(F.sum(F.size("keys"))).first()[0] or 0
-    train = cut(fingerprints(sized_join(texts, train_runs, ["run_id"], "left_semi"), None, t, key_bitmap(wanted, posts), radius))
+    val = cut(held_out_codes(sized_join(texts, val_runs, ["run_id"], "left_semi"), doc_frequency(texts.select("text"), K), t))
+    codes = val.agg(F.sum(F.size("codes"))).first()[0] or 0
+    wanted = key_bitmap(key_rows(val, None, radius).select("key"), codes * (radius + 2))
+    train = cut(train_codes(sized_join(texts, train_runs, ["run_id"], "left_semi"), wanted, radius))
 
-    def posted(side: DataFrame, name: str) -> DataFrame:
+    def one_each(side: DataFrame) -> DataFrame:
         firsts = cut(side.groupBy("cls").agg(F.min("example_id").alias("example_id"))).select("example_id")  # one record of each class
-        side = sized_join(side, firsts, ["example_id"], "left_semi")
-        both = F.explode(F.arrays_zip("keys", "codes")).alias("p")
-        return side.select("cls", "n", "least", both).select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), "least", F.col("p.keys").alias("key"), F.col("p.codes").alias(f"code_{name}"))
+        return sized_join(side, firsts, ["example_id"], "left_semi")
 
+    there = one_each(train).select(F.col("cls").alias("cls_r"), F.col("n").alias("n_r"), F.explode(F.arrays_zip("keys", "codes")).alias("p")).select("cls_r", "n_r", F.col("p.keys").alias("key"), F.col("p.codes").alias("code_r"))
+    found = key_bitmap(there.select("key"), there.count())
+    asked = key_rows(one_each(val), found, radius).select(F.col("cls").alias("cls_v"), F.col("n").alias("n_v"), "least", "key", F.col("code").alias("code_v"))
+    near = (F.col("key").bitwiseAND(F.lit(1)) == 1) | (F.bit_count(F.col("code_v").bitwiseXOR(F.col("code_r"))) <= radius)
     pairs = cut(
-        salted_join(posted(val, "v"), posted(train, "r").drop("least"), "key")
-        .filter((F.bit_count(F.col("code_v").bitwiseXOR(F.col("code_r"))) <= radius) & (F.col("n_r") >= t * F.col("n_v") - 1e-9))
-        .groupBy("cls_v", "cls_r", "code_v", "least")
-        .agg(F.lit(1).alias("one"))
+        salted_join(asked, there, "key")
+        .filter(near & (F.col("n_r") >= t * F.col("n_v") - 1e-9))
         .groupBy("cls_v", "cls_r")
-        .agg(F.count("*").alias("shared"), F.max("least").alias("least"))
+        .agg(F.count("*").alias("shared"), F.max("least").alias("least"))  # a code may count for several segments: that only keeps more pairs
         .filter("shared >= least")
         .select("cls_v", "cls_r")
     )
