@@ -121,8 +121,9 @@ def kept(codes: np.ndarray, tier: int, radius: int, bits: np.ndarray, near: bool
     """
     whole, parts = whole_keys(codes, tier), segments(codes, tier, radius)
     some = may_hold(bits, parts)
-    equal = may_hold(bits, whole) & some.all(axis=0)
+    equal = may_hold(bits, whole)
     if not near:
+        equal &= some.all(axis=0)
         some &= ~equal
     return np.concatenate([whole[equal], parts[some]]), np.concatenate([codes[equal], np.broadcast_to(codes, parts.shape)[some]])
 
