@@ -17,8 +17,8 @@ from ..durable import cut
 WORD = re.compile(r"[^\W_]+")
 """A word: a maximal run of letters or digits; apply it to lower-cased text."""
 
-BROADCAST_ROWS = 2_000_000
-"""A side of ids up to this many rows (16 MB as longs) may be broadcast; a larger one is shuffled."""
+BROADCAST_ROWS = int(os.environ.get("CORPUSMILL_BROADCAST_ROWS", 500_000))
+"""A side of up to this many rows of ids (about 32 MB in an executor's hash table) may be broadcast; a larger one is shuffled."""
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,19 +63,20 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(key, F.ceil(F.col("_n") / rows).cast("int").alias("parts"))
 
 
-def salted_join(a: DataFrame, b: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
-    """``a.join(b, key)``, with the rows of a key that has more than ``rows`` of them in ``b`` spread over salts.
+def salted_join(a: DataFrame, b: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """``a.join(b, key)``, with the rows of a key that has more than ``HOT_ROWS`` of them in ``b`` spread over salts.
 
-    The rows of ``b`` take one salt each, by a hash of their columns, those of ``a`` every salt of their key; other keys have one salt. The keys to split
-    are counted with partial aggregates, and their list is joined by its checked size.
+    The rows of ``b`` take one salt each, by a hash of their columns, those of ``a`` every salt of their key; other keys have
+    one salt. The keys to split are counted with partial aggregates, unless the caller has them as ``hot`` (key, parts), and
+    their list is joined by its checked size.
     """
-    hot = cut(hot_keys(b, key, rows))
+    hot = cut(hot_keys(b, key) if hot is None else hot)
     n = hot.count()
     if n == 0:
         return a.join(b, key)
     parts = F.coalesce("parts", F.lit(1))
     left = sized_join(a, hot, [key], "left", n).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    right = sized_join(b, hot, [key], "left", n).withColumn("_salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*b.columns), F.col("parts")).cast("int"))).drop("parts")
+    right = sized_join(b, hot, [key], "left", n).withColumn("_salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*b.columns), F.col("parts"))).cast("int")).drop("parts")
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 

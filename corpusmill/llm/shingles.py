@@ -13,14 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, WORD, sized_join
 
-SKETCH_BITS = 20
-"""log2 of the counters of the frequency sketch: a fixed 4 MB whatever the size of the data."""
+SKETCH_BITS = (20, 24)
+"""log2 of the least and the greatest number of counters of the frequency sketch; between them it follows the size of the data."""
+BYTES_PER_COUNTER = 4
+UNKNOWN_BYTES = 1 << 60
 SKETCH_BLOCKS = 64
+SKETCH_TASKS = 4
+"""Tasks a core that count shingles: each returns a sketch, so their number must not follow the data."""
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -82,48 +87,60 @@ def class_key(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
-def doc_frequency(texts: DataFrame, k: int) -> np.ndarray:
-    """Over all rows: in how many texts a shingle occurs, as a sketch of ``2 ** SKETCH_BITS`` counters.
+def sketch_bits(texts: DataFrame) -> int:
+    """log2 of the counters for ``texts``: one for so many bytes of the data as planned, within ``SKETCH_BITS``; the least if the size is unknown."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return SKETCH_BITS[0] if size >= UNKNOWN_BYTES else min(max((size // BYTES_PER_COUNTER).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
-    A shingle's counter is the low bits of its code; counters are shared, so a count is an upper bound. Each task
-    returns its counters in blocks, which are summed by block; the result has a fixed size and only orders shingles
-    from rare to frequent, so that any rounding in it changes speed and never results.
+
+def doc_frequency(texts: DataFrame, k: int, bits: int | None = None) -> np.ndarray:
+    """Over all rows: in how many texts a shingle occurs, as a sketch of ``2 ** bits`` counters of 16 bits (32 MB at most).
+
+    A shingle's counter is the low bits of its code; counters are shared, so a count is an upper bound, up to 65,535. Each
+    task counts several splits and returns its counters in compressed blocks, which are summed by block. The sketch orders
+    shingles from rare to frequent and tells which are hot, so that any rounding in it changes speed and never results.
     """
-    size = 1 << SKETCH_BITS
+    size = 1 << (bits or sketch_bits(texts))
     step = size // SKETCH_BLOCKS
     mask = np.uint64(size - 1)
+    schema = "block int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordCodes(), np.zeros(size, np.uint32)
+        known, total, packer = WordCodes(), np.zeros(size, np.uint32), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 codes, lens = word_codes(batch.column(0).slice(at, SLICE_ROWS).to_pylist(), known)
                 got = [np.unique(r) for _, _, r in split_docs(codes, lens, k)]
                 if got:
-                    total += np.bincount((np.concatenate(got) & mask).astype(np.int64), minlength=size).astype(np.uint32)
-        parts = [total[b * step : (b + 1) * step].tobytes() for b in range(SKETCH_BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+                    np.add.at(total, (np.concatenate(got) & mask).astype(np.int64), np.uint32(1))
+        small = np.minimum(total, 255).astype(np.uint8)
+        for b in range(SKETCH_BLOCKS):
+            part = slice(b * step, (b + 1) * step)
+            over = np.flatnonzero(total[part] > 255).astype(np.uint32)
+            body = small[part].tobytes() + over.tobytes() + total[part][over].tobytes()  # bytes, then the places and values above them
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packer.compress(body)], pa.binary())], ["block", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(step, np.uint64)
+        total, unpacker = np.zeros(step, np.uint64), zstandard.ZstdDecompressor()
         for batch in batches:
             for part in batch.column("counts"):
-                total += np.frombuffer(part.as_py(), np.uint32)
-        capped = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([capped], pa.binary())], ["block", "counts"])
-
-    out = np.zeros(size, np.uint32)
-    rows = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    for block, counts in rows:
-        out[block * step : (block + 1) * step] = np.frombuffer(bytes(counts), np.uint32)
+                body = unpacker.decompress(part.as_py())
+                own, over = np.frombuffer(body[:step], np.uint8).astype(np.uint64), np.frombuffer(body[step:], np.uint32).reshape(2, -1)
+                own[over[0]] = over[1]
+                total += own
+        held = np.minimum(total, np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(held)], pa.binary())], ["block", "counts"])
+
+    out = np.zeros(size, np.uint16)
+    spread = texts.coalesce(SKETCH_TASKS * texts.sparkSession.sparkContext.defaultParallelism)
+    for block, counts in spread.mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
+        out[block * step : (block + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(counts)), np.uint16)
     return out
 
 
 def rarest(members: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
     """The ``keep`` members that are first by (frequency, code): the same global order for every text."""
     seen = counts[(members & np.uint64(len(counts) - 1)).astype(np.int64)]
-    if keep >= len(members):
-        return members
     return members[np.lexsort((members, seen))[:keep]]
 
 

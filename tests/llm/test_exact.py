@@ -66,10 +66,12 @@ def test_repeated_words_of_any_vocabulary(spark):
     assert rows[0].share == 0.5 and rows[1].share > 0.49 and rows[2].repeated_words == 0
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_near_copies(spark, hot):
+    """Also with nearly all members hot, so that pairs come by ranges of size and salts."""
     texts = make(1)
     df = spark.createDataFrame(list(enumerate(texts)), "example_id bigint, text string")
-    members, links = nearcopies.class_links(df, 0.8)
+    members, links = nearcopies.class_links(df, 0.8, hot=hot)
     cls = {r.example_id: r.cls for r in members.collect()}
     got = {(r.cls_a, r.cls_b) for r in links.collect()}
     all_sets = {i: sets(t) for i, t in enumerate(texts)}
@@ -95,8 +97,11 @@ def test_components(spark):
         if a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {x.node: x.root for x in nearcopies.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    links = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {x.node: x.root for x in nearcopies.components(links, "a", "b", hot_rows=20).collect()}
     assert got == {n: find(n) for n in list(parent)}
+    with pytest.raises(RuntimeError):
+        nearcopies.components(links, "a", "b", rounds=1)
 
 
 def test_pruning_bound():
