@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import cut
-from .common import SLICE_ROWS, read, salted_join, sized_join, threshold
+from .common import HOT_ROWS, SLICE_ROWS, read, sized_join, threshold
 from .shingles import WordCodes, class_key, class_sets, doc_frequency, mix, overlap, runs, signed, split_docs, word_codes
 
 K = 3
@@ -39,7 +40,9 @@ PASSAGES_PER_MATCH = 16
 BITS_PER_KEY, PROBES = 16, 2
 BITMAP_BITS = (22, 30)
 """log2 of the least and the greatest size of the bitmap in bits; between them it follows the number of keys."""
-BLOCK_BITS = 16
+COUNTER_BITS = 20
+"""log2 of the counters that bound how many rows a key has."""
+BLOCKS = 64
 
 
 def run_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,18 +117,19 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def kept(codes: np.ndarray, tier: int, radius: int, bits: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, codes) that a bitmap may hold: whole ones, and segments.
+def kept(codes: np.ndarray, tier: int, radius: int, bits: np.ndarray | None, near: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, codes, places) that a bitmap may hold (all without one): whole ones, and segments, with the places of their codes.
 
     If ``near`` is false, a code that is there whole, as are all of its segments, has no rows for segments.
     """
     whole, parts = whole_keys(codes, tier), segments(codes, tier, radius)
-    some = may_hold(bits, parts)
-    equal = may_hold(bits, whole)
+    some = np.ones(parts.shape, bool) if bits is None else may_hold(bits, parts)
+    equal = np.ones(whole.shape, bool) if bits is None else may_hold(bits, whole)
     if not near:
         equal &= some.all(axis=0)
         some &= ~equal
-    return np.concatenate([whole[equal], parts[some]]), np.concatenate([codes[equal], np.broadcast_to(codes, parts.shape)[some]])
+    places = np.concatenate([np.flatnonzero(equal), np.nonzero(some)[1]])
+    return np.concatenate([whole[equal], parts[some]]), codes[places], places
 
 
 def passages(words: np.ndarray) -> np.ndarray:
@@ -134,7 +138,7 @@ def passages(words: np.ndarray) -> np.ndarray:
 
 
 def rarest_passages(codes: np.ndarray, shingles: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
-    """The ``keep`` distinct codes whose rarest shingle is the rarest by the frequency sketch; ties by code."""
+    """The ``keep`` distinct codes whose rarest shingle is the rarest by the frequency sketch of the validation texts; ties by code."""
     seen = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]
     rare = np.lib.stride_tricks.sliding_window_view(seen, WORDS - K + 1).min(axis=1)
     distinct, at = np.unique(codes, return_index=True)
@@ -175,7 +179,7 @@ def held_out_codes(records: DataFrame, counts: np.ndarray, t: float) -> DataFram
 def train_codes(records: DataFrame, bitmap: np.ndarray, radius: int = RADIUS) -> DataFrame:
     """(example_id, cls, n, keys, codes): train ``records`` with a shingle, and the keys of their passages that ``bitmap`` may hold.
 
-    The code of a whole key says nothing new and is 0.
+    The code of a whole key says nothing new and is 0. The passages of a slice of records are made and tested at once.
     """
     held = records.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -186,73 +190,136 @@ def train_codes(records: DataFrame, bitmap: np.ndarray, radius: int = RADIUS) ->
                 part = batch.slice(at, SLICE_ROWS)
                 ids, rows = part.column("example_id").to_pylist(), []
                 flat, lens = word_codes(part.column("text").to_pylist(), known)
-                for i, w, r in split_docs(flat, lens, K):
+                for i, _, r in split_docs(flat, lens, K):
                     members = np.unique(r)
-                    keys, codes = kept(short_codes(w), 1, radius, bits, near=False)
-                    if len(w) >= WORDS:
-                        k0, c0 = kept(passages(w), 0, radius, bits, near=False)
-                        keys, codes = np.concatenate([k0, keys]), np.concatenate([c0, codes])
-                    codes = np.where(keys & np.uint64(1) == 1, np.uint64(0), codes)
-                    if len(keys):
-                        _, once = np.unique(keys ^ mix(codes), return_index=True)
-                        keys, codes = keys[once], codes[once]
-                    rows.append((ids[i], class_key(members), len(members), signed(keys), signed(codes)))
-                a, b, c, d, e = zip(*rows) if rows else ((), (), (), (), ())
-                many = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(list(d), many), pa.array(list(e), many)], ["example_id", "cls", "n", "keys", "codes"])
+                    rows.append((i, ids[i], class_key(members), len(members)))
+                of, ends = np.repeat(np.arange(len(lens)), lens), np.repeat(np.cumsum(lens), lens)
+                keys, codes, texts = [], [], []
+                for tier, width, made in ((0, WORDS, passages), (1, K, short_codes)):
+                    if len(flat) < width:
+                        continue
+                    inside = np.flatnonzero(np.arange(len(flat) - width + 1) + width <= ends[: len(flat) - width + 1])  # windows within one text
+                    k, c, w = kept(made(flat)[inside], tier, radius, bits, near=False)
+                    keys.append(k)
+                    codes.append(np.where(k & np.uint64(1) == 1, np.uint64(0), c))
+                    texts.append(of[inside[w]])
+                key, code, text = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (keys, codes, texts))
+                _, once = np.unique(mix(key ^ mix(code)) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+                once = once[np.argsort(text[once], kind="stable")]
+                bounds = np.searchsorted(text[once], np.arange(len(lens) + 1))
+                at_row = np.array([x[0] for x in rows], np.int64)
+                # records without a shingle have no windows, so the lists of the others follow each other
+                offsets = pa.array(np.append(bounds[at_row], bounds[-1]) if len(rows) else np.zeros(1, np.int64), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(signed(x[once]))) if len(rows) else pa.array([], pa.list_(pa.int64())) for x in (key, code)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int32()), *lists], ["example_id", "cls", "n", "keys", "codes"])
 
     return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, keys array<bigint>, codes array<bigint>")
 
 
-def key_rows(classes: DataFrame, bitmap: np.ndarray | None, radius: int = RADIUS) -> DataFrame:
-    """(cls, n, least, key, code): all keys of the rows of ``held_out_codes``, or those that ``bitmap`` may hold."""
-    held = classes.sparkSession.sparkContext.broadcast(bitmap)
+def _salts(keys: np.ndarray, counts: np.ndarray | None, hot: int) -> np.ndarray:
+    """Over how many salts the rows of each key are spread."""
+    return np.ones(len(keys), np.int64) if counts is None else 1 + counts[(keys >> np.uint64(1)).astype(np.int64) & (len(counts) - 1)].astype(np.int64) // hot
+
+
+def asked_rows(classes: DataFrame, bitmap: np.ndarray | None, counts: np.ndarray | None = None, radius: int = RADIUS, hot: int = HOT_ROWS) -> DataFrame:
+    """(cls, n, least, key, salt, code): keys of the rows of ``held_out_codes`` that ``bitmap`` may hold, one row for each of a key's salts."""
+    held = classes.sparkSession.sparkContext.broadcast((bitmap, counts))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value if held.value is not None else np.full(1, 255, np.uint8)
+        bits, rows = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                keys, codes, lens = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
-                for tier, some in zip(part.column("tier").to_pylist(), part.column("codes")):
-                    k, c = kept(some.values.to_numpy().view(np.uint64), tier, radius, bits)
+                tier = part.column("tier").to_numpy()
+                lists = part.column("codes")
+                sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+                of = np.repeat(np.arange(part.num_rows), sizes)
+                keys, codes, texts = [], [], []
+                for t in (0, 1):
+                    some = np.flatnonzero(tier[of] == t)
+                    k, c, w = kept(flat[some], t, radius, bits)
                     keys.append(k)
                     codes.append(c)
-                    lens.append(len(k))
+                    texts.append(of[some[w]])
+                key, code, text = map(np.concatenate, (keys, codes, texts))
+                times = _salts(key, rows, hot)
+                salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                key, code, text = (np.repeat(x, times) for x in (key, code, text))
+                own = [pa.array(part.column(c).to_numpy()[text]) for c in ("cls", "n", "least")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(signed(key)), pa.array(salt, pa.int32()), pa.array(signed(code))], ["cls", "n", "least", "key", "salt", "code"])
+
+    return classes.select("cls", "n", "least", "tier", "codes").mapInArrow(make, "cls bigint, n int, least int, key bigint, salt int, code bigint")
+
+
+def train_rows(classes: DataFrame, counts: np.ndarray, hot: int = HOT_ROWS) -> DataFrame:
+    """(cls, n, key, salt, code): one row for each key of the rows of ``train_codes``, with one of the key's salts."""
+    held = classes.sparkSession.sparkContext.broadcast(counts)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                of = np.repeat(np.arange(part.num_rows), part.column("keys").value_lengths().to_numpy())
+                key = part.column("keys").flatten().to_numpy().view(np.uint64)
+                cls = part.column("cls").to_numpy()[of]
+                salt = (mix(cls.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % _salts(key, held.value, hot)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.repeat(part.column(c).to_numpy(), lens)) for c in ("cls", "n", "least")), pa.array(signed(np.concatenate(keys))), pa.array(signed(np.concatenate(codes)))], ["cls", "n", "least", "key", "code"]
+                    [pa.array(cls), pa.array(part.column("n").to_numpy()[of]), pa.array(signed(key)), pa.array(salt, pa.int32()), part.column("codes").flatten()], ["cls", "n", "key", "salt", "code"]
                 )
 
-    return classes.select("cls", "n", "least", "tier", "codes").mapInArrow(make, "cls bigint, n int, least int, key bigint, code bigint")
+    return classes.select("cls", "n", "keys", "codes").mapInArrow(make, "cls bigint, n int, key bigint, salt int, code bigint")
 
 
-def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
-    """A bitmap of all values of ``key``: ``BITS_PER_KEY`` bits for each of ``count``, within ``BITMAP_BITS``, ``PROBES`` set for each."""
+def key_summary(keys: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmap, counts) of all values of ``key``.
+
+    The bitmap has ``BITS_PER_KEY`` bits for each of ``count`` keys, within ``BITMAP_BITS``, ``PROBES`` of them set for each key.
+    Counters are shared by keys, so a count is an upper bound, up to 65,535. Tasks return places and counts in compressed
+    blocks, which are merged by block.
+    """
     wide = min(max((count * BITS_PER_KEY).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
-    blocks = 1 << (wide - BLOCK_BITS)
+    size, step, each = 1 << wide, (1 << wide) // BLOCKS, (1 << COUNTER_BITS) // BLOCKS
+    schema = "block int, body binary"
 
-    def fill(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOCK_BITS, np.uint8)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, some, total = zstandard.ZstdCompressor(level=1), [np.empty(0, np.uint64)], np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
-            bits[batch.column("low").to_numpy()] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([group[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-    probes = F.explode(F.array(*[F.shiftrightunsigned("key", 1 + 31 * p).bitwiseAND(F.lit((1 << wide) - 1)) for p in range(PROBES)])).alias("slot")
-    rows = (
-        keys.select(probes)
-        .select(F.shiftright("slot", BLOCK_BITS).cast("int").alias("block"), F.col("slot").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("low"))
-        .distinct()
-        .groupBy("block")
-        .applyInArrow(fill, "block int, bits binary")
-        .collect()
-    )
-    out = np.zeros((blocks, (1 << BLOCK_BITS) // 8), np.uint8)
-    for block, bits in rows:
-        out[block] = np.frombuffer(bytes(bits), np.uint8)
-    return out.reshape(-1)
+            key = batch.column("key").to_numpy().view(np.uint64)
+            np.add.at(total, (key >> np.uint64(1)).astype(np.int64) & (len(total) - 1), np.uint32(1))
+            some.append(np.unique(np.concatenate(slots(key, size))).astype(np.uint64))
+            if sum(map(len, some)) > 4_000_000:
+                some = [np.unique(np.concatenate(some))]
+        places = np.unique(np.concatenate(some))
+        bounds = np.searchsorted(places, np.arange(BLOCKS + 1).astype(np.uint64) * np.uint64(step))
+        for b in range(BLOCKS):
+            low = np.diff((places[bounds[b] : bounds[b + 1]] - np.uint64(b * step)).astype(np.uint32), prepend=np.uint32(0))
+            yield pa.RecordBatch.from_arrays([pa.array([b, BLOCKS + b], pa.int32()), pa.array([packer.compress(low.tobytes()), packer.compress(np.minimum(total[b * each : (b + 1) * each], 0xFFFF).astype(np.uint16).tobytes())], pa.binary())], ["block", "body"])
+
+    def merge(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, unpacker = group[0].as_py(), zstandard.ZstdDecompressor()
+        bodies = (unpacker.decompress(body.as_py()) for batch in batches for body in batch.column("body"))
+        if block < BLOCKS:
+            bits = np.zeros(step, np.uint8)
+            for body in bodies:
+                bits[np.cumsum(np.frombuffer(body, np.uint32), dtype=np.uint32)] = 1
+            out = np.packbits(bits, bitorder="little").tobytes()
+        else:
+            total = np.zeros(each, np.uint64)
+            for body in bodies:
+                total += np.frombuffer(body, np.uint16)
+            out = np.minimum(total, np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out], pa.binary())], ["block", "body"])
+
+    bitmap, counts = np.zeros((BLOCKS, step // 8), np.uint8), np.zeros((BLOCKS, each), np.uint16)
+    for block, body in keys.select("key").mapInArrow(partial, schema).groupBy("block").applyInArrow(merge, schema).collect():
+        if block < BLOCKS:
+            bitmap[block] = np.frombuffer(bytes(body), np.uint8)
+        else:
+            counts[block - BLOCKS] = np.frombuffer(bytes(body), np.uint16)
+    return bitmap.reshape(-1), counts.reshape(-1)
 
 
-def split_links(records: DataFrame, phases: DataFrame, t: float, radius: int = RADIUS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_links(records: DataFrame, phases: DataFrame, t: float, radius: int = RADIUS, hot: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(val members, train members, links): members are (cls, example_id); links (cls_v, cls_r, containment).
 
     A link joins the class of a validation record with 3-set V and the class of a train record with 3-set R where
@@ -262,21 +329,24 @@ def split_links(records: DataFrame, phases: DataFrame, t: float, radius: int = R
     texts = records.select("example_id", "run_id", "text").filter("example_id is not null and text is not null and run_id is not null")
     phases = cut(phases)
     val_runs, train_runs = phases.filter("phase = 'val'").select("run_id"), phases.filter("phase = 'train'").select("run_id")
-    val = cut(held_out_codes(sized_join(texts, val_runs, ["run_id"], "left_semi"), doc_frequency(texts.select("text"), K), t))
+    held_out = sized_join(texts, val_runs, ["run_id"], "left_semi")
+    val = cut(held_out_codes(held_out, doc_frequency(held_out.select("text"), K), t))
     codes = val.agg(F.sum(F.size("codes"))).first()[0] or 0
-    wanted = key_bitmap(key_rows(val, None, radius).select("key"), codes * (radius + 2))
+    wanted, _ = key_summary(asked_rows(val, None, radius=radius), codes * (radius + 2))
     train = cut(train_codes(sized_join(texts, train_runs, ["run_id"], "left_semi"), wanted, radius))
 
     def one_each(side: DataFrame) -> DataFrame:
         firsts = cut(side.groupBy("cls").agg(F.min("example_id").alias("example_id"))).select("example_id")  # one record of each class
         return sized_join(side, firsts, ["example_id"], "left_semi")
 
-    there = one_each(train).select(F.col("cls").alias("cls_r"), F.col("n").alias("n_r"), F.explode(F.arrays_zip("keys", "codes")).alias("p")).select("cls_r", "n_r", F.col("p.keys").alias("key"), F.col("p.codes").alias("code_r"))
-    found = key_bitmap(there.select("key"), there.count())
-    asked = key_rows(one_each(val), found, radius).select(F.col("cls").alias("cls_v"), F.col("n").alias("n_v"), "least", "key", F.col("code").alias("code_v"))
+    keyed = one_each(train)
+    keys = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    found, rows = key_summary(keyed.select(F.explode("keys").alias("key")), keys)
+    there = train_rows(keyed, rows, hot).select(F.col("cls").alias("cls_r"), F.col("n").alias("n_r"), "key", "salt", F.col("code").alias("code_r"))
+    asked = asked_rows(one_each(val), found, rows, radius, hot).select(F.col("cls").alias("cls_v"), F.col("n").alias("n_v"), "least", "key", "salt", F.col("code").alias("code_v"))
     near = (F.col("key").bitwiseAND(F.lit(1)) == 1) | (F.bit_count(F.col("code_v").bitwiseXOR(F.col("code_r"))) <= radius)
     pairs = cut(
-        salted_join(asked, there, "key")
+        asked.join(there, ["key", "salt"])
         .filter(near & (F.col("n_r") >= t * F.col("n_v") - 1e-9))
         .groupBy("cls_v", "cls_r")
         .agg(F.count("*").alias("shared"), F.max("least").alias("least"))  # a code may count for several segments: that only keeps more pairs

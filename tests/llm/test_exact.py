@@ -109,12 +109,14 @@ def test_pruning_bound():
     assert all(0 < m < n * 0.8 for n, m in least.items()) and sorted(least) == [16, 32, 48, 64]
 
 
-def test_splits(spark):
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_splits(spark, hot):
+    """Also with nearly all keys hot, so that they are spread over salts."""
     texts = make(7, 40)
     rows = [(i, i % 3, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "example_id bigint, run_id bigint, text string")
     phases = spark.createDataFrame([(0, "val"), (1, "train"), (2, "train")], "run_id bigint, phase string")
-    val, train, links = splits.split_links(df, phases, 0.8)
+    val, train, links = splits.split_links(df, phases, 0.8, hot=hot)
     v, t = ({r.example_id: r.cls for r in side.collect()} for side in (val, train))
     got = {(r.cls_v, r.cls_r) for r in links.collect()}
     hits = 0
