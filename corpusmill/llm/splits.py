@@ -308,14 +308,15 @@ def key_summary(keys: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
             for body in bodies:
                 total += np.frombuffer(body, np.uint16)
             out = np.minimum(total, np.uint64(0xFFFF)).astype(np.uint16).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out], pa.binary())], ["block", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(out)], pa.binary())], ["block", "body"])
 
     bitmap, counts = np.zeros((BLOCKS, step // 8), np.uint8), np.zeros((BLOCKS, each), np.uint16)
     for block, body in keys.select("key").mapInArrow(partial, schema).groupBy("block").applyInArrow(merge, schema).collect():
+        data = zstandard.ZstdDecompressor().decompress(bytes(body))
         if block < BLOCKS:
-            bitmap[block] = np.frombuffer(bytes(body), np.uint8)
+            bitmap[block] = np.frombuffer(data, np.uint8)
         else:
-            counts[block - BLOCKS] = np.frombuffer(bytes(body), np.uint16)
+            counts[block - BLOCKS] = np.frombuffer(data, np.uint16)
     return bitmap.reshape(-1), counts.reshape(-1)
 
 
