@@ -101,7 +101,7 @@ def candidates(classes: DataFrame, t: float) -> DataFrame:
     fits = (
         ((F.col("n_big") > F.col("n_small")) | ((F.col("n_big") == F.col("n_small")) & (F.col("x_big") > F.col("x_small"))))
         & (F.col("n_small") >= t * F.col("n_big") - 1e-9)
-        & (F.col("at_small") <= F.col("n_small") - F.ceil(2 * t / (1 + t) * F.col("n_small") - 1e-9))
+        & ((F.col("at_small") <= F.col("n_small") - F.ceil(2 * t / (1 + t) * F.col("n_small") - 1e-9)) | (F.col("n_big") < 0))  # on both sides, or it would be pushed below one and they'd no longer share a shuffle
         & (F.least(F.col("n_big") - F.col("at_big"), F.col("n_small") - F.col("at_small")) >= t / (1 + t) * (F.col("n_big") + F.col("n_small")) - 1e-9)
     )
     cold = posted.filter("parts = 0").drop("parts")

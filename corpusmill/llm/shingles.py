@@ -21,7 +21,7 @@ from .common import SLICE_ROWS, WORD, sized_join
 
 SKETCH_BITS = (20, 24)
 """log2 of the least and the greatest number of counters of the frequency sketch; between them it follows the size of the data."""
-BYTES_PER_COUNTER = 4
+BYTES_PER_COUNTER = 1
 UNKNOWN_BYTES = 1 << 60
 SKETCH_BLOCKS = 64
 SKETCH_TASKS = 4
