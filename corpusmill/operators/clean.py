@@ -25,8 +25,8 @@ def _ws(pattern: str) -> str:
     return pattern.replace("WS", T.WS)
 
 
-def strip_wiki_sections(t: Column) -> Column:
-    """Drop the sections named in ``WIKI_SECTIONS`` (as substrings of a header) up to the next header of any level."""
+def strip_wiki_sections(t: Column, sections: list[str] = WIKI_SECTIONS) -> Column:
+    """Drop the sections named in ``sections`` (as substrings of a header) up to the next header of any level."""
     lines = F.transform(
         F.split(t, "\n"),
         lambda x: F.struct(x.alias("x"), F.lower(T.strip(x)).alias("low")),
@@ -36,7 +36,7 @@ def strip_wiki_sections(t: Column) -> Column:
         lambda s: F.struct(
             s["x"].alias("x"),
             (s["low"].startswith("==") | s["low"].endswith("==")).alias("head"),
-            T.contains_any(F.regexp_replace(s["low"], r"^[= ]+|[= ]+\z", ""), WIKI_SECTIONS).alias("drop"),
+            T.contains_any(F.regexp_replace(s["low"], r"^[= ]+|[= ]+\z", ""), sections).alias("drop"),
         ),
     )
     start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))

@@ -15,8 +15,7 @@ def keep_first(df: DataFrame, text: str, order: str, chars: int = 200) -> DataFr
     500 characters agree in 200, so the shorter prefix decides. Rows with a null text are dropped; ``order`` must be unique.
     """
     rows = df.filter(F.col(text).isNotNull())
-    key = F.xxhash64(T.dedup_key(F.col(text), chars)), F.md5(T.dedup_key(F.col(text), chars))
-    first = rows.select(F.col(order), key[1].alias("_k")).groupBy("_k").agg(F.min(order).alias("_first"))
+    first = rows.select(F.col(order), F.md5(T.dedup_key(F.col(text), chars)).alias("_k")).groupBy("_k").agg(F.min(order).alias("_first"))
     return rows.join(first.select(F.col("_first").alias(order)), order, "left_semi")
 
 

@@ -37,7 +37,7 @@ LIST_LINE = r"^WS*[*\-•]WS|^WS*\p{Nd}+[.)]WS|^WS*[a-zA-Z][.)]WS"
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of the rules; names follow the configuration table where it has them."""
+    """Limits and word lists of the rules; names follow the configuration table where it has them."""
 
     min_chars: int = 300
     max_chars: int = 80000
@@ -63,6 +63,9 @@ class Limits:
     poetry_share: float = 0.50
     poetry_line: int = 40
     min_sentences: int = 2
+    boilerplate: tuple[str, ...] = tuple(BOILERPLATE)
+    junk_words: tuple[str, ...] = tuple(WEB_JUNK)
+    nav_list: tuple[str, ...] = tuple(NAV_WORDS)
 
 
 BASE = Limits()
@@ -142,13 +145,13 @@ RULES: dict[str, Rule] = {
     "G2_repeated_chars": (lambda t, m: _repeat(t, m.max_repeated_chars), lambda t, m: _sql_repeat(t, m.max_repeated_chars)),
     "G3_weird_symbols": (lambda t, m: T.weird_ratio(t) <= m.max_weird_ratio, lambda t, m: f"{S.weird_ratio(t)} <= {m.max_weird_ratio}"),
     "G4_line_structure": (_line_structure, _sql_lines),
-    "G5_boilerplate": (lambda t, m: T.let(F.lower(t), lambda low: ~T.contains_any(low, BOILERPLATE)), lambda t, m: f"{_sql_contained(t, BOILERPLATE)} = 0"),
+    "G5_boilerplate": (lambda t, m: T.let(F.lower(t), lambda low: ~T.contains_any(low, m.boilerplate)), lambda t, m: f"{_sql_contained(t, m.boilerplate)} = 0"),
     "C1_alpha_ratio": (lambda t, m: T.alpha_ratio(t) >= m.c4_min_alpha_ratio, lambda t, m: f"{S.alpha_ratio(t)} >= {m.c4_min_alpha_ratio}"),
     "C2_punct_spam": (lambda t, m: (T.punct_ratio(t) <= m.c4_max_punct_ratio) & ~F.rlike(t, F.lit(SPAM_RUNS)), lambda t, m: f"({S.punct_ratio(t)} <= {m.c4_max_punct_ratio} and not regexp_matches({t}, {S.q(SPAM_RUNS)}))"),
-    "C3_web_junk": (lambda t, m: T.let(F.lower(t), lambda low: T.count_contained(low, WEB_JUNK) < m.web_junk), lambda t, m: f"{_sql_contained(t, WEB_JUNK)} < {m.web_junk}"),
+    "C3_web_junk": (lambda t, m: T.let(F.lower(t), lambda low: T.count_contained(low, m.junk_words) < m.web_junk), lambda t, m: f"{_sql_contained(t, m.junk_words)} < {m.web_junk}"),
     "C4_nav_patterns": (
-        lambda t, m: T.let(F.lower(t), lambda low: T.count_contained(low, NAV_WORDS) < m.nav_words) & (T.share(F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))), F.length(t)) <= m.pipe_ratio),
-        lambda t, m: f"({_sql_contained(t, NAV_WORDS)} < {m.nav_words} and {S.share(f'length({t}) - length(replace({t}, {S.q(chr(124))}, {S.q(str())}))', f'length({t})')} <= {m.pipe_ratio})",
+        lambda t, m: T.let(F.lower(t), lambda low: T.count_contained(low, m.nav_list) < m.nav_words) & (T.share(F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))), F.length(t)) <= m.pipe_ratio),
+        lambda t, m: f"({_sql_contained(t, m.nav_list)} < {m.nav_words} and {S.share(f'length({t}) - length(replace({t}, {S.q(chr(124))}, {S.q(str())}))', f'length({t})')} <= {m.pipe_ratio})",
     ),
     "C5_paragraph_quality": (_paragraphs, _sql_paragraphs),
     "C6_entropy": (lambda t, m: T.entropy(t).between(m.c4_min_entropy, m.c4_max_entropy), lambda t, m: f"{S.entropy(t)} between {m.c4_min_entropy} and {m.c4_max_entropy}"),

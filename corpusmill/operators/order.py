@@ -11,13 +11,33 @@ from ..durable import cut
 def running(df: DataFrame, keys: list[str], values: dict[str, Column | str], within: list[str] | None = None) -> DataFrame:
     """``df`` with, for each entry of ``values``, the sum of its expression over all rows before, in the order of ``keys``.
 
-    Rows are range-partitioned by ``within + keys`` and stored once, so that the ranges stay fixed; totals per range (one
-    row each, and per ``within`` group) give the offsets, and a window inside each range the rest. ``keys`` must be unique
-    per ``within`` group; sums restart for each group.
+    ``keys`` must be unique per ``within`` group; sums restart for each group. Only keys and summands are ordered; where
+    ``df`` has other columns they are joined back, so ``df`` is read twice: store it first if it is dear to make.
     """
     within = within or []
+    placed = places(df, keys, values, within)
+    if set(df.columns) == {*within, *keys}:
+        return placed.select(*df.columns, *values)
+    return joined_back(df, placed, within + keys).select(*[df[c] for c in df.columns], *[placed[v] for v in values])
+
+
+def joined_back(df: DataFrame, placed: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` joined with ``placed`` on equal (or both null) ``on``."""
+    cond = None
+    for c in on:
+        cond = df[c].eqNullSafe(placed[c]) if cond is None else cond & df[c].eqNullSafe(placed[c])
+    return df.join(placed, cond)
+
+
+def places(df: DataFrame, keys: list[str], values: dict[str, Column | str], within: list[str]) -> DataFrame:
+    """(within, keys, sums before) of the rows of ``df``.
+
+    Rows are range-partitioned by ``within + keys`` and stored once, so that the ranges stay fixed; totals per range (one
+    row each, and per ``within`` group) give the offsets, and a window inside each range the rest.
+    """
     named = {f"_v{i}": F.expr(v) if isinstance(v, str) else v for i, v in enumerate(values.values())}
-    parts = cut(df.withColumns(named).repartitionByRange(*within, *keys).withColumn("_part", F.spark_partition_id()))
+    slim = df.select(*within, *keys, *[v.alias(n) for n, v in named.items()])
+    parts = cut(slim.repartitionByRange(*within, *keys).withColumn("_part", F.spark_partition_id()))
     totals = parts.groupBy("_part", *within).agg(*[F.sum(v).alias(f"_t{v}") for v in named])
     earlier = Window.partitionBy(*within).orderBy("_part") if within else Window.partitionBy(F.lit(0)).orderBy("_part")
     offsets = totals.select("_part", *within, *[(F.sum(f"_t{v}").over(earlier) - F.col(f"_t{v}")).alias(f"_o{v}") for v in named])
@@ -27,7 +47,7 @@ def running(df: DataFrame, keys: list[str], values: dict[str, Column | str], wit
     for w in within:
         cond = cond & out[w].eqNullSafe(offsets[w])
     joined = out.join(F.broadcast(offsets), cond)  # one row per range: bounded by the number of partitions
-    return joined.select(*[out[c] for c in df.columns], *[(F.col(f"_o{v}") + F.col(f"_w{v}")).alias(name) for v, name in zip(named, values)])
+    return joined.select(*[out[c] for c in within + keys], *[(F.col(f"_o{v}") + F.col(f"_w{v}")).alias(name) for v, name in zip(named, values)])
 
 
 def uniform(seed: int, *parts: str) -> Column:
@@ -42,8 +62,12 @@ def uniform_sql(seed: int, *parts: str) -> str:
 
 
 def within_budget(df: DataFrame, key: str, size: Column | str, budget: int) -> DataFrame:
-    """The rows before which, in the order of ``key``, less than ``budget`` was taken; the row that crosses it is kept."""
-    return running(df, [key], {"taken_before": size}).filter(F.col("taken_before") < budget)
+    """The rows before which, in the order of ``key``, less than ``budget`` was taken; the row that crosses it is kept.
+
+    Keys and sizes are summed and cut; only the keys that are left are joined with the rows.
+    """
+    taken = places(df, [key], {"taken_before": size}, []).filter(F.col("taken_before") < budget)
+    return joined_back(df, taken, [key]).select(*[df[c] for c in df.columns], taken["taken_before"])
 
 
 def interleave(df: DataFrame, weights: dict[str, float], seed: int, key: str = "pos") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,9 +65,12 @@ def decode(df: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def pack(df: DataFrame, order: str, ids: str = "ids") -> DataFrame:
-    """``df`` with ``packed`` (ids and a closing EOS) and ``start``, its place in the stream, in the order of ``order``."""
-    packed = df.withColumn("packed", F.concat(F.col(ids), F.array(F.lit(EOS)))).filter(F.col("packed").isNotNull())
-    return running(packed, [order], {"start": F.size("packed").cast("bigint")})
+    """``df`` with ``packed`` (ids and a closing EOS), ``n_tokens`` of it and ``start``, its place in the stream, in the order of ``order``.
+
+    Rows with null ids are dropped. Only sizes are ordered, not the arrays.
+    """
+    packed = df.withColumn("packed", F.concat(F.col(ids), F.array(F.lit(EOS)))).filter(F.col("packed").isNotNull()).withColumn("n_tokens", F.size("packed").cast("bigint"))
+    return running(packed, [order], {"start": "n_tokens"})
 
 
 def stream(packed: DataFrame) -> DataFrame:
@@ -74,27 +78,63 @@ def stream(packed: DataFrame) -> DataFrame:
     return packed.select("start", F.posexplode("packed").alias("_i", "token")).select((F.col("start") + F.col("_i")).alias("pos"), "token")
 
 
-def blocks(tokens: DataFrame, size: int) -> DataFrame:
+def head(packed: DataFrame, most: int) -> DataFrame:
+    """(pos, token) of the first ``most`` tokens; texts that start later are not opened."""
+    return stream(packed.filter(F.col("start") < most)).filter(F.col("pos") < most)
+
+
+def eos_places(packed: DataFrame) -> DataFrame:
+    """(end): the place of each EOS of the stream, found inside the arrays."""
+    marks = F.filter(F.transform("packed", lambda t, i: F.when(t == EOS, F.col("start") + i)), lambda p: p.isNotNull())
+    return packed.select(F.explode(marks).alias("end"))
+
+
+def _part(first: Column, last: Column) -> Column:
+    """The tokens of a packed text from place ``first`` of the stream up to and with ``last``."""
+    low = F.greatest(first, F.col("start"))
+    return F.slice("packed", (low - F.col("start") + 1).cast("int"), F.greatest(F.least(last, F.col("start") + F.size("packed") - 1) - low + 1, F.lit(0)).cast("int"))
+
+
+def _joined(parts: DataFrame, key: str) -> DataFrame:
+    """(key, _t): the tokens of the parts (key, at, part) of each key in order; it has at most as many rows as a block has texts."""
+    return parts.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda s: s["part"])).alias("_t"))
+
+
+def blocks(packed: DataFrame, size: int) -> DataFrame:
     """(block, x, y) of all sequential blocks of ``size`` tokens; y is x moved on by one; a last, shorter block is dropped.
 
-    A token goes to its own block and, if it starts one, also ends the y of the block before: an aggregation by block,
-    which holds ``size + 1`` tokens at most, instead of a join of ranges.
+    A text sends one row, a slice of its tokens, to each block that it reaches into, the token after the block included; a
+    block gathers ``size + 1`` tokens at most.
     """
-    own = F.floor(F.col("pos") / size).cast("bigint")
-    both = F.when((F.col("pos") % size == 0) & (F.col("pos") > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    grouped = tokens.select("pos", "token", F.explode(both).alias("block")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-    full = grouped.filter(F.size("_t") == size + 1)
-    return full.select("block", F.transform(F.slice("_t", 1, size), lambda s: s["token"]).alias("x"), F.transform(F.slice("_t", 2, size), lambda s: s["token"]).alias("y"))
+    end = F.col("start") + F.size("packed") - 1
+    reach = F.sequence(F.greatest(F.floor((F.col("start") - 1) / size), F.lit(0)).cast("bigint"), F.floor(end / size).cast("bigint"))
+    rows = packed.select("start", "packed", F.explode(reach).alias("block"))
+    parts = rows.select("block", F.greatest(F.col("block") * size, F.col("start")).alias("at"), _part(F.col("block") * size, (F.col("block") + 1) * size).alias("part"))
+    full = _joined(parts, "block").filter(F.size("_t") == size + 1)
+    return full.select("block", F.slice("_t", 1, size).alias("x"), F.slice("_t", 2, size).alias("y"))
 
 
-def slices(tokens: DataFrame, starts: DataFrame, size: int) -> DataFrame:
-    """(start, x): ``size`` tokens from each of ``starts``; an equi-join on buckets of ``size`` places, two for a start."""
+def slices(packed: DataFrame, starts: DataFrame, size: int) -> DataFrame:
+    """(start, x): ``size`` tokens from each of ``starts``; an equi-join of texts' slices and starts on buckets of ``size`` places."""
     first = F.floor(F.col("start") / size).cast("bigint")
-    wanted = starts.select("start", F.explode(F.array(first, first + 1)).alias("b"))
-    held = tokens.withColumn("b", F.floor(F.col("pos") / size).cast("bigint"))
-    hit = held.join(wanted, "b").filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + size))
-    out = hit.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_t")).filter(F.size("_t") == size)
-    return out.select("start", F.transform("_t", lambda s: s["token"]).alias("x"))
+    wanted = starts.select(F.col("start").alias("_from"), F.explode(F.array(first, first + 1)).alias("b"))
+    end = F.col("start") + F.size("packed") - 1
+    rows = packed.select("start", "packed", F.explode(F.sequence(first, F.floor(end / size).cast("bigint"))).alias("b"))
+    held = rows.select("b", F.greatest(F.col("b") * size, F.col("start")).alias("start"), _part(F.col("b") * size, (F.col("b") + 1) * size - 1).alias("packed"))
+    hit = held.join(wanted, "b").filter((F.col("start") < F.col("_from") + size) & (F.col("start") + F.size("packed") > F.col("_from")))
+    parts = hit.select("_from", F.greatest("start", "_from").alias("at"), _part(F.col("_from"), F.col("_from") + size - 1).alias("part"))
+    return _joined(parts, "_from").filter(F.size("_t") == size).select(F.col("_from").alias("start"), F.col("_t").alias("x"))
+
+
+def random_starts(total: Column, size: int, samples: int, seed: int, inclusive: bool = False) -> Column:
+    """An array of ``samples`` pseudo-random starts in ``[0, total - size - 1)``, with its end if ``inclusive``.
+
+    A stream of at most ``size + 1`` tokens (of at most ``size`` if ``inclusive``) is an error.
+    """
+    least = size if inclusive else size + 1
+    u = lambda i: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    good = F.when(total > least, total).otherwise(F.raise_error(F.concat(F.lit("stream of "), total.cast("string"), F.lit(f" tokens is too short for samples of {size}"))).cast("bigint"))
+    return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.floor(u(i) * (good - least)).cast("bigint"))
 
 
 def until_eos(ids: Column, eos: int = EOS, special: tuple[int, ...] = (UNK, BOS, EOS, PAD)) -> Column:
@@ -108,30 +148,38 @@ def dtype_of(vocab_size: int) -> str:
     return "uint16" if vocab_size < 65536 else "uint32"
 
 
+def _file_system(path: str):
+    """(file system, path on it) of a folder that all executors reach, by its address or an absolute path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
+
 def write_binary(packed: DataFrame, path: str, vocab_size: int) -> int:
     """Write the stream as little-endian files, one per partition and named by its first position; returns the tokens.
 
-    Every task writes its own part of the order; exactly as many tokens are written as there are.
+    Every task writes its own part of the order through the file system of ``path`` (shared, not a machine's own), under a
+    temporary name that is moved when it is whole; exactly as many tokens are written as there are.
     """
     wide = 2 if dtype_of(vocab_size) == "uint16" else 4
-    path = re.sub(r"^file:(?://)?", "", path)  # a folder that all executors mount
     ordered = packed.select("start", "packed").repartitionByRange("start").sortWithinPartitions("start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        first, body, n = None, [], 0
+        system, folder = _file_system(path)
+        out, temporary, first, n = None, "", 0, 0
         for batch in batches:
             for start, ids in zip(batch.column("start").to_pylist(), batch.column("packed").to_pylist()):
-                first = start if first is None else first
-                body.append(np.asarray(ids, dtype=f"<u{wide}").tobytes())
+                if out is None:
+                    first, temporary = start, f"{folder}/_tmp-{start:020d}-{uuid.uuid4().hex}"
+                    system.create_dir(folder)
+                    out = system.open_output_stream(temporary)
+                out.write(np.asarray(ids, dtype=f"<u{wide}").tobytes())
                 n += len(ids)
-        if first is not None:
-            os.makedirs(path, exist_ok=True)
-            temporary = os.path.join(path, f".{first:020d}.tmp-{os.getpid()}")
-            with open(temporary, "wb") as f:
-                f.writelines(body)
-            os.replace(temporary, os.path.join(path, f"part-{first:020d}.bin"))
+        if out is not None:
+            out.close()
+            system.move(temporary, f"{folder}/part-{first:020d}.bin")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return int(ordered.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0)
@@ -142,7 +190,7 @@ def read_binary(spark: SparkSession, path: str, wide: int = 2, most: int | None
 
     ``most`` cuts a padded tail: only the first ``most`` tokens are kept.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("length"), F.col("content"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     sized = running(files, ["path"], {"start": F.floor(F.col("length") / wide).cast("bigint")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +207,38 @@ def read_binary(spark: SparkSession, path: str, wide: int = 2, most: int | None
     return out if most is None else out.filter(F.col("pos") < most)
 
 
+def marked(df: DataFrame, path: str = MODEL, mark: str = "\n[EOS]\n") -> DataFrame:
+    """``df`` (with ``ids``) without it and with ``documents`` and ``text``: the parts between EOS tokens, decoded and joined by ``mark``.
+
+    Empty parts count as documents but are left out of the text, so consecutive EOS tokens make no empty passages.
+    """
+    with open(path, "rb") as f:
+        held = df.sparkSession.sparkContext.broadcast(f.read())
+    keep = [c for c in df.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _processor(held)
+        for batch in batches:
+            counts, texts = [], []
+            for ids in batch.column("ids").to_pylist():
+                if ids is None:
+                    counts.append(None)
+                    texts.append(None)
+                    continue
+                parts: list[list[int]] = [[]]
+                for token in ids:
+                    if token == EOS:
+                        parts.append([])
+                    else:
+                        parts[-1].append(token)
+                counts.append(len(parts))
+                texts.append(mark.join(sp.decode([p for p in parts if p])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(counts, pa.int32()), pa.array(texts, pa.string())], [*keep, "documents", "text"])
+
+    schema = df.drop("ids").schema.add("documents", T.IntegerType()).add("text", T.StringType())
+    return df.select(*keep, "ids").mapInArrow(run, schema)
+
+
 def vocabulary(spark: SparkSession, path: str = MODEL) -> DataFrame:
     """(token, piece) of a SentencePiece model: a fixed table of its ids."""
     import sentencepiece

@@ -9,7 +9,7 @@ from ..durable import cut
 from ..operators import clean, filters
 from ..operators.chunk import explode_chunks
 from ..operators.dedup import keep_first
-from ..operators.order import interleave, running
+from ..operators.order import interleave, joined_back, places
 
 WEIGHTS = {"c4": 0.4, "wiki": 0.6, "gutenberg": 0.0}
 BOOK_RULES = {False: [], True: ["GUT2_poetry_heavy"]}
@@ -60,10 +60,12 @@ def corpus(documents: DataFrame, limits: filters.Limits = filters.BASE, weights:
 
 def packed_corpus(pieces: DataFrame, target: int | None, encode) -> DataFrame:
     """Chunks encoded and packed in mixed order until ``target`` tokens, or all if it is None; the chunk that crosses it is kept."""
-    coded = encode(pieces.select("doc_id", "chunk_idx", "draw", "chunk"))
+    coded = cut(encode(pieces.select("doc_id", "chunk_idx", "draw", "chunk")))  # ordered by its keys and sizes, then read again
     packed = coded.withColumn("packed", F.concat("ids", F.array(F.lit(2))))
-    placed = running(packed, ["draw", "doc_id", "chunk_idx"], {"start": F.size("packed").cast("bigint")})
-    return placed if target is None else placed.filter(F.col("start") < target)
+    keys = ["draw", "doc_id", "chunk_idx"]
+    placed = places(packed, keys, {"start": F.size("packed").cast("bigint")}, [])
+    kept = placed if target is None else placed.filter(F.col("start") < target)
+    return joined_back(packed, kept, keys).select(*[packed[c] for c in packed.columns], kept["start"])
 
 
 def split_of(text: Column, val_share: float = 0.01) -> Column:

@@ -6,17 +6,15 @@ Every query runs over its whole tables. Token queries use code points as ids, so
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import checkpoint_dir, cut
+from .durable import cut, remove, shared_folder
 from .functions import sql as S
 from .functions import text as T
-from .operators import clean, dedup, filters, order, stats, tokens
+from .operators import clean, control, dedup, filters, order, stats, tokens
 from .operators.chunk import explode_chunks
 from .plans import pipeline
 from .sources import readers, writers
@@ -157,7 +155,23 @@ _add("book_verdict", _book_rows, f"select doc_id, length(cleaned)::bigint as n_c
 
 
 # Chunks, duplicates.
-_add("chunk_text", lambda s, d: explode_chunks(_text(s, d)))
+def _chunk_sql(texts: str, most: int = 8000, least: int = 500) -> str:
+    """(doc_id, chunk_idx, chunk) of the relation ``texts`` (doc_id, text): a walk over the parts of each long text."""
+    ends = S.q(rf"([.!?]){S.WS}+")
+    return f"""with recursive src as materialized ({texts}),
+parts as (select doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {S.strip('p')}), lambda p: p <> '')) as p, generate_subscripts(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {S.strip('p')}), lambda p: p <> ''), 1) as k from src where length(text) > {most}),
+cells as (select doc_id, k, length(p) > {most} as s, case when length(p) > {most} then string_split(regexp_replace(p, {ends}, '\1' || chr(1), 'g'), chr(1)) else [p] end as xs from parts),
+flat as (select doc_id, k, s, unnest(xs) as x, generate_subscripts(xs, 1) as j from cells),
+atoms as materialized (select doc_id, row_number() over (partition by doc_id order by k, j) as i, s and j = 1 as first, s and j > 1 as inner_s, x, length(x) + case when s then 0 else 2 end as size from flat),
+walk(doc_id, i, n, grp) as (select doc_id, i, size, 0 from atoms where i = 1 union all
+select a.doc_id, a.i, case when a.first or w.n + a.size > {most} then a.size else w.n + a.size end, w.grp + (a.first or w.n + a.size > {most})::int from walk w join atoms a on a.doc_id = w.doc_id and a.i = w.i + 1),
+grouped as (select w.doc_id, w.grp, list(a.x order by a.i) as xs, arg_min(a.inner_s, a.i) as begins_inner from walk w join atoms a on a.doc_id = w.doc_id and a.i = w.i group by 1, 2),
+joined as (select doc_id, grp, case when coalesce(lead(begins_inner) over (partition by doc_id order by grp), false) then array_to_string(xs, ' ') else array_to_string(xs, chr(10) || chr(10)) end as chunk from grouped),
+every as (select doc_id, grp, chunk from joined where length(chunk) >= {least} union all select doc_id, 0, text from src where length(text) between {least} and {most})
+select doc_id, (row_number() over (partition by doc_id order by grp) - 1)::int as chunk_idx, chunk from every"""
+
+
+_add("chunk_text", lambda s, d: explode_chunks(_text(s, d)), _chunk_sql(f"select doc_id, text from {DOCS}"))
 _add("short_chunks", lambda s, d: explode_chunks(_text(s, d).filter(F.length("text") <= 8000)), f"select doc_id, 0 as chunk_idx, text as chunk from {DOCS} where length(text) between 500 and 8000")
 
 
@@ -197,6 +211,9 @@ def _split(s: SparkSession, d: str) -> DataFrame:
 
 _add("split_by_key", _split, f"select doc_id, case when ('0x' || substr(md5({_KEY}), 1, 8))::bigint::double / {float(1 << 32)} < 0.1 then 'val' else 'train' end as split from {DOCS}")
 
+_GOOD_DOCS = f"(select doc_id, text from {DOCS} where {filters.reason_sql('text', filters.GLOBAL)} = '')"
+_add("stream_chunks", incremental.run_chunks, f"select doc_id, chunk_idx, length(chunk)::bigint as n_chars, coalesce(sum(length(chunk)) over (order by pos, chunk_idx rows between unbounded preceding and 1 preceding), 0)::bigint as start from ({_chunk_sql(_GOOD_DOCS)}) join (select doc_id, pos from documents) using (doc_id)")
+
 # Mixing, order, budgets.
 _RATE = "case source " + " ".join(f"when '{k}' then {v}" for k, v in WEIGHTS.items()) + " end"
 _DRAW = f"select doc_id, source, sum(-ln({order.uniform_sql(SEED, 'source', 'pos')}) / ({_RATE})) over (partition by source order by pos) as draw from documents where source in ('c4', 'wiki', 'gutenberg')"
@@ -215,12 +232,14 @@ def _interleave_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("interleave_and_filter", _interleave_filter, f"select doc_id, place from (select doc_id, row_number() over (order by draw) - 1 as place from ({_DRAW})) join documents using (doc_id) where n_chars >= 200")
+TOKENIZER_CHARS = 50_000_000
+TARGET_TOKENS = 1_000_000_000
 _LINE = S.strip("replace(text, chr(10), ' ')")
 _add(
-    "tokenizer_text", lambda s, d: writers.tokenizer_text(_docs(s, d, "pos", "text").filter("text is not null").drop("doc_id"), "pos", 1_000_000).select("pos", "line"),
-    f"select pos, line from (select pos, line, coalesce(sum(length(line)) over (order by pos rows between unbounded preceding and 1 preceding), 0) as b from (select pos, {_LINE} as line from {DOCS}) where line <> '') where b < 1000000",
+    "tokenizer_text", lambda s, d: writers.tokenizer_text(_docs(s, d, "pos", "text").filter("text is not null").drop("doc_id"), "pos", TOKENIZER_CHARS).select("pos", "line"),
+    f"select pos, line from (select pos, line, coalesce(sum(length(line)) over (order by pos rows between unbounded preceding and 1 preceding), 0) as b from (select pos, {_LINE} as line from {DOCS}) where line <> '') where b < {TOKENIZER_CHARS}",
 )
-_add("token_budget", lambda s, d: order.within_budget(_docs(s, d, "pos", "n_chars"), "pos", F.col("n_chars") + 1, 500_000).select("doc_id", F.col("taken_before").cast("bigint").alias("taken_before")), "select doc_id, b::bigint as taken_before from (select doc_id, coalesce(sum(n_chars + 1) over (order by pos rows between unbounded preceding and 1 preceding), 0) as b from documents) where b < 500000")
+_add("token_budget", lambda s, d: order.within_budget(_docs(s, d, "pos", "n_chars"), "pos", F.col("n_chars") + 1, TARGET_TOKENS).select("doc_id", F.col("taken_before").cast("bigint").alias("taken_before")), f"select doc_id, b::bigint as taken_before from (select doc_id, coalesce(sum(n_chars + 1) over (order by pos rows between unbounded preceding and 1 preceding), 0) as b from documents) where b < {TARGET_TOKENS}")
 _add("shuffle_order", lambda s, d: order.running(_docs(s, d).withColumn("k", order.shuffle_key(SEED)), ["k"], {"place": F.lit(1).cast("bigint")}).select("doc_id", "place"), f"select doc_id, row_number() over (order by md5(concat_ws('|', '{SEED}', doc_id::varchar))) - 1 as place from documents")
 _add("shuffle_bounded", lambda s, d: order.running(_docs(s, d, "pos").withColumn("k", order.displaced_key(SEED, 1000)), ["k", "pos"], {"place": F.lit(1).cast("bigint")}).select("doc_id", "place"), f"select doc_id, row_number() over (order by pos + {order.uniform_sql(SEED, 'pos')} * 1000, pos) - 1 as place from documents")
 
@@ -267,14 +286,14 @@ def _plain(s: SparkSession, d: str) -> DataFrame:
 _CH = "(select * from documents where text is not null and text <> '')"
 _TOK = f"(select unnest(list_transform(list_append({S.chars('text')}, chr(2)), lambda c: unicode(c))) as token from {_CH})"
 _POS = f"(select row_number() over (order by p, i) - 1 as pos, token from (select pos as p, unnest(list_transform(list_append({S.chars('text')}, chr(2)), lambda c: unicode(c))) as token, generate_subscripts(list_append({S.chars('text')}, chr(2)), 1) as i from {_CH}))"
-_add("pack_offsets", lambda s, d: _packed(s, d).select("doc_id", F.size("packed").cast("bigint").alias("n_tokens"), "start"), f"select doc_id, length(text) + 1 as n_tokens, coalesce(sum(length(text) + 1) over (order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from {_CH}")
+_add("pack_offsets", lambda s, d: _packed(s, d).select("doc_id", "n_tokens", "start"), f"select doc_id, length(text) + 1 as n_tokens, coalesce(sum(length(text) + 1) over (order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from {_CH}")
 _add("token_histogram", lambda s, d: stats.token_histogram(_plain(s, d)), f"select token, count(*) as n from {_TOK} group by token")
 _add("token_range", lambda s, d: stats.token_range(_plain(s, d), VOCAB), f"select min(token) as min_id, max(token) as max_id, count(*) as total, count_if(token >= {VOCAB}) as out_of_range, count_if(token < {VOCAB}) as in_range, round(count_if(token >= {VOCAB})::double / count(*), 8) as out_share, true as consistent from {_TOK}")
 _add("special_shares", lambda s, d: stats.special_shares(_plain(s, d)), f"select s.token, count(t.token) as n, round(count(t.token)::double / (select count(*) from {_TOK}), 8) as share from (select unnest([0, 1, 2, 3]) as token) s left join {_TOK} t on s.token = t.token group by s.token")
 _add("top_tokens", lambda s, d: stats.top_tokens(_plain(s, d), 20), f"select token, count(*) as n from {_TOK} group by token order by n desc, token limit 20")
 _joined = lambda c: F.md5(F.concat_ws(",", F.transform(c, lambda t: t.cast("string"))))
 _add(
-    "sequential_blocks", lambda s, d: tokens.blocks(_stream(s, d), BLOCK).select("block", _joined(F.col("x")).alias("x"), _joined(F.col("y")).alias("y")),
+    "sequential_blocks", lambda s, d: tokens.blocks(_packed(s, d), BLOCK).select("block", _joined(F.col("x")).alias("x"), _joined(F.col("y")).alias("y")),
     f"with t as (select * from {_POS}), b as (select pos // {BLOCK} as block, string_agg(token::varchar, ',' order by pos) as x, count(*) as n from t group by 1), y as (select (pos - 1) // {BLOCK} as block, string_agg(token::varchar, ',' order by pos) as y, count(*) as n from t where pos > 0 group by 1) select block::bigint as block, md5(x) as x, md5(y) as y from b join y using (block) where b.n = {BLOCK} and y.n = {BLOCK}",
 )
 SAMPLES = 64
@@ -282,27 +301,40 @@ SAMPLES = 64
 
 def _random(s: SparkSession, d: str) -> DataFrame:
     packed = cut(_packed(s, d))
-    end = packed.agg(F.max(F.col("start") + F.size("packed")).alias("n"))  # one row
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("i").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    starts = end.select("n", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("i")).select(F.floor(u * (F.col("n") - BLOCK - 1)).cast("bigint").alias("start")).distinct()
-    return tokens.slices(tokens.stream(packed), F.broadcast(starts), BLOCK).select("start", _joined(F.col("x")).alias("x"))
+    end = packed.agg(F.max(F.col("start") + F.col("n_tokens")).alias("n"))  # one row
+    starts = end.select(F.explode(tokens.random_starts(F.col("n"), BLOCK, SAMPLES, SEED)).alias("start")).distinct()
+    return tokens.slices(packed, F.broadcast(starts), BLOCK).select("start", _joined(F.col("x")).alias("x"))  # 64 rows
 
 
 _add(
     "random_blocks", _random,
     f"with t as (select * from {_POS}), s as (select distinct floor({order.uniform_sql(SEED, 'i')} * ((select count(*) from t) - {BLOCK} - 1))::bigint as start from (select unnest(range({SAMPLES})) as i)) select start, md5(string_agg(token::varchar, ',' order by pos)) as x from s join t on pos >= start and pos < start + {BLOCK} group by start",
 )
-_add("microset", lambda s, d: _stream(s, d).filter("pos < 50000"), f"select pos, token from {_POS} where pos < 50000")
+MICROSET = 5_000_000
+_add("microset", lambda s, d: tokens.head(_packed(s, d), MICROSET), f"select pos, token from {_POS} where pos < {MICROSET}")
 
 
 def _eos(s: SparkSession, d: str) -> DataFrame:
-    ends = _stream(s, d).filter(F.col("token") == 2)
-    return order.running(ends, ["pos"], {"doc": F.lit(1).cast("bigint")}).select("doc", F.col("pos").alias("end"))
+    ends = tokens.eos_places(_packed(s, d))
+    return order.running(ends, ["end"], {"doc": F.lit(1).cast("bigint")})
 
 
 _add("eos_documents", _eos, f"select row_number() over (order by pos) - 1 as doc, pos as \"end\" from {_POS} where token = 2")
 
 
+def _repl(s: SparkSession, d: str) -> DataFrame:
+    packed = cut(_packed(s, d))
+    end = packed.agg(F.max(F.col("start") + F.col("n_tokens")).alias("n"))  # one row
+    starts = end.select(F.explode(tokens.random_starts(F.col("n"), 40, SAMPLES, SEED + 1, inclusive=True)).alias("start")).distinct()
+    return tokens.slices(packed, F.broadcast(starts), 40).select("start", F.md5(F.array_join("x", ",")).alias("x"), tokens.listed(F.col("x"), 8).alias("shown"))  # 64 rows
+
+
+_add(
+    "repl_samples", _repl,
+    f"with t as (select * from {_POS}), s as (select distinct floor({order.uniform_sql(SEED + 1, 'i')} * ((select count(*) from t) - 40))::bigint as start from (select unnest(range({SAMPLES})) as i)) select start, md5(string_agg(token::varchar, ',' order by pos)) as x, string_agg(token::varchar, ', ' order by pos) filter (where pos < start + 8) || ', ...' as shown from s join t on pos >= start and pos < start + 40 group by start",
+)
+
+
 def _until(s: SparkSession, d: str) -> DataFrame:
     rows = _docs(s, d, "text").filter("text is not null and text <> ''").select("doc_id", tokens.until_eos(_ids(), 10, (0, 1, 10, 32)).alias("ids"))
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n"), _joined(F.col("ids")).alias("ids"))
@@ -310,11 +342,18 @@ def _until(s: SparkSession, d: str) -> DataFrame:
 
 _KEPT = "list_filter(list_transform(regexp_extract_all(string_split(text, chr(10))[1], '(?s).'), lambda c: unicode(c)), lambda t: t not in (0, 1, 10, 32))"
 _add("decode_until_eos", _until, f"select doc_id, len({_KEPT})::bigint as n, md5(coalesce(array_to_string({_KEPT}, ','), '')) as ids from {_CH}")
-_add("parse_ids", lambda s, d: _lists(s).select("line", F.to_json(F.transform(F.filter(F.split("line", f"(?:,|{T.WS})+"), lambda x: x != ""), lambda x: x.try_cast("int"))).alias("ids")), "select line, to_json(list_transform(list_filter(string_split(regexp_replace(line, '[,\\s]+', ',', 'g'), ','), lambda x: x <> ''), lambda x: try_cast(x as int)))::varchar as ids from (values ('1, 2 3'), (' 4,,5 '), ('7 x 9'), ('12')) v(line)")
+def _parse(s: SparkSession, d: str) -> DataFrame:
+    """Lists of ids in any text: what stands between commas and white space, null where it is no number of up to nine digits."""
+    pieces = F.filter(F.split("text", f"(?:,|{T.WS})+"), lambda x: x != "")
+    ids = F.transform(pieces, lambda x: F.when(F.rlike(x, F.lit(r"\A[+-]?[0-9]{1,9}\z")), x.try_cast("int")))
+    rows = _text(s, d).select("doc_id", ids.alias("ids"))
+    known = F.filter("ids", lambda i: i.isNotNull())
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.size(known).cast("bigint").alias("n_ids"), F.md5(F.array_join(known, ",")).alias("ids"))
 
 
-def _lists(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([("1, 2 3",), (" 4,,5 ",), ("7 x 9",), ("12",)], "line string")
+_PIECES = rf"list_filter(string_split(regexp_replace(text, '(,|{S.WS})+', ',', 'g'), ','), lambda x: x <> '')"
+_IDS = f"list_transform(list_filter({_PIECES}, lambda x: regexp_full_match(x, '[+-]?[0-9]{{1,9}}')), lambda x: x::int)"
+_add("parse_ids", _parse, f"select doc_id, len({_PIECES})::bigint as n_pieces, len({_IDS})::bigint as n_ids, md5(coalesce(array_to_string({_IDS}, ','), '')) as ids from {DOCS}")
 
 
 # Subword tokens: no SQL.
@@ -322,8 +361,9 @@ def _subwords(s: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_docs(s, d, "pos", "text").filter("text is not null"), "text")
 
 
-_add("subword_pack", lambda s, d: tokens.pack(_subwords(s, d), "pos").select("doc_id", "start", F.size("packed").alias("n_tokens")))
+_add("subword_pack", lambda s, d: tokens.pack(cut(_subwords(s, d)), "pos").select("doc_id", "start", F.col("n_tokens").cast("int").alias("n_tokens")))
 _add("subword_histogram", lambda s, d: stats.token_histogram(_subwords(s, d).select(F.explode("ids").alias("token")), 32000))
+_add("subword_marked", lambda s, d: tokens.marked(tokens.blocks(tokens.pack(cut(_subwords(s, d)), "pos"), BLOCK).select("block", F.col("x").alias("ids"))))
 _add("subword_decode", lambda s, d: tokens.decode(_subwords(s, d).select("doc_id", "ids")))
 
 def _pieces(s: SparkSession, d: str) -> DataFrame:
@@ -335,49 +375,38 @@ _add("subword_pieces", _pieces)
 
 
 def _binary(s: SparkSession, d: str) -> DataFrame:
-    path = os.path.join(checkpoint_dir(s), f"tokens-{uuid.uuid4().hex}")
+    path = shared_folder(s, "tokens")
     n = tokens.write_binary(_packed(s, d), path, 0x110000)
-    return stats.token_range(tokens.read_binary(s, path, 4, n), VOCAB)
+    try:
+        return cut(stats.token_range(tokens.read_binary(s, path, 4, n), VOCAB))
+    finally:
+        remove(s, path)
 
 
 _add("binary_scan", _binary, _SQL["token_range"])
 
 
 def _headers(s: SparkSession, d: str) -> DataFrame:
-    b = tokens.blocks(_stream(s, d), BLOCK)
-    total = F.lit(1_000_000)
-    start = F.col("block") * BLOCK
-    return b.select(
-        "block", tokens.step_start(start, BLOCK, total, True).alias("next"), tokens.step_start(start, BLOCK, total, False).alias("previous"), tokens.sample_header(start, F.col("x"), total, 5).alias("header")
-    )
-
-
-_add("sample_headers", _headers, f"""with t as (select pos // {BLOCK} as block, list(token order by pos) as x from {_POS} group by 1), b as (select block::bigint as block, x, list_filter(list_transform(range(len(x)), lambda i: case when x[i + 1] = 2 then i end), lambda i: i is not null) as e from t where len(x) = {BLOCK} and (block + 1) * {BLOCK} < (select count(*) from {_POS}))
-select block, least(block * {BLOCK} + {BLOCK}, 1000000 - {BLOCK} - 1) as next, greatest(block * {BLOCK} - {BLOCK}, 0) as previous, printf('offset %d (%.2f%%), eos at [%s], %d documents, ids %s', block * {BLOCK}, 100.0::double * (block * {BLOCK}) / 1000000, coalesce(array_to_string(e, ', '), ''), len(e) + 1, array_to_string(x[1:5], ', ') || ', ...') as header from b""")
-
-
-def _stream_headers(s: SparkSession, d: str) -> DataFrame:
-    """As ``sample_headers``, whose length is fixed by its SQL, but kept within the real length of the stream."""
     end = _text(s, d).filter("text <> ''").agg(F.sum(F.length("text") + 1).alias("total"))  # one row
-    b = tokens.blocks(_stream(s, d), BLOCK).crossJoin(F.broadcast(end))
+    b = tokens.blocks(_packed(s, d), BLOCK).crossJoin(F.broadcast(end))
     total, start = F.col("total"), F.col("block") * BLOCK
     return b.select(
         "block", tokens.step_start(start, BLOCK, total, True).alias("next"), tokens.step_start(start, BLOCK, total, False).alias("previous"), tokens.sample_header(start, F.col("x"), total, 5).alias("header")
     )
 
 
-_add("stream_headers", _stream_headers, f"""with p as (select * from {_POS}), n as (select count(*) as total from p), t as (select pos // {BLOCK} as block, list(token order by pos) as x from p group by 1), b as (select block::bigint as block, x, total, list_filter(list_transform(range(len(x)), lambda i: case when x[i + 1] = 2 then i end), lambda i: i is not null) as e from t, n where len(x) = {BLOCK} and (block + 1) * {BLOCK} < total)
+_add("sample_headers", _headers, f"""with p as (select * from {_POS}), n as (select count(*) as total from p), t as (select pos // {BLOCK} as block, list(token order by pos) as x from p group by 1), b as (select block::bigint as block, x, total, list_filter(list_transform(range(len(x)), lambda i: case when x[i + 1] = 2 then i end), lambda i: i is not null) as e from t, n where len(x) = {BLOCK} and (block + 1) * {BLOCK} < total)
 select block, least(block * {BLOCK} + {BLOCK}, greatest(total - {BLOCK} - 1, 0)) as next, greatest(block * {BLOCK} - {BLOCK}, 0) as previous, printf('offset %d (%.2f%%), eos at [%s], %d documents, ids %s', block * {BLOCK}, 100.0::double * (block * {BLOCK}) / total, coalesce(array_to_string(e, ', '), ''), len(e) + 1, array_to_string(x[1:5], ', ') || ', ...') as header from b""")
 
 
 def _metadata(s: SparkSession, d: str) -> DataFrame:
     docs = _docs(s, d, "source", "text").filter("text is not null").withColumn("split", pipeline.split_of(F.col("text"), 0.1))
-    size = lambda x: docs.filter(F.col("split") == x).select(F.explode(F.split("text", "")).alias("pos"))
+    sizes = docs.groupBy("split").agg(F.sum(F.length("text")).alias("n_tokens"))
     report = _global(s, d).filter("source is not null").groupBy("source", "reason").agg(F.count("*").alias("n"))
-    return writers.metadata(size("train"), size("val"), report, {"vocab_size": VOCAB, "dtype": tokens.dtype_of(VOCAB), "eos_token_id": 2}).select("train_tokens", "val_tokens", "vocab_size", "dtype", F.size("train_stats").alias("n_stats"))
+    return writers.metadata(sizes, report, {"vocab_size": VOCAB, "dtype": tokens.dtype_of(VOCAB), "eos_token_id": 2}).select("train_tokens", "val_tokens", "vocab_size", "dtype", F.size("train_stats").alias("n_stats"))
 
 
-_add("data_metadata", _metadata, f"select sum(length(text)) filter (where split = 'train')::bigint as train_tokens, sum(length(text)) filter (where split = 'val')::bigint as val_tokens, {VOCAB} as vocab_size, 'uint16' as dtype, (select count(*) from (select distinct source, reason from {_GLOBAL_SQL} where source is not null))::int as n_stats from (select text, case when ('0x' || substr(md5({_KEY}), 1, 8))::bigint::double / {float(1 << 32)} < 0.1 then 'val' else 'train' end as split from {DOCS})")
+_add("data_metadata", _metadata, f"select coalesce(sum(length(text)) filter (where split = 'train'), 0)::bigint as train_tokens, coalesce(sum(length(text)) filter (where split = 'val'), 0)::bigint as val_tokens, {VOCAB} as vocab_size, 'uint16' as dtype, (select count(*) from (select distinct source, reason from {_GLOBAL_SQL} where source is not null))::int as n_stats from (select text, case when ('0x' || substr(md5({_KEY}), 1, 8))::bigint::double / {float(1 << 32)} < 0.1 then 'val' else 'train' end as split from {DOCS})")
 
 # Runs: checkpoints, budgets, retention.
 _LAST = "(select * from (select *, row_number() over (partition by run_id order by saved_at desc, checkpoint_id desc, ingested_at desc) as rn from checkpoints where run_id is not null) where rn = 1)"
@@ -407,6 +436,15 @@ _add(
 )
 
 
+def _settings(s: SparkSession, d: str) -> DataFrame:
+    """Every event as a command that sets its type's value for a user: what each user's settings are in the end."""
+    sent = readers.table(s, d, "events").select("user_id", "event_id", F.lit("set").alias("cmd"), F.concat(F.lit("checks."), "event_type").alias("path"), "value")
+    return control.updates(sent, ["user_id"], "event_id").select("user_id", "path", F.round("value", 6).alias("value"))
+
+
+_add("runtime_updates", _settings, "select user_id, 'checks.' || event_type as path, round(arg_max(value, event_id), 6) as value from events where event_type is not null group by all")
+
+
 def _retention(s: SparkSession, d: str) -> DataFrame:
     files = readers.table(s, d, "data_meta").select(F.col("meta_name").alias("name"), F.col("block_size").alias("size"))
     return stats.to_delete(files, files.filter("name = 'even'"), 5000)
@@ -420,13 +458,35 @@ def _losses(s: SparkSession, d: str) -> DataFrame:
     return readers.table(s, d, "checkpoints").filter("run_id is not null").select("run_id", (F.col("tokens_written").cast("double") / F.greatest("docs_processed", F.lit(1)) / 100).alias("loss"))
 
 
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as samples (lines of JSON) and read back."""
+    path = shared_folder(s, "samples")
+    try:
+        writers.write_samples(_text(s, d), path, "jsonl")
+        return cut(s.read.schema("doc_id bigint, text string").json(path).select("doc_id", F.md5("text").alias("text")))
+    finally:
+        remove(s, path)
+
+
+_add("sample_sink", _samples, f"select doc_id, md5(text) as text from {DOCS}")
+_add("record_source", lambda s, d: readers.shuffled(readers.records(s, f"{d}/example.parquet").withColumn("k", F.md5("text")), SEED, "k").groupBy("k").agg(F.count("*").alias("n")), "select md5(text) as k, count(*) as n from example group by 1")
+
 # Whole pipelines.
-_add("pipeline_mixed", lambda s, d: pipeline.outcomes(_docs(s, d, "source", "text")))
-_add("pipeline_verdicts", lambda s, d: pipeline.verdicts(_docs(s, d, "source", "text")).select("doc_id", "reason"), f"""select doc_id, {filters.reason_sql('text', filters.WEB + filters.GLOBAL)} as reason from documents where source = 'c4'
-union all select doc_id, 'null_text' from documents where source in ('wiki', 'gutenberg') and text is null
-union all select doc_id, {filters.reason_sql('c', filters.WIKI + filters.GLOBAL)} from (select doc_id, {_w3('cleaned')} as c from ({_W0.replace(DOCS, "(select * from documents where source = 'wiki' and text is not null)")}))
-union all select doc_id, {filters.reason_sql('cleaned', filters.GLOBAL)} from ({_BOOK_SQL.replace(DOCS, "(select * from documents where source = 'gutenberg' and text is not null)")})""")
-_add("pipeline_corpus", lambda s, d: pipeline.corpus(_docs(s, d, "pos", "source", "text"), weights=WEIGHTS).select("doc_id", "source", "chunk_idx", F.length("chunk").alias("n_chars")))
+_CLEANED = f"""select doc_id, source, text as clean from documents where source = 'c4' and text is not null
+union all select doc_id, 'wiki', c from (select doc_id, {_w3('cleaned')} as c from ({_W0.replace(DOCS, "(select * from documents where source = 'wiki' and text is not null)")}))
+union all select doc_id, 'gutenberg', cleaned from ({_BOOK_SQL.replace(DOCS, "(select * from documents where source = 'gutenberg' and text is not null)")})"""
+_JUDGED = f"""select doc_id, source, clean, case source when 'c4' then {filters.reason_sql('clean', filters.WEB + filters.GLOBAL)} when 'wiki' then {filters.reason_sql('clean', filters.WIKI + filters.GLOBAL)} else {filters.reason_sql('clean', filters.GLOBAL)} end as reason from ({_CLEANED})
+union all select doc_id, source, null, 'null_text' from documents where source in ('c4', 'wiki', 'gutenberg') and text is null"""
+_add("pipeline_verdicts", lambda s, d: pipeline.verdicts(_docs(s, d, "source", "text")).select("doc_id", "reason"), f"select doc_id, reason from ({_JUDGED})")
+_PASSING = f"(select doc_id, clean as text from ({_JUDGED}) where reason = '')"
+_add(
+    "pipeline_mixed", lambda s, d: pipeline.outcomes(_docs(s, d, "source", "text")),
+    f"select source, outcome, count(*) as n from (select source, case when reason <> '' then reason when doc_id in (select doc_id from ({_chunk_sql(_PASSING)})) then 'pass' else 'empty' end as outcome from ({_JUDGED})) group by all",
+)
+_add(
+    "pipeline_corpus", lambda s, d: pipeline.corpus(_docs(s, d, "pos", "source", "text"), weights=WEIGHTS).select("doc_id", "source", "chunk_idx", F.length("chunk").alias("n_chars")),
+    f"with c as (select * from ({_chunk_sql(_PASSING)}) join (select doc_id, source, draw from ({_DRAW})) using (doc_id)), k as (select *, row_number() over (partition by {S.dedup_key('chunk')} order by draw, doc_id, chunk_idx) as rn from c) select doc_id, source, chunk_idx, length(chunk)::int as n_chars from k where rn = 1",
+)
 
 
 def _pipeline_packed(s: SparkSession, d: str) -> DataFrame:

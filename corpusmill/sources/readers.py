@@ -50,6 +50,15 @@ def books(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, text string").filter("text <> ''")
 
 
+def book_files(spark: SparkSession, listing: str, root: str, seed: int) -> DataFrame:
+    """(place, path) of the books of a listing (one relative path a line), in an order drawn by the seed; blank lines are skipped."""
+    from ..operators.order import running, uniform
+
+    rows = spark.read.text(listing).select(F.trim("value").alias("name")).filter("name <> ''").distinct().withColumn("k", uniform(seed, "name"))
+    placed = running(rows, ["k", "name"], {"place": F.lit(1).cast("bigint")})
+    return placed.select("place", F.concat(F.lit(root.rstrip("/") + "/"), "name").alias("path"))
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece, score) of a tab-separated vocabulary, ids by line."""
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("id", "_line"))

@@ -29,11 +29,12 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     tokens.repartitionByRange("pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(path)
 
 
-def metadata(train: DataFrame, val: DataFrame, stats: DataFrame, settings: dict) -> DataFrame:
-    """One row: token counts of both splits (tables with ``pos``), the settings, and counts by source and reason."""
+def metadata(sizes: DataFrame, stats: DataFrame, settings: dict) -> DataFrame:
+    """One row: tokens of both splits from (split, n_tokens), 0 for none, the settings, counts by source and reason, the time."""
     counts = stats.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", "source", F.when(F.col("reason") == "", "passed").otherwise(F.col("reason"))), "n"))).alias("train_stats"))
+    of = lambda split: F.coalesce(F.sum(F.when(F.col("split") == split, F.col("n_tokens"))), F.lit(0)).alias(f"{split}_tokens")
     known = [F.lit(v).alias(k) for k, v in settings.items()]
-    return counts.join(train.agg(F.count("*").alias("train_tokens"))).join(val.agg(F.count("*").alias("val_tokens"))).select("train_tokens", "val_tokens", *known, "train_stats", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    return counts.join(sizes.agg(of("train"), of("val"))).select("train_tokens", "val_tokens", *known, "train_stats", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
 
 
 def write_samples(df: DataFrame, path: str, form: str) -> None:

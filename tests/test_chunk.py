@@ -1,3 +1,5 @@
+"""Chunks by hand-worked cases and by what must hold of any; the queries compare them with SQL over whole tables."""
+
 import random
 import re
 
@@ -6,46 +8,42 @@ from pyspark.sql import functions as F
 from corpusmill.operators.chunk import chunks
 
 
-def expected(t, most, least):
-    """The rule, written as a loop over parts."""
-    if len(t) <= most:
-        return [t] if len(t) >= least else []
-    out, cur, n = [], [], 0
-
-    def flush(joiner):
-        nonlocal cur, n
-        whole = joiner.join(cur)
-        if cur and len(whole) >= least:
-            out.append(whole)
-        cur, n = [], 0
-
-    for part in filter(None, (p.strip() for p in t.split("\n\n"))):
-        if len(part) > most:
-            flush("\n\n")
-            for s in re.split(r"(?<=[.!?])\s+", part):
-                if cur and n + len(s) > most:
-                    flush(" ")
-                cur.append(s)
-                n += len(s)
-        else:
-            if cur and n + len(part) + 2 > most:
-                flush("\n\n")
-            cur.append(part)
-            n += len(part) + 2
-    flush("\n\n")
-    return out
-
-
-def test_edges(spark):
-    texts = ["a" * 499, "a" * 500, "a" * 8000, "a" * 9000, "", "x" * 8001 + "\n\n" + "y" * 600]
+def made(spark, texts, most=8000, least=500):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = [r.c for r in df.select("i", chunks(F.col("t")).alias("c")).orderBy("i").collect()]
-    assert got == [[], [texts[1]], [texts[2]], [texts[3]], [], expected(texts[5], 8000, 500)]
+    return [r.c for r in df.select("i", chunks(F.col("t"), most, least).alias("c")).orderBy("i").collect()]
+
+
+def test_short_texts(spark):
+    texts = ["a" * 499, "a" * 500, "a" * 8000, "", None]
+    assert made(spark, texts) == [[], [texts[1]], [texts[2]], [], None]
 
 
-def test_against_loop(spark):
+def test_long_texts(spark):
+    cases = [
+        ("a" * 9000, ["a" * 9000]),  # no place to cut
+        ("x" * 8001 + "\n\n" + "y" * 600, ["x" * 8001, "y" * 600]),
+        ("y" * 600 + "\n\n" + "x" * 8001, ["y" * 600, "x" * 8001]),
+        ("p" * 4000 + "\n\n" + "q" * 3990 + "\n\n" + "r" * 700, ["p" * 4000 + "\n\n" + "q" * 3990, "r" * 700]),
+        ("p" * 7000 + "\n\n \n\n" + "q" * 1200 + "\n\n" + "r" * 400, ["p" * 7000, "q" * 1200 + "\n\n" + "r" * 400]),
+        ("p" * 7900 + "\n\n" + "q" * 300, ["p" * 7900]),  # the rest is too short
+        ("s" * 4999 + ". " + "t" * 4999 + ". " + "u" * 2999 + ".", ["s" * 4999 + ".", "t" * 4999 + ". " + "u" * 2999 + "."[:1]]),
+    ]
+    got = made(spark, [t for t, _ in cases])
+    assert got[:6] == [want for _, want in cases[:6]]
+    assert got[6][0] == "s" * 4999 + "." and got[6][1].split() == ["t" * 4999 + ".", "u" * 2999 + "."]
+
+
+def test_properties(spark):
     r = random.Random(1)
-    texts = ["".join(r.choice(["word ", "End. ", "\n\n", "really? ", "x" * r.randint(1, 30), "\n"]) for _ in range(r.randint(1, 60))) for _ in range(200)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = [r.c for r in df.select("i", chunks(F.col("t"), 60, 10).alias("c")).orderBy("i").collect()]
-    assert got == [expected(t, 60, 10) for t in texts]
+    texts = ["".join(r.choice(["word ", "End. ", "\n\n", "really? ", "x" * r.randint(1, 30), "\n"]) for _ in range(r.randint(1, 60))) for _ in range(300)]
+    for text, parts in zip(texts, made(spark, texts, 60, 10)):
+        assert all(len(p) >= 10 for p in parts)
+        for p in parts:  # over the limit only where it cannot be cut, joiners between sentences apart
+            pieces = re.split(r"(?<=[.!?])\s+|\n\n", p)
+            assert len(pieces) == 1 or sum(map(len, pieces)) <= 60
+        at = 0
+        bare = "".join(text.split())
+        for p in parts:  # nothing invented, in order
+            at = bare.index("".join(p.split()), at) + len("".join(p.split()))
+    whole = made(spark, texts, 60, 0)
+    assert ["".join("".join(w).split()) for w in whole] == ["".join(t.split()) for t in texts]

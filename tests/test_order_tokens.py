@@ -42,7 +42,7 @@ def test_tokens(spark, tmp_path):
     assert flat == [5, 6, 2, 2, 7, 2]
     assert tokens.write_binary(packed, str(tmp_path / "bin"), 32000) == 6
     assert [r.token for r in tokens.read_binary(spark, str(tmp_path / "bin"), 2, 5).orderBy("pos").collect()] == flat[:5]
-    got = {r.block: (r.x, r.y) for r in tokens.blocks(tokens.stream(packed), 2).collect()}
+    got = {r.block: (r.x, r.y) for r in tokens.blocks(packed, 2).collect()}
     assert got == {0: ([5, 6], [6, 2]), 1: ([2, 2], [2, 7])}
     cut = df.select(tokens.until_eos(F.array(*[F.lit(i) for i in (5, 1, 5, 2, 6)])).alias("x")).first().x
     assert cut == [5, 5] and tokens.dtype_of(65535) == "uint16" and tokens.dtype_of(65536) == "uint32"
@@ -92,7 +92,7 @@ def test_headers_within_the_stream(spark, tmp_path):
     df = spark.range(0, 3).select(F.col("id").alias("doc_id"), F.col("id").alias("pos"), F.expr("repeat('river ', 100000)").alias("text"))
     df.write.parquet(str(tmp_path / "documents.parquet"))
     total = 3 * 600_001
-    rows = registry.queries()["stream_headers"](spark, str(tmp_path)).orderBy("block").collect()
+    rows = registry.queries()["sample_headers"](spark, str(tmp_path)).orderBy("block").collect()
     assert [r.block for r in rows] == list(range((total - 1) // 2048))
     assert [r.next for r in rows] == [min(r.block * 2048 + 2048, total - 2049) for r in rows]
     assert f"({100 * rows[-1].block * 2048 / total:.2f}%)" in rows[-1].header
