@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..durable import cut
 
@@ -11,32 +12,36 @@ from ..durable import cut
 def running(df: DataFrame, keys: list[str], values: dict[str, Column | str], within: list[str] | None = None) -> DataFrame:
     """``df`` with, for each entry of ``values``, the sum of its expression over all rows before, in the order of ``keys``.
 
-    ``keys`` must be unique per ``within`` group; sums restart for each group. Only keys and summands are ordered; where
-    ``df`` has other columns they are joined back, so ``df`` is read twice: store it first if it is dear to make.
+    ``keys`` must be unique per ``within`` group; sums restart for each group. Only keys, summands and columns of a fixed
+    width are ordered; texts, arrays and the like are joined back, so ``df`` is then read twice: store it first if it is
+    dear to make.
     """
-    within = within or []
-    placed = places(df, keys, values, within)
-    if set(df.columns) == {*within, *keys}:
+    on = [*(within or []), *keys]
+    wide = [f.name for f in df.schema if f.name not in on and isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    placed = places(df, keys, values, within or [], [c for c in df.columns if c not in on and c not in wide])
+    if not wide:
         return placed.select(*df.columns, *values)
-    return joined_back(df, placed, within + keys).select(*[df[c] for c in df.columns], *[placed[v] for v in values])
+    return joined_back(df.select(*on, *wide), placed, on).select(*df.columns, *values)
 
 
 def joined_back(df: DataFrame, placed: DataFrame, on: list[str]) -> DataFrame:
-    """``df`` joined with ``placed`` on equal (or both null) ``on``."""
-    cond = None
+    """``df`` with the other columns of ``placed``, joined on equal (or both null) ``on``."""
+    named = placed.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in placed.columns if c not in on])
+    cond = F.lit(True)
     for c in on:
-        cond = df[c].eqNullSafe(placed[c]) if cond is None else cond & df[c].eqNullSafe(placed[c])
-    return df.join(placed, cond)
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return df.join(named, cond).drop(*[f"_on_{c}" for c in on])
 
 
-def places(df: DataFrame, keys: list[str], values: dict[str, Column | str], within: list[str]) -> DataFrame:
-    """(within, keys, sums before) of the rows of ``df``.
+def places(df: DataFrame, keys: list[str], values: dict[str, Column | str], within: list[str], carried: list[str] | None = None) -> DataFrame:
+    """(within, keys, carried, sums before) of the rows of ``df``.
 
     Rows are range-partitioned by ``within + keys`` and stored once, so that the ranges stay fixed; totals per range (one
     row each, and per ``within`` group) give the offsets, and a window inside each range the rest.
     """
     named = {f"_v{i}": F.expr(v) if isinstance(v, str) else v for i, v in enumerate(values.values())}
-    slim = df.select(*within, *keys, *[v.alias(n) for n, v in named.items()])
+    held = [*within, *keys, *(carried or [])]
+    slim = df.select(*held, *[v.alias(n) for n, v in named.items()])
     parts = cut(slim.repartitionByRange(*within, *keys).withColumn("_part", F.spark_partition_id()))
     totals = parts.groupBy("_part", *within).agg(*[F.sum(v).alias(f"_t{v}") for v in named])
     earlier = Window.partitionBy(*within).orderBy("_part") if within else Window.partitionBy(F.lit(0)).orderBy("_part")
@@ -47,7 +52,7 @@ def places(df: DataFrame, keys: list[str], values: dict[str, Column | str], with
     for w in within:
         cond = cond & out[w].eqNullSafe(offsets[w])
     joined = out.join(F.broadcast(offsets), cond)  # one row per range: bounded by the number of partitions
-    return joined.select(*[out[c] for c in within + keys], *[(F.col(f"_o{v}") + F.col(f"_w{v}")).alias(name) for v, name in zip(named, values)])
+    return joined.select(*[out[c] for c in held], *[(F.col(f"_o{v}") + F.col(f"_w{v}")).alias(name) for v, name in zip(named, values)])
 
 
 def uniform(seed: int, *parts: str) -> Column:
@@ -67,7 +72,7 @@ def within_budget(df: DataFrame, key: str, size: Column | str, budget: int) -> D
     Keys and sizes are summed and cut; only the keys that are left are joined with the rows.
     """
     taken = places(df, [key], {"taken_before": size}, []).filter(F.col("taken_before") < budget)
-    return joined_back(df, taken, [key]).select(*[df[c] for c in df.columns], taken["taken_before"])
+    return joined_back(df, taken, [key])
 
 
 def interleave(df: DataFrame, weights: dict[str, float], seed: int, key: str = "pos") -> DataFrame:

@@ -64,13 +64,36 @@ def decode(df: DataFrame, path: str = MODEL) -> DataFrame:
     return df.select(*keep, "ids").mapInArrow(run, df.drop("ids").schema.add("text", "string"))
 
 
-def pack(df: DataFrame, order: str, ids: str = "ids") -> DataFrame:
+def code_points(df: DataFrame, text: str) -> DataFrame:
+    """``df`` without ``text`` and with ``ids``: the code points of a text as ids, whole Arrow batches at once; null for null."""
+    keep = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            sizes = np.array([0 if t is None else len(t) for t in texts], np.int64)
+            flat = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.int32)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            mask = pa.array([t is None for t in texts], pa.bool_())
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat), mask=mask) if len(texts) else pa.array([], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, "ids"])
+
+    return df.select(*keep, text).mapInArrow(run, df.drop(text).schema.add("ids", T.ArrayType(T.IntegerType())))
+
+
+def pack(df: DataFrame, order: str, ids: str = "ids", sizes: DataFrame | None = None) -> DataFrame:
     """``df`` with ``packed`` (ids and a closing EOS), ``n_tokens`` of it and ``start``, its place in the stream, in the order of ``order``.
 
-    Rows with null ids are dropped. Only sizes are ordered, not the arrays.
+    Rows with null ids are dropped. Only sizes are ordered, not the arrays: those of ``df``, or (order, n_tokens) of
+    ``sizes`` where they can be had without making the ids.
     """
-    packed = df.withColumn("packed", F.concat(F.col(ids), F.array(F.lit(EOS)))).filter(F.col("packed").isNotNull()).withColumn("n_tokens", F.size("packed").cast("bigint"))
-    return running(packed, [order], {"start": "n_tokens"})
+    packed = df.withColumn("packed", F.concat(F.col(ids), F.array(F.lit(EOS)))).filter(F.col("packed").isNotNull())
+    if sizes is None:
+        return running(packed.withColumn("n_tokens", F.size("packed").cast("bigint")), [order], {"start": "n_tokens"})
+    placed = running(sizes.select(order, "n_tokens"), [order], {"start": "n_tokens"})
+    return packed.join(placed, order)
 
 
 def stream(packed: DataFrame) -> DataFrame:

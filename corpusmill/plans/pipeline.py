@@ -65,7 +65,7 @@ def packed_corpus(pieces: DataFrame, target: int | None, encode) -> DataFrame:
     keys = ["draw", "doc_id", "chunk_idx"]
     placed = places(packed, keys, {"start": F.size("packed").cast("bigint")}, [])
     kept = placed if target is None else placed.filter(F.col("start") < target)
-    return joined_back(packed, kept, keys).select(*[packed[c] for c in packed.columns], kept["start"])
+    return joined_back(packed, kept, keys)
 
 
 def split_of(text: Column, val_share: float = 0.01) -> Column:

@@ -264,13 +264,20 @@ _add(
 )
 
 # Token stream, code points as ids.
-def _ids() -> Column:
-    return F.transform(F.split("text", ""), lambda c: F.ascii(c))
+def _chars(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _docs(s, d, *columns, "text").filter("text is not null and text <> ''")
+
+
+def _ids(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return tokens.code_points(_chars(s, d, *columns), "text")
+
+
+def _sizes(s: SparkSession, d: str) -> DataFrame:
+    return _chars(s, d, "pos").select("doc_id", "pos", (F.length("text") + 1).cast("bigint").alias("n_tokens"))
 
 
 def _packed(s: SparkSession, d: str) -> DataFrame:
-    rows = _docs(s, d, "pos", "text").filter("text is not null and text <> ''").select("doc_id", "pos", _ids().alias("ids"))
-    return tokens.pack(rows, "pos")
+    return tokens.pack(_ids(s, d, "pos"), "pos", sizes=_sizes(s, d))
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
@@ -279,19 +286,18 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 def _plain(s: SparkSession, d: str) -> DataFrame:
     """Tokens without their places, where the order doesn't matter."""
-    rows = _docs(s, d, "text").filter("text is not null and text <> ''")
-    return rows.select(F.explode(F.concat(_ids(), F.array(F.lit(2)))).alias("token"))
+    return _ids(s, d).select(F.explode(F.concat("ids", F.array(F.lit(2)))).alias("token"))
 
 
 _CH = "(select * from documents where text is not null and text <> '')"
 _TOK = f"(select unnest(list_transform(list_append({S.chars('text')}, chr(2)), lambda c: unicode(c))) as token from {_CH})"
 _POS = f"(select row_number() over (order by p, i) - 1 as pos, token from (select pos as p, unnest(list_transform(list_append({S.chars('text')}, chr(2)), lambda c: unicode(c))) as token, generate_subscripts(list_append({S.chars('text')}, chr(2)), 1) as i from {_CH}))"
-_add("pack_offsets", lambda s, d: _packed(s, d).select("doc_id", "n_tokens", "start"), f"select doc_id, length(text) + 1 as n_tokens, coalesce(sum(length(text) + 1) over (order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from {_CH}")
+_add("pack_offsets", lambda s, d: order.running(_sizes(s, d), ["pos"], {"start": "n_tokens"}).select("doc_id", "n_tokens", "start"), f"select doc_id, length(text) + 1 as n_tokens, coalesce(sum(length(text) + 1) over (order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from {_CH}")
 _add("token_histogram", lambda s, d: stats.token_histogram(_plain(s, d)), f"select token, count(*) as n from {_TOK} group by token")
 _add("token_range", lambda s, d: stats.token_range(_plain(s, d), VOCAB), f"select min(token) as min_id, max(token) as max_id, count(*) as total, count_if(token >= {VOCAB}) as out_of_range, count_if(token < {VOCAB}) as in_range, round(count_if(token >= {VOCAB})::double / count(*), 8) as out_share, true as consistent from {_TOK}")
 _add("special_shares", lambda s, d: stats.special_shares(_plain(s, d)), f"select s.token, count(t.token) as n, round(count(t.token)::double / (select count(*) from {_TOK}), 8) as share from (select unnest([0, 1, 2, 3]) as token) s left join {_TOK} t on s.token = t.token group by s.token")
 _add("top_tokens", lambda s, d: stats.top_tokens(_plain(s, d), 20), f"select token, count(*) as n from {_TOK} group by token order by n desc, token limit 20")
-_joined = lambda c: F.md5(F.concat_ws(",", F.transform(c, lambda t: t.cast("string"))))
+_joined = lambda c: F.md5(F.concat_ws(",", c.cast("array<string>")))
 _add(
     "sequential_blocks", lambda s, d: tokens.blocks(_packed(s, d), BLOCK).select("block", _joined(F.col("x")).alias("x"), _joined(F.col("y")).alias("y")),
     f"with t as (select * from {_POS}), b as (select pos // {BLOCK} as block, string_agg(token::varchar, ',' order by pos) as x, count(*) as n from t group by 1), y as (select (pos - 1) // {BLOCK} as block, string_agg(token::varchar, ',' order by pos) as y, count(*) as n from t where pos > 0 group by 1) select block::bigint as block, md5(x) as x, md5(y) as y from b join y using (block) where b.n = {BLOCK} and y.n = {BLOCK}",
@@ -336,7 +342,7 @@ _add(
 
 
 def _until(s: SparkSession, d: str) -> DataFrame:
-    rows = _docs(s, d, "text").filter("text is not null and text <> ''").select("doc_id", tokens.until_eos(_ids(), 10, (0, 1, 10, 32)).alias("ids"))
+    rows = _ids(s, d).select("doc_id", tokens.until_eos(F.col("ids"), 10, (0, 1, 10, 32)).alias("ids"))
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n"), _joined(F.col("ids")).alias("ids"))
 
 
