@@ -3,10 +3,15 @@
 1. Everything that may be markup becomes a node: HTML elements (an opening with its closing tag), comments and character
    references; Markdown headings, emphasis, links, code and table rulers; wiki links, templates, headings, quote-mark
    emphasis and tables; LaTeX commands, environments and formulas. Nodes are nested by their spans.
-2. Gradient-boosted trees score each node from its own form, depth, children and the document's counts of kinds and families.
+2. Gradient-boosted trees score each node from its own form, depth, attribute names, its subtree's density, its siblings'
+   kinds, places and distances, and the document's counts of kinds and families. They are fitted once, on the driver.
 3. Hierarchical decoding chooses for every node, children with their parents, whether it is markup: the choice with the
-   largest total score under which nothing inside an opaque node (code, formula, comment, template) is markup of its own.
-4. Chosen nodes give the kinds of a record, and are rewritten for its clean text.
+   largest total score under which nothing inside an opaque node (code, formula, comment) is markup of its own.
+4. Chosen nodes give the kinds of a record, and are rewritten for its clean text, in which headings of any markup become
+   lines with ``#`` by level, list items begin with ``- ``, code blocks stand between lines of three backticks, and formulas
+   stay between dollar signs.
+
+Nothing has a greatest length: templates and command arguments are matched by their braces, all else up to its own end.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.entities import html5
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, read
-from .markup_labels import MAX_ROWS, SNIPPETS, noise
+from .markup_labels import MAX_ROWS, documents
 from .trees import Boosted
 
 KINDS = ("html", "markdown", "wiki", "latex")
@@ -37,33 +43,39 @@ TYPES = (
     "wlink", "template", "wheading", "quotes", "wtable", "wrow", "command", "environment", "formula",
 )
 FAMILY = dict(zip(TYPES, ["html"] * 4 + ["markdown"] * 7 + ["wiki"] * 6 + ["latex"] * 3))
-OPAQUE = frozenset(("comment", "code", "fence", "template", "formula"))
+OPAQUE = frozenset(("comment", "code", "fence", "formula"))
+
+#: Attribute names that tell of markup.
+ATTRIBUTES = ("href", "src", "class", "id", "style", "alt", "title", "name", "type", "width", "value", "rel", "content", "lang")
 
 _NODE = re.compile(
-    r"""(?P<comment><!--.*?-->)
-    |(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,300})?/?>)
+    r"""(?P<comment><!--(?:[^-<]|-(?!->)|<(?!!--))*+-->|<!DOCTYPE[^<>]*+>)
+    |(?P<tag></?[A-Za-z][A-Za-z0-9]*+(?:\s[^<>]*+)?/?>)
     |(?P<entity>&(?:\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});)
     |^(?P<heading>\#{1,6}[ ]\S[^\n]*)$
     |^(?P<fence>(?P<_f>```|~~~)[^\n`~]*\n(?:.*?\n)?(?P=_f)[ \t]*$|(?:```|~~~)[^\n`~]*$)
-    |(?P<code>`[^`\n]{1,200}`)
+    |(?P<code>`[^`\n]++`)
     |^(?P<ruler>[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?\|?[ \t]*)$
-    |(?P<mdlink>!?\[[^\[\]\n]{1,200}\]\([^()\s]{1,300}\))
-    |(?P<wlink>\[\[[^\[\]\n]{1,300}\]\])
-    |(?P<template>\{\{[^{}]{1,2000}\}\})
-    |^(?P<wheading>(?P<_e>={2,6})[^=\n]{1,200}(?P=_e)[ \t]*)$
-    |^(?P<wtable>\{\|[^\n]*|\|\}|\|-[-]*[^\n]{0,80})
+    |(?P<mdlink>!?\[[^\[\]\n]++\]\((?:[^()\s]|\([^()\s]*+\))++\))
+    |(?P<wlink>\[\[[^\[\]\n]++\]\])
+    |(?P<template>\{\{)
+    |^(?P<wheading>(?P<_e>={2,6})[^=\n]++(?P=_e)[ \t]*)$
+    |^(?P<wtable>\{\|[^\n]*|\|\}|\|-[-]*[^\n]*)
     |^(?P<wrow>![^\n]*!![^\n]*|\|[^\n|][^\n]*\|\|[^\n]*)$
-    |(?P<quotes>'{2,5}[^'\n]{1,200}'{2,5})
-    |(?P<formula>\$\$[^$]{1,1000}\$\$|\$[^$\n]{1,200}\$|\\\[.{1,1000}?\\\]|\\\(.{1,500}?\\\))
-    |(?P<environment>\\(?:begin|end)\{[A-Za-z]{1,30}\*?\})
-    |(?P<command>\\[A-Za-z]{2,20}\*?(?:\[[^\[\]\n]{0,80}\])?(?:\{[^{}\n]{0,300}\})*)
-    |(?P<strong>(?<![\w*])\*\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_])__(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])__(?![\w_]))
-    |(?P<emphasis>(?<![\w*])\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_]))""",
+    |(?P<quotes>'{2,5}(?:[^'\n]|(?<=\w)'(?=\w))++'{2,5})
+    |(?P<formula>\$\$[^$]++\$\$|\$[^$\n]++\$|\\\[(?:[^\\]|\\(?![\[\]]))++\\\]|\\\((?:[^\\]|\\(?![()]))++\\\))
+    |(?P<environment>\\(?:begin|end)\{[A-Za-z]++\*?\})
+    |(?P<command>\\[A-Za-z]{2,}+\*?)
+    |(?P<strong>(?<![\w*])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?![\w*])|(?<![\w_])__(?=[^\s_])[^_\n]+?(?<=[^\s_])__(?![\w_]))
+    |(?P<emphasis>(?<![\w*])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_]))""",
     re.X | re.M | re.S,
 )
+_BRACE = re.compile(r"\\[\\{}]|\{\{|\}\}|[{}]")
+_OPTION = re.compile(r"\[[^\[\]\n]*+\]")
 _MAY = re.compile(r"[<&#*_`\[{|='$\\~]")
 _INNER = re.compile(r"^(?:[#=*_`'$!~{}\[\]|\\<>/ ]+|\\[A-Za-z]+\*?\{)|[#=*_`'$~{}\[\]|<>/ ]+$")
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
+_ATTRIBUTE = re.compile(r"\s([a-z][a-z0-9-]*)\s*=")
 
 
 @dataclass
@@ -79,6 +91,7 @@ class Node:
     score: float = 0.0
     chosen: bool = False
     x: list[float] | None = None
+    siblings: list[float] = field(default_factory=list)
 
     def all(self):
         """This node and everything inside it, in order."""
@@ -87,14 +100,59 @@ class Node:
             yield from c.all()
 
 
-def _spans(text: str, start: int = 0, end: int | None = None) -> list[Node]:
-    out = []
-    for m in _NODE.finditer(text, start, len(text) if end is None else end):
-        kind = m.lastgroup if not m.lastgroup.startswith("_") else next(k for k in ("fence", "wheading") if m.group(k))
-        a, b = m.span(kind)
-        out.append(Node(kind, a, b))
-        if kind in ("heading", "strong", "emphasis", "quotes", "mdlink", "wheading", "wrow") and b - a > 4:
-            out += _spans(text, a + (2 if kind == "heading" else 1), b - 1)
+class _Braces:
+    """Matching braces of a text: ``single[i]`` is the place after the brace that closes the one at ``i``, ``double`` the same for pairs."""
+
+    def __init__(self, text: str):
+        self.single: dict[int, int] = {}
+        self.double: dict[int, int] = {}
+        if "{" not in text:
+            return
+        stack: list[int] = []
+        pairs: list[int] = []
+        for m in _BRACE.finditer(text):
+            c, at = m.group(), m.start()
+            if c[0] == "\\":
+                continue
+            if c == "{{":
+                pairs.append(at)
+            elif c == "}}" and pairs:
+                self.double[pairs.pop()] = m.end()
+            for k in range(at, m.end()):
+                if text[k] == "{":
+                    stack.append(k)
+                elif stack:
+                    self.single[stack.pop()] = k + 1
+
+
+def _spans(text: str, braces: _Braces, start: int = 0, end: int | None = None) -> list[Node]:
+    out: list[Node] = []
+    work = [(start, len(text) if end is None else end)]
+    while work:
+        at, stop = work.pop()
+        while m := _NODE.search(text, at, stop):
+            kind = m.lastgroup if not m.lastgroup.startswith("_") else next(k for k in ("fence", "wheading") if m.group(k))
+            a, b = m.span(kind)
+            at = m.end()
+            if kind == "template":
+                b = braces.double.get(a, 0)
+                if not a + 4 < b <= stop:
+                    continue
+                work.append((a + 2, b - 2))
+                at = b
+            elif kind == "command":
+                first = b
+                option = _OPTION.match(text, b, stop)
+                b = option.end() if option else b
+                while b in braces.single and braces.single[b] <= stop:
+                    b = braces.single[b]
+                if b > first:
+                    work.append((first, b))
+                at = b
+            elif kind in ("heading", "strong", "emphasis", "quotes", "mdlink", "wlink", "wheading", "wrow") and b - a > 4:
+                work.append((a + (2 if kind == "heading" else 1), b - 1))
+            out.append(Node(kind, a, b))
+            at = max(at, a + 1)
     return out
 
 
@@ -102,7 +160,7 @@ def parse(text: str) -> list[Node]:
     """The roots of the node tree of a text."""
     if not _MAY.search(text):
         return []
-    nodes, open_tags, done = _spans(text), [], []
+    nodes, open_tags, done = sorted(_spans(text, _Braces(text)), key=lambda n: n.start), [], []
     for n in nodes:
         if n.kind != "tag":
             done.append(n)
@@ -135,8 +193,24 @@ def parse(text: str) -> list[Node]:
     return roots
 
 
+def _place_siblings(nodes: list[Node]) -> None:
+    """Statistics of each node's siblings: how many, its place among them, the share of its kind, the gaps to its neighbours."""
+    n = len(nodes)
+    kinds: dict[str, int] = {}
+    for c in nodes:
+        kinds[c.kind] = kinds.get(c.kind, 0) + 1
+    for k, c in enumerate(nodes):
+        before, after = nodes[k - 1] if k else None, nodes[k + 1] if k + 1 < n else None
+        c.siblings = [
+            math.log1p(n), k / n, kinds[c.kind] / n, math.log1p(max(0, c.start - before.end)) if before else 12.0, math.log1p(max(0, after.start - c.end)) if after else 12.0,
+            before is not None and before.kind == c.kind, after is not None and after.kind == c.kind, before is not None and FAMILY[before.kind] != FAMILY[c.kind],
+        ]
+        _place_siblings(c.children)
+
+
 def describe(text: str, roots: list[Node]) -> list[Node]:
     """All nodes with their features in ``x``."""
+    _place_siblings(roots)
     nodes = [n for r in roots for n in r.all()]
     kinds: dict[str, int] = {}
     families: dict[str, int] = {}
@@ -144,25 +218,31 @@ def describe(text: str, roots: list[Node]) -> list[Node]:
         kinds[n.kind] = kinds.get(n.kind, 0) + 1
         families[FAMILY[n.kind]] = families.get(FAMILY[n.kind], 0) + 1
     noise: dict[int, float] = {}
+    sizes: dict[int, int] = {}
+    for n in reversed(nodes):
+        sizes[id(n)] = 1 + sum(sizes[id(c)] for c in n.children)
     for n in nodes:
         first = text.rfind("\n", 0, n.start) + 1
         if first not in noise:
             last = text.find("\n", n.start)
-            line = text[first : last if last >= 0 else len(text)][:400]
+            line = text[first : last if last >= 0 else len(text)]
             noise[first] = sum(not c.isalnum() and not c.isspace() for c in line) / max(1, len(line))
         raw = text[n.start : n.end]
-        inner = _INNER.sub("", raw[:400]).strip()
+        inner = _INNER.sub("", raw).strip() if len(raw) < 2000 else raw
         letters = sum(map(str.isalpha, inner))
         name = _NAME.match(raw)
         tag = name is not None and name.group(1).lower() in TAGS
         known = n.kind == "entity" and (raw[1] == "#" or raw[1:] in html5)
         inside = sum(c.end - c.start for c in n.children)
+        opening = raw[: raw.find(">") + 1].lower() if n.kind in ("tag", "element") else ""
+        names = [m.group(1) for m in _ATTRIBUTE.finditer(opening)]
         n.x = [
-            TYPES.index(n.kind), *(float(n.kind == t) for t in TYPES),
+            *(float(n.kind == t) for t in TYPES),
             math.log1p(len(raw)), letters / max(1, len(inner)), inner[:1].isdigit(), inner[-1:].isalnum(), len(inner.split()),
             n.start > 0 and text[n.start - 1].isalnum(), n.end < len(text) and text[n.end].isalnum(), n.start == first, noise[first],
-            tag, known, raw.count("=") if n.kind in ("tag", "element") else 0, n.close is not None,
+            tag, known, len(names), sum(a in ATTRIBUTES for a in names), *(float(a in names) for a in ATTRIBUTES), n.close is not None,
             n.depth, len(n.children), inside / max(1, len(raw)), math.log1p(kinds[n.kind]), math.log1p(families[FAMILY[n.kind]]),
+            math.log1p(sizes[id(n)]), math.log1p(max(0, len(raw) - inside) / sizes[id(n)]), *n.siblings,
             "\\" in raw, "^" in raw or "_" in raw or "{" in raw, bool(re.search(r"\d\s+[A-Za-z]{2,}", raw[:80])), "@" in raw,
         ]
     return nodes
@@ -170,12 +250,13 @@ def describe(text: str, roots: list[Node]) -> list[Node]:
 
 @lru_cache(maxsize=1)
 def model() -> Boosted:
-    """Gradient-boosted trees fitted on the nodes of at most ``MAX_ROWS`` labelled snippets."""
+    """Gradient-boosted trees fitted on the nodes of at most ``MAX_ROWS`` labelled texts."""
     xs, ys = [], []
-    for kinds, text in (SNIPPETS + noise())[:MAX_ROWS]:
+    for text, parts in documents()[:MAX_ROWS]:
+        starts = [a for a, _ in parts]
         for n in describe(text, parse(text)):
             xs.append(n.x)
-            ys.append(float(FAMILY[n.kind] in kinds.split()))
+            ys.append(float(FAMILY[n.kind] in parts[bisect_right(starts, n.start) - 1][1].split()))
     return Boosted(rounds=30, depth=4, rate=0.3, least=1.0).fit(np.array(xs, float), np.array(ys))
 
 
@@ -198,12 +279,12 @@ def decode(roots: list[Node]) -> None:
         choose(r, True)
 
 
-def analyse(texts: list[str | None]) -> list[list[Node] | None]:
-    """Decoded node trees of several texts, scored at once."""
+def analyse(texts: list[str | None], trained: Boosted | None = None) -> list[list[Node] | None]:
+    """Decoded node trees of several texts, scored at once, by ``trained`` or this process's own model."""
     trees = [None if t is None else parse(t) for t in texts]
     nodes = [n for t, tree in zip(texts, trees) if tree for n in describe(t, tree)]
     if nodes:
-        scores = model().score(np.array([n.x for n in nodes], float))
+        scores = (trained or model()).score(np.array([n.x for n in nodes], float))
         for n, s in zip(nodes, scores.tolist()):
             n.score = s
     for tree in trees:
@@ -236,6 +317,15 @@ def _inside(text: str, nodes: list[Node], a: int, b: int) -> str:
     return "".join(out)
 
 
+LEVELS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+DROPPED = frozenset("cite citep citet ref eqref pageref label documentclass usepackage bibliography bibliographystyle noindent par newline vspace hspace input include".split())
+VERBATIM = frozenset("verbatim lstlisting minted".split())
+
+
+def _heading(level: int, title: str) -> str:
+    return f"\n\n{'#' * level} {' '.join(title.split())}\n\n" if title.strip() else ""
+
+
 def _render(text: str, n: Node) -> str:
     raw = text[n.start : n.end]
     if not n.chosen:
@@ -245,50 +335,76 @@ def _render(text: str, n: Node) -> str:
     if n.kind in ("comment", "template", "ruler", "wtable"):
         return ""
     if n.kind == "tag":
-        return "\n" if _name(raw) in _BLOCK or _name(raw) == "li" else ""
+        return "\n- " if _name(raw) == "li" and raw[1] != "/" else "\n" if _name(raw) in _BLOCK or _name(raw) == "li" else ""
     if n.kind == "element":
         name, open_end = _name(raw), raw.index(">") + 1 + n.start
-        body = _inside(text, n.children, open_end, n.close[0])
         if name in ("script", "style"):
             return ""
+        if name == "pre":
+            code = re.sub(r"<[^<>]*>", "", text[open_end : n.close[0]])
+            return f"\n```\n{html.unescape(code).strip(chr(10))}\n```\n"
+        body = _inside(text, n.children, open_end, n.close[0])
         if re.fullmatch(r"h[1-6]", name):
-            return f"\n\n{body.strip()}\n\n"
+            return _heading(int(name[1]), body)
         if name == "li":
             return f"\n- {body.strip()}"
+        if name == "code":
+            return f"`{body}`" if "\n" not in body else body
         return f"\n{body}\n" if name in _BLOCK else f"{body}\t" if name in ("td", "th") else body
     if n.kind == "heading":
-        return _inside(text, n.children, n.start + len(re.match(r"#+\s*", raw).group()), n.end)
+        mark = re.match(r"#+\s*", raw).group()
+        return f"{mark.strip()} {_inside(text, n.children, n.start + len(mark), n.end).strip()}"
     if n.kind in ("strong", "quotes", "emphasis", "wheading"):
         mark = re.match(r"\*+|_+|'+|=+", raw).group()
         k = len(mark)
         tail = len(raw.rstrip()) - len(raw.rstrip().rstrip(mark[0]))
-        return _inside(text, n.children, n.start + k, n.start + len(raw.rstrip()) - tail).strip(" " if n.kind == "wheading" else "")
+        body = _inside(text, n.children, n.start + k, n.start + len(raw.rstrip()) - tail)
+        return f"{'#' * k} {body.strip()}" if n.kind == "wheading" else body
     if n.kind == "mdlink":
         return _inside(text, n.children, n.start + raw.index("[") + 1, n.start + raw.index("]("))
     if n.kind == "wlink":
-        body = raw[2:-2]
-        return "" if re.match(r"(?:Category|File|Image):", body) else body.rsplit("|", 1)[-1]
+        if re.match(r"\[\[(?:Category|File|Image):", raw):
+            return ""
+        return _inside(text, n.children, n.start + max(raw.rfind("|") + 1, 2), n.end - 2)
     if n.kind == "wrow":
         return re.sub(r"\s*(?:\|\||!!)\s*", "\t", _inside(text, n.children, n.start + 1, n.end)).strip()
     if n.kind == "code":
-        return raw.strip("`")
+        return raw
     if n.kind == "fence":
-        return "\n".join(raw.split("\n")[1:-1]) if "\n" in raw else ""
+        return f"```\n{chr(10).join(raw.split(chr(10))[1:-1])}\n```" if "\n" in raw else ""
     if n.kind == "environment":
-        return ""
+        name = re.search(r"\{([A-Za-z]+)", raw).group(1)
+        return "```" if name in VERBATIM else "$$" if name in ("equation", "align", "displaymath", "gather") else ""
     if n.kind == "command":
         name = re.match(r"\\([A-Za-z]+)", raw).group(1)
-        args = re.findall(r"\{([^{}]*)\}", raw)
         if name == "item":
-            return "- "
-        if name in ("cite", "ref", "label", "documentclass", "usepackage"):
+            return "- " + raw[5:].lstrip("[").rstrip("]")
+        if name in DROPPED:
             return ""
-        return args[-1] if args else raw if name not in ("noindent", "par", "newline") else ""
+        opened = raw.find("{")
+        if opened < 0:
+            return raw
+        last = n.start + _last_argument(raw)
+        body = _inside(text, n.children, last + 1, n.end - 1)
+        return _heading(LEVELS[name], body) if name in LEVELS else body
     return raw  # a formula stays as it is
 
 
+def _last_argument(raw: str) -> int:
+    """Where the brace of a command's last argument opens."""
+    depth, opened = 0, 0
+    for m in _BRACE.finditer(raw):
+        for k in range(m.start(), m.end()) if m.group()[0] != "\\" else ():
+            if raw[k] == "{":
+                opened = k if depth == 0 else opened
+                depth += 1
+            else:
+                depth -= 1
+    return opened
+
+
 def clean(text: str, tree: list[Node]) -> str:
-    """The text without markup; headings on lines of their own, list items with ``- ``, code and formulas kept."""
+    """The text without markup; headings as ``#`` lines, list items with ``- ``, code and formulas kept."""
     out = _inside(text, tree, 0, len(text))
     out = re.sub(r"[ \t]+\n", "\n", out)
     return re.sub(r"\n{3,}", "\n\n", out).strip("\n")
@@ -297,8 +413,10 @@ def clean(text: str, tree: list[Node]) -> str:
 def markup(records: DataFrame) -> DataFrame:
     """(example_id, kinds, clean_text) per row of ``records`` (example_id, text); both null for a null text."""
 
+    held = records.sparkSession.sparkContext.broadcast(model())
+
     def run(c: dict[str, list]) -> dict[str, list]:
-        trees = analyse(c["text"])
+        trees = analyse(c["text"], held.value)
         return {
             "example_id": c["example_id"],
             "kinds": [None if t is None else kinds_of(t) for t in trees],

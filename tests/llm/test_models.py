@@ -149,7 +149,36 @@ def test_markup(text, kinds):
 
 def test_clean_text():
     text = "<h2>Boats</h2>\n<ul><li>red <b>sail</b></li><li>oar</li></ul>\nA [[river Ash|Ash]] &amp; '''mill'''.\n```sh\ncall *x*(3)\n```\n$x_{1} = \\frac{1}{n}$"
-    assert markup.clean(text, markup.analyse([text])[0]) == "Boats\n\n- red sail\n- oar\n\nA Ash & mill.\ncall *x*(3)\n$x_{1} = \\frac{1}{n}$"
+    assert markup.clean(text, markup.analyse([text])[0]) == "## Boats\n\n- red sail\n- oar\n\nA Ash & mill.\n```\ncall *x*(3)\n```\n$x_{1} = \\frac{1}{n}$"
+
+
+Q = "'" * 3
+NESTED = [
+    ("\\textbf{old \\emph{mill} here}", "old mill here", ["latex"]), ("\\section{The \\emph{old} mill}", "## The old mill", ["latex"]), ("{{Infobox {{nested|x}} |y=1}} Text.", " Text.", ["wiki"]),
+    (f"See [the mill](/{'x' * 400}).", "See the mill.", ["markdown"]), (f"A {{{{cite {'long words ' * 300}}}}} text.", "A  text.", ["wiki"]), (f"So $${'a + ' * 400} b$$ holds.", f"So $${'a + ' * 400} b$$ holds.", ["latex"]),
+    (f"<p class=\"{'c ' * 300}\">Old <b>mill</b></p>", "Old mill", ["html"]), ("== Later ''use'' ==\nIt was sold.", "## Later use\nIt was sold.", ["wiki"]), (Q + "Ashby's" + Q + " mill", "Ashby's mill", ["wiki"]),
+    ("<pre>a = b &lt; c\n  d</pre>", "```\na = b < c\n  d\n```", ["html"]), ("\\begin{verbatim}\nx = 1\n\\end{verbatim}", "```\nx = 1\n```", ["latex"]), ("# Boats\nText with `code`.", "# Boats\nText with `code`.", ["markdown"]),
+]
+
+
+@pytest.mark.parametrize("text, plain, kinds", NESTED)
+def test_nested_and_long_markup(text, plain, kinds):
+    tree = markup.analyse([text])[0]
+    assert markup.kinds_of(tree) == kinds
+    assert markup.clean(text, tree).strip() == plain.strip()
+
+
+def test_siblings_and_attributes_are_features():
+    text = "<p>Bees sleep.</p>\n<p>Bees fly.</p>\n# Bees\n<a href=\"/x\">Bees</a>"
+    nodes = markup.describe(text, markup.parse(text))
+    assert [n.siblings[0] > 1 for n in nodes] == [True] * 4 and nodes[0].siblings[6] and not nodes[1].siblings[6] and nodes[2].siblings[7]
+    other = text.replace("href", "hrex")
+    assert nodes[3].x != markup.describe(other, markup.parse(other))[3].x
+
+
+def test_odd_braces_end_soon():
+    for text in ("{{" * 20_000, "}}" * 20_000, "\\emph{" * 20_000, "<a " * 20_000, "<!-- " * 20_000, "\\[ " * 20_000, "**a " * 5_000, "{{a " * 3_000 + "}}" * 3_000, "\\emph{a " * 3_000 + "}" * 3_000):
+        markup.clean(text, markup.analyse([text])[0])
 
 
 def test_opaque_nodes_have_no_markup_inside():
