@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..durable import cut
-from .common import arrow_map, read
+from .common import arrow_map, read, sized_join
 from .packing import profile
 from .tokens import TOKENIZER, Tokenizer
 
 SOURCES = ("c4", "wiki", "gutenberg")
-BUCKET_BITS = 12
+BUCKET_BITS = (12, 24)
+"""log2 of the least and the greatest number of buckets of a source; between them it follows the number of documents."""
+ROWS_PER_BUCKET = 4096
 
 
 def token_sizes(documents: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -31,13 +33,14 @@ def token_sizes(documents: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
 def keyed(sizes: DataFrame, seed: int) -> DataFrame:
     """``sizes`` with ``before``: tokens of the same source whose documents come earlier in hash-random order."""
+    bits = min(max((sizes.count() // ROWS_PER_BUCKET).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
     order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sizes.withColumn("_key", order).withColumn("_bucket", F.shiftrightunsigned("_key", 64 - BUCKET_BITS).cast("int")).withColumn("_key", F.shiftleft("_key", BUCKET_BITS))
+    rows = sizes.withColumn("_key", order).withColumn("_bucket", F.shiftrightunsigned("_key", 64 - bits).cast("int")).withColumn("_key", F.shiftleft("_key", bits))
     sums = rows.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     offsets = sums.select("source", "_bucket", (F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_sum")).alias("_offset"))
     inner = Window.partitionBy("source", "_bucket").orderBy(F.shiftrightunsigned("_key", 1), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = rows.withColumn("_within", F.sum("n_tokens").over(inner) - F.col("n_tokens"))
-    return within.join(F.broadcast(offsets), ["source", "_bucket"]).select("doc_id", "source", "n_tokens", (F.col("_offset") + F.col("_within")).alias("before"))
+    return sized_join(within, offsets, ["source", "_bucket"], "inner", 3 << bits).select("doc_id", "source", "n_tokens", (F.col("_offset") + F.col("_within")).alias("before"))
 
 
 def budgets(sizes: DataFrame, meta: dict) -> dict[str, dict]:
@@ -102,3 +105,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per profile and source, what must hold: usable documents, and how many are used too often or unevenly, and budgets missed (none)."""
+    sizes = cut(token_sizes(read(spark, sf_dir, "documents"), Tokenizer(spark, TOKENIZER)))
+    names = [r[0] for r in read(spark, sf_dir, "data_meta").select("meta_name").distinct().orderBy("meta_name").collect()]  # a fixed, small table
+    out = None
+    for name in names:
+        meta = profile(spark, sf_dir, name)
+        uses, plan = mix(sizes, meta)
+        per = uses.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("uses") > meta["max_repeats"]).alias("over_cap"), (F.max("uses") - F.min("uses") > 1).cast("bigint").alias("uneven"), F.sum(F.col("n_tokens") * F.col("uses")).alias("_got"), F.max("n_tokens").alias("_most"))
+        want = F.create_map(*[x for s, p in plan.items() for x in (F.lit(s), F.lit(min(p["budget"], int(meta["max_repeats"]) * p["have"])))])
+        one = per.select(F.lit(name).alias("profile"), "source", "documents", "over_cap", "uneven", (F.abs(F.col("_got") - want[F.col("source")]) * 2 > F.col("_most")).cast("bigint").alias("off_budget"))
+        out = one if out is None else out.unionByName(one)
+    return out

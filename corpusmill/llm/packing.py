@@ -160,3 +160,22 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = one.select(F.lit(name).alias("profile"), F.lit(capacity).alias("capacity"), "*", F.round(F.col("tokens") / (F.col("containers") * capacity), 6).alias("used_share"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For two profiles, what must hold: every text with a character is placed, and how many are lost, repeated or wrongly cut, and containers overfull (none)."""
+    texts = read(spark, sf_dir, "documents").filter("text is not null and text <> ''").select("doc_id")
+    out = None
+    for name in ("three_way", "short_blocks"):
+        placed, capacity = _packed(spark, sf_dir, name)
+        placed = cut(placed)
+        per = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.countDistinct("piece").alias("different"), F.sum("n_tokens").alias("size"), F.max("is_cut").alias("is_cut"))
+        needed = F.when(F.col("is_cut"), F.ceil((F.col("size") - F.col("pieces") * EOS) / (capacity - EOS))).otherwise(F.lit(1))
+        bad = F.col("is_cut") & (F.col("size") - (F.col("pieces") - 1) * EOS <= capacity) | (F.col("pieces") != needed)
+        one = texts.join(per, "doc_id", "left").agg(
+            F.count("*").alias("documents"), F.count_if(F.col("pieces").isNull()).alias("lost"), F.count_if(F.col("pieces") > F.col("different")).alias("repeated"), F.count_if(bad).alias("badly_cut")
+        )
+        full = placed.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("overfull"))
+        one = one.crossJoin(full).select(F.lit(name).alias("profile"), "documents", "lost", "repeated", "overfull", "badly_cut").filter("documents > 0")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out

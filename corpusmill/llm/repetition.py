@@ -124,3 +124,9 @@ def p1_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.avg("ratio"), 6).alias("mean_ratio"),
         )
     )
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, repeated words and their share of every record with a text, each once."""
+    rows = repetition(read(spark, sf_dir, "example").filter("example_id is not null and text is not null")).dropDuplicates(["example_id"])
+    return rows.select("example_id", "n_words", "repeated_words", F.round("share", 8).alias("share"))
