@@ -160,7 +160,7 @@ def _chunk_sql(texts: str, most: int = 8000, least: int = 500) -> str:
     ends = S.q(rf"([.!?]){S.WS}+")
     return f"""with recursive src as materialized ({texts}),
 parts as (select doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {S.strip('p')}), lambda p: p <> '')) as p, generate_subscripts(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {S.strip('p')}), lambda p: p <> ''), 1) as k from src where length(text) > {most}),
-cells as (select doc_id, k, length(p) > {most} as s, case when length(p) > {most} then string_split(regexp_replace(p, {ends}, '\1' || chr(1), 'g'), chr(1)) else [p] end as xs from parts),
+cells as (select doc_id, k, length(p) > {most} as s, case when length(p) > {most} then string_split(regexp_replace(p, {ends}, '\\1' || chr(1), 'g'), chr(1)) else [p] end as xs from parts),
 flat as (select doc_id, k, s, unnest(xs) as x, generate_subscripts(xs, 1) as j from cells),
 atoms as materialized (select doc_id, row_number() over (partition by doc_id order by k, j) as i, s and j = 1 as first, s and j > 1 as inner_s, x, length(x) + case when s then 0 else 2 end as size from flat),
 walk(doc_id, i, n, grp) as (select doc_id, i, size, 0 from atoms where i = 1 union all

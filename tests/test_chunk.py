@@ -1,10 +1,14 @@
 """Chunks by hand-worked cases and by what must hold of any; the queries compare them with SQL over whole tables."""
 
+import os
 import random
 import re
 
+import duckdb
+
 from pyspark.sql import functions as F
 
+from corpusmill import registry
 from corpusmill.operators.chunk import chunks
 
 
@@ -47,3 +51,15 @@ def test_properties(spark):
             at = bare.index("".join(p.split()), at) + len("".join(p.split()))
     whole = made(spark, texts, 60, 0)
     assert ["".join("".join(w).split()) for w in whole] == ["".join(t.split()) for t in texts]
+
+
+def test_long_texts_as_in_sql(spark, tmp_path):
+    r = random.Random(2)
+    sentence = lambda: "".join(r.choice("abcde ") for _ in range(r.randint(5, 400))) + r.choice((". ", "? ", "! ", ", "))
+    texts = ["".join(sentence() + r.choice(["", "", "", "\n\n", "\n"] if k % 3 else ["", "", "\n\n"] * 9) for _ in range(r.randint(20, 160))) for k in range(40)] + ["x" * 20_000, " ".join("word." for _ in range(4000))]
+    spark.createDataFrame([(i, i, t, None) for i, t in enumerate(texts)], "doc_id bigint, pos bigint, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((x.doc_id, x.chunk_idx, x.chunk) for x in registry.queries()["chunk_text"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{os.path.join(tmp_path, 'documents.parquet')}/*.parquet'")
+    rel = db.sql(registry.oracle_sql()["chunk_text"])
+    assert got == sorted(rel.fetchall()) and sum(len(t) > 8000 for t in texts) > 20
