@@ -20,6 +20,8 @@ RUN = 5
 MAX_SHARE = 0.30
 CHUNK_BYTES = 2048
 LEVEL = 3
+FAR_BYTES, FAR_WINDOW = 1 << 20, 27
+"""From this size on, repeats are looked for across 2 ** FAR_WINDOW bytes by long-distance matching."""
 #: (bytes below which it holds, whole ratio up to which a text is in the repetitive band). Natural prose compresses less
 #: and less for shorter texts, so the limits rise; under 512 bytes the ratio says nothing and every text is in the band.
 WHOLE_LIMITS = ((512, 9.0), (1024, 0.52), (2048, 0.50), (4096, 0.45), (8192, 0.40), (1 << 62, 0.36))
@@ -38,7 +40,8 @@ def ratios(words: list[str], packer: zstandard.ZstdCompressor) -> tuple[int, flo
     data = " ".join(words).encode("utf-8", "replace")
     if not data:
         return 0, 0.0, 1.0
-    whole = len(packer.compress(data)) / len(data)
+    far = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=FAR_WINDOW, enable_ldm=True)) if len(data) >= FAR_BYTES else packer
+    whole = len(far.compress(data)) / len(data)
     least = whole if len(data) <= 2 * CHUNK_BYTES else min(
         len(packer.compress(data[at : at + CHUNK_BYTES])) / CHUNK_BYTES for at in range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES)
     )

@@ -66,6 +66,35 @@ def test_repeated_words_of_any_vocabulary(spark):
     assert rows[0].share == 0.5 and rows[1].share > 0.49 and rows[2].repeated_words == 0
 
 
+def test_repetition_of_any_length(spark):
+    """Texts of 1 KB to 10 MB, of rich and poor vocabularies, with shares about the limit: all above it are found, no other."""
+    r = random.Random(8)
+    texts, want = [], []
+    for size in (150, 600, 2000, 7000, 22_000, 70_000, 600_000, 1_500_000):
+        for words in (60_000, 3000):
+            for share in (0.25, 0.31, 0.35, 0.6):
+                fresh = [f"w{r.randrange(words)}" for _ in range(size)]
+                again = int(size * share / 2) if size > 500_000 else int(size * share)
+                again -= again % 10
+                at = r.randrange(size - again)
+                text = fresh[: size - again] + (fresh[at : at + again] if size > 500_000 else [w for k in range(again // 10) for w in fresh[10 * k : 10 * k + 10]])
+                if size <= 70_000 or (words == 60_000 and share in (0.25, 0.6)):
+                    texts.append(" ".join(text))
+                    seen, mark = set(), bytearray(len(text))
+                    for i in range(len(text) - 4):
+                        run = tuple(text[i : i + 5])
+                        if run in seen:
+                            mark[i : i + 5] = b"\1" * 5
+                        seen.add(run)
+                    want.append(sum(mark) / len(text) > 0.30)
+    texts.append(" ".join(f"w{r.randrange(60_000)}" for _ in range(700_000)))
+    texts[-1] += " " + texts[-1]  # a passage of 4 MB said twice
+    want.append(True)
+    rows = {x.example_id: x for x in repetition.repetition(spark.createDataFrame(list(enumerate(texts)), "example_id bigint, text string")).collect()}
+    assert [rows[i].is_repetitive for i in range(len(texts))] == want and 0 < sum(want) < len(want)
+    assert max(map(len, texts)) > 9_000_000 and rows[len(texts) - 1].ratio < 0.3  # far repeats show in the ratio too
+
+
 @pytest.mark.parametrize("hot", [2000, 2])
 def test_near_copies(spark, hot):
     """Also with nearly all members hot, so that pairs come by ranges of size and salts."""
