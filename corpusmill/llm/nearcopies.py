@@ -48,7 +48,7 @@ def least_agreements(t: float, tolerance: float, hashes: int = HASHES, step: int
 
 
 def _minhash(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """16 bits of the least of each random function of the members."""
+    """8 bits of the least of each random function of the members: unequal ones agree by chance in 1 of 256, which only keeps pairs."""
     x = (members >> np.uint64(32)).astype(np.uint32)
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
@@ -56,7 +56,7 @@ def _minhash(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         low = np.minimum(low, h.min(axis=1))
-    return (low ^ (low >> np.uint32(16))).astype(np.uint16).view(np.int16)
+    return (low ^ (low >> np.uint32(16)) ^ (low >> np.uint32(8))).astype(np.uint8).view(np.int8)
 
 
 def describe(records: DataFrame, counts: np.ndarray, t: float, hot: int = HOT_ROWS) -> DataFrame:
@@ -84,11 +84,11 @@ def describe(records: DataFrame, counts: np.ndarray, t: float, hot: int = HOT_RO
                     rows.append((keys[i], class_key(m), len(m), _minhash(m, a, b), signed(first), np.where(heat > 0, heat + 1, 0) if heat.any() else None))
                 ids, cls, n, sketch, prefix, parts = zip(*rows) if rows else ((), (), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(list(sketch), pa.list_(pa.int16())), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(list(parts), pa.list_(pa.int32()))],
+                    [pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(list(sketch), pa.list_(pa.int8())), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(list(parts), pa.list_(pa.int32()))],
                     ["example_id", "cls", "n", "sketch", "prefix", "parts"],
                 )
 
-    return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, sketch array<smallint>, prefix array<bigint>, parts array<int>")
+    return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, sketch array<tinyint>, prefix array<bigint>, parts array<int>")
 
 
 def candidates(classes: DataFrame, t: float) -> DataFrame:
