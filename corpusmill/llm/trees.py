@@ -15,6 +15,8 @@ class Tree:
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Tree:
         """Split greedily up to ``depth`` levels, keeping a weight of at least ``least`` in a leaf."""
         self.nodes = []
+        self.flags = np.flatnonzero(((x == 0) | (x == 1)).all(axis=0))
+        self.others = np.setdiff1d(np.arange(x.shape[1]), self.flags)
         self._grow(x, y, np.ones(len(y)) if w is None else w, 0)
         return self
 
@@ -27,7 +29,16 @@ class Tree:
             return me
         best, pick = 1e-9, None
         base = (w * y).sum() ** 2 / total
-        for f in range(x.shape[1]):
+        if len(self.flags):  # features that are 0 or 1 need no sorting
+            on = x[:, self.flags]
+            right, right_sum = w @ on, (w * y) @ on
+            left, left_sum = total - right, (w * y).sum() - right_sum
+            gain = left_sum**2 / np.maximum(left, 1e-12) + right_sum**2 / np.maximum(right, 1e-12) - base
+            gain[(left < self.least) | (right < self.least) | (right == 0) | (left == 0)] = -1
+            k = int(np.argmax(gain))
+            if gain[k] > best:
+                best, pick = gain[k], (int(self.flags[k]), 0.5)
+        for f in self.others.tolist():
             order = np.argsort(x[:, f], kind="stable")
             v, a, b = x[order, f], np.cumsum(w[order]), np.cumsum((w * y)[order])
             cut = np.flatnonzero(v[1:] > v[:-1])
