@@ -1,8 +1,8 @@
 """Problem 6: the same or near-same records across splits, by similarity-hash bit fingerprints.
 
 1. A passage is a window of six consecutive words; its fingerprint is the similarity hash of its five word pairs: each of
-   64 bits is what most of their hashes have there. Texts of fewer words than a passage has are fingerprinted by their
-   three-word windows, of each word with its place.
+   64 bits is what most of their hashes have there. Texts that a text of fewer words than a passage could hold are fingerprinted by
+   their three-word windows, of each word with its place.
 2. A code is split into ``RADIUS + 1`` segments; codes within the Hamming radius share a whole segment, so a join on
    (tier, segment number, segment) with a check of the distance finds all of them. A train code that a validation text has
    as it is (distance 0) is joined whole instead, by one row in place of one for each segment.
@@ -58,9 +58,18 @@ def needed(n: int) -> int:
 
 
 def posted_passages(passages: int, shingles: int, t: float) -> int:
-    """How many of a validation text's passages are posted: those that a copy may lack, and ``needed`` more."""
+    """How many of a validation text's passages are posted: those that a copy may lack, and ``needed`` more.
+
+    A copy may lack the passages of ``lost`` shingles, and those that a text has only because it repeats shingles.
+    """
     lost = shingles - int(np.ceil(t * shingles - 1e-9))
-    return min(passages, -(-CUT * lost // (K - 1)) + needed(passages))
+    again = max(0, passages - max(0, shingles - (WORDS - K)))
+    return min(passages, again + -(-CUT * lost // (K - 1)) + needed(passages))
+
+
+def is_short(words: int, shingles: int, t: float) -> bool:
+    """Whether a validation text is fingerprinted by three-word windows: a text shorter than a passage could hold it."""
+    return words < WORDS or t * shingles <= WORDS - K
 
 
 def majority(words: np.ndarray, width: int) -> np.ndarray:
@@ -148,7 +157,7 @@ def rarest_passages(codes: np.ndarray, shingles: np.ndarray, counts: np.ndarray,
 def held_out_codes(records: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
     """(example_id, cls, n, least, tier, codes): validation ``records`` with a shingle and their rarest passages' codes.
 
-    ``least`` is how many codes a train text must share; ``tier`` is 1 for the texts that are shorter than a passage.
+    ``least`` is how many codes a train text must share; ``tier`` is 1 for short texts.
     """
     held = records.sparkSession.sparkContext.broadcast(counts)
 
@@ -161,7 +170,7 @@ def held_out_codes(records: DataFrame, counts: np.ndarray, t: float) -> DataFram
                 flat, lens = word_codes(part.column("text").to_pylist(), known)
                 for i, w, r in split_docs(flat, lens, K):
                     members = np.unique(r)
-                    if len(w) >= WORDS:
+                    if not is_short(len(w), len(members), t):
                         codes = passages(w)
                         there = len(np.unique(codes))
                         rows.append((ids[i], class_key(members), len(members), needed(there), 0, signed(rarest_passages(codes, r, seen, posted_passages(there, len(members), t)))))

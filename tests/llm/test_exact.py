@@ -158,6 +158,17 @@ def test_splits(spark, hot):
     assert hits > 10
 
 
+def test_splits_of_periodic_and_short_texts(spark):
+    val = ["p q r s " * 3, "z " * 9, "one two three " * 40, "a b c", "a b c d e", "x y x y x y x y", "k l m n o k l m n o k l m", "the red cat sat. " * 5 + "the dog ran off."]
+    train = ["p q r s p q", "z z z", "one two three one two", "a b c", "x a b c d e y", "x y x y", "k l m n o k l", "the red cat sat the red", "so the red cat sat the red cat the dog ran off sat the dog", "q r s p q r s"]
+    rows = [(i, 0, x) for i, x in enumerate(val)] + [(100 + i, 1, x) for i, x in enumerate(train)]
+    phases = spark.createDataFrame([(0, "val"), (1, "train")], "run_id bigint, phase string")
+    v, r, links = splits.split_links(spark.createDataFrame(rows, "example_id bigint, run_id bigint, text string"), phases, 0.8)
+    got = {(a.example_id, b.example_id) for a, b, c in ((a, b, c) for c in links.collect() for a in v.collect() for b in r.collect() if a.cls == c.cls_v and b.cls == c.cls_r)}
+    want = {(i, 100 + j) for i, x in enumerate(val) for j, y in enumerate(train) if len(sets(x) & sets(y)) / len(sets(x)) >= 0.8}
+    assert got == want and len(want) >= 8
+
+
 def test_majority():
     r = np.random.default_rng(1)
     w = r.integers(0, 1 << 63, 40, np.uint64)
