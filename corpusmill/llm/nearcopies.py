@@ -30,6 +30,8 @@ K = 3
 HASHES = 64
 STEP = 16
 TOLERANCE = 1e-7
+POSTED_PER_TASK = 500_000
+"""Posted members that one task joins, so that its share doesn't grow with the data."""
 
 
 def least_agreements(t: float, tolerance: float, hashes: int = HASHES, step: int = STEP) -> dict[int, int]:
@@ -104,7 +106,9 @@ def candidates(classes: DataFrame, t: float) -> DataFrame:
         & ((F.col("at_small") <= F.col("n_small") - F.ceil(2 * t / (1 + t) * F.col("n_small") - 1e-9)) | (F.col("n_big") < 0))  # on both sides, or it would be pushed below one and they'd no longer share a shuffle
         & (F.least(F.col("n_big") - F.col("at_big"), F.col("n_small") - F.col("at_small")) >= t / (1 + t) * (F.col("n_big") + F.col("n_small")) - 1e-9)
     )
-    cold = posted.filter("parts = 0").drop("parts")
+    rows = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, rows // POSTED_PER_TASK + 1)
+    cold = posted.filter("parts = 0").drop("parts").repartition(tasks, "token")
     pairs = side(cold, "big").join(side(cold, "small"), "token").filter(fits)
     warm = posted.filter("parts > 0")
     span = F.floor(F.log(F.col("n").cast("double")) / -np.log(t)).cast("int")  # sizes in a range differ by a factor of T at most
