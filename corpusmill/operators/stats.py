@@ -13,10 +13,11 @@ def filter_stats(verdicts: DataFrame) -> DataFrame:
 
 
 def filter_report(verdicts: DataFrame) -> DataFrame:
-    """(source, reason, n, percent) of the rejected rows; percent of all rows of the source."""
+    """(source, reason, n, percent, place) of the rejected rows; percent of all rows of the source, place by number of rows, ties by reason."""
     counted = verdicts.groupBy("source", "reason").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("source"))
-    return counted.withColumn("percent", F.round(100.0 * F.col("n") / total, 4)).filter("reason <> ''")
+    order = Window.partitionBy("source").orderBy(F.desc("n"), "reason")  # a row for each rule
+    return counted.withColumn("percent", F.round(100.0 * F.col("n") / total, 4)).filter("reason <> ''").withColumn("place", F.row_number().over(order))
 
 
 def char_histogram(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -81,7 +81,7 @@ _GLOBAL_SQL = f"(select source, {filters.reason_sql('text', filters.GLOBAL)} as
 _add("filter_stats", lambda s, d: stats.filter_stats(_global(s, d)), f"select source, count(*) as total, count_if(reason = '') as passed, count(*) - count_if(reason = '') as rejected, round(count_if(reason = '')::double / count(*), 6) as pass_rate from {_GLOBAL_SQL} group by source")
 _add(
     "filter_report", lambda s, d: stats.filter_report(_global(s, d)),
-    f"select source, reason, n, percent from (select source, reason, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (partition by source), 4) as percent from {_GLOBAL_SQL} group by source, reason) where reason <> ''",
+    f"select source, reason, n, percent, row_number() over (partition by source order by n desc, reason)::int as place from (select source, reason, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (partition by source), 4) as percent from {_GLOBAL_SQL} group by source, reason) where reason <> ''",
 )
 _add("stream_stats", incremental.run_stats, f"select source, reason, count(*) as n from {_GLOBAL_SQL} group by all")
 _add("stream_first_seen", incremental.run_first_seen, f"select distinct md5({S.dedup_key('text')}) as key from {DOCS}")
@@ -427,6 +427,15 @@ def _last_states(s: SparkSession, d: str) -> DataFrame:
 _add("last_checkpoint", lambda s, d: _last_states(s, d), f"select run_id, checkpoint_id, tokens_written, docs_processed, elapsed_seconds from {_LAST}")
 
 
+def _times(s: SparkSession, d: str) -> DataFrame:
+    """When each state was saved, as its file says it."""
+    rows = readers.table(s, d, "checkpoints").select("checkpoint_id", "saved_at").filter("saved_at is not null").distinct()
+    return rows.select("checkpoint_id", F.date_format("saved_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+
+
+_add("state_times", _times, "select distinct checkpoint_id, strftime(saved_at, '%Y-%m-%dT%H:%M:%SZ') as timestamp from checkpoints where saved_at is not null")
+
+
 def _budget(s: SparkSession, d: str) -> DataFrame:
     speed = F.try_divide(F.col("tokens_written").cast("double"), F.col("elapsed_seconds"))
     cost, fits, steps = stats.steps_within_budget(F.lit(2e9), F.col("tps"), F.lit(0.35), F.lit(100.0), F.lit(262144.0))
