@@ -30,7 +30,7 @@ K = 3
 HASHES = 64
 STEP = 16
 TOLERANCE = 1e-7
-POSTED_PER_TASK = 500_000
+POSTED_PER_TASK = 250_000
 """Posted members that one task joins, so that its share doesn't grow with the data."""
 
 
@@ -107,8 +107,7 @@ def candidates(classes: DataFrame, t: float) -> DataFrame:
         & (F.least(F.col("n_big") - F.col("at_big"), F.col("n_small") - F.col("at_small")) >= t / (1 + t) * (F.col("n_big") + F.col("n_small")) - 1e-9)
     )
     rows = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, rows // POSTED_PER_TASK + 1)
-    cold = posted.filter("parts = 0").drop("parts").repartition(tasks, "token")
+    cold = posted.filter("parts = 0").drop("parts").repartition(rows // POSTED_PER_TASK + 1, "token")
     pairs = side(cold, "big").join(side(cold, "small"), "token").filter(fits)
     warm = posted.filter("parts > 0")
     span = F.floor(F.log(F.col("n").cast("double")) / -np.log(t)).cast("int")  # sizes in a range differ by a factor of T at most
