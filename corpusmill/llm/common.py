@@ -17,8 +17,8 @@ from ..durable import cut
 WORD = re.compile(r"[^\W_]+")
 """A word: a maximal run of letters or digits; apply it to lower-cased text."""
 
-BROADCAST_ROWS = int(os.environ.get("CORPUSMILL_BROADCAST_ROWS", 500_000))
-"""A side of up to this many rows of ids (about 32 MB in an executor's hash table) may be broadcast; a larger one is shuffled."""
+BROADCAST_ROWS = int(os.environ.get("CORPUSMILL_BROADCAST_ROWS", 100_000))
+"""A side of up to this many rows of ids (about 7 MB in an executor's hash table) may be broadcast; a larger one is shuffled."""
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -37,7 +37,7 @@ CUT = WORDS - 1
 """Passages that a cut between two words runs through, where it runs through two shingles."""
 RADIUS = 1
 PASSAGES_PER_MATCH = 16
-BITS_PER_KEY, PROBES = 16, 2
+BITS_PER_KEY, PROBES = 8, 2
 BITMAP_BITS = (22, 30)
 """log2 of the least and the greatest size of the bitmap in bits; between them it follows the number of keys."""
 COUNTER_BITS = 20
