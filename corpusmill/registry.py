@@ -277,7 +277,10 @@ def _sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(s: SparkSession, d: str) -> DataFrame:
-    return tokens.pack(_ids(s, d, "pos"), "pos", sizes=_sizes(s, d))
+    """Texts with their places, ordered by sizes alone; ids are made after the join, which so moves texts and not arrays."""
+    placed = order.running(_sizes(s, d), ["pos"], {"start": "n_tokens"})
+    rows = order.joined_back(_chars(s, d, "pos").select("pos", "text"), placed, ["pos"])
+    return tokens.code_points(rows, "text").withColumn("packed", F.concat("ids", F.array(F.lit(2)))).drop("ids")
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
