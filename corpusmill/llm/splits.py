@@ -6,9 +6,11 @@
 2. A code is split into ``RADIUS + 1`` segments; codes within the Hamming radius share a whole segment, so a join on
    (tier, segment number, segment) with a check of the distance finds all of them. A train code that a validation text has
    as it is (distance 0) is joined whole instead, by one row in place of one for each segment.
-3. Train texts have the codes of all their passages. Validation texts have those of their rarest passages, so many that an
-   edited copy cannot miss them: an inserted, removed, changed or moved word costs a text at least two of its three-word
-   shingles for every ``CUT`` passages, and a copy lacks at most a share of 1 - T of the shingles (``posted_passages``).
+3. Train texts have the codes of all their passages. Validation texts have those of some passages that have no word in
+   common, the rarest of them, so many that an edited copy cannot miss them: whatever breaks one of them costs a text two
+   three-word shingles that are in no other, and a copy lacks at most a share of 1 - T of the shingles (``apart``). Texts
+   that repeat themselves too much for it have the codes of their rarest passages, where two shingles are lost for every
+   ``CUT`` passages (``posted_passages``).
 4. Train codes are dropped early by a bitmap of the codes and segments that validation texts have, and validation codes by
    one of those that train texts kept. A bitmap has up to 128 MB and no false negatives; when it fills up, more rows are
    shuffled and the result is the same.
@@ -18,6 +20,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,10 @@ CUT = WORDS - 1
 """Passages that a cut between two words runs through, where it runs through two shingles."""
 RADIUS = 1
 PASSAGES_PER_MATCH = 16
-BITS_PER_KEY, PROBES = 16, 2
+APART_PER_MATCH = 8
+APART_SPARE = 4
+"""Passages apart that a text must have beyond those that a copy may lack, so that its commonest ones need not be posted."""
+BITS_PER_KEY, PROBES = 16, 4
 BITMAP_BITS = (22, 30)
 """log2 of the least and the greatest size of the bitmap in bits; between them it follows the number of keys."""
 COUNTER_BITS = 20
@@ -45,6 +51,13 @@ COUNTER_BITS = 20
 BLOCKS = 64
 
 
+class Bitmap(NamedTuple):
+    """The bits of a set of keys, and how many of them each key has; keys of short texts have twice as many."""
+
+    bits: np.ndarray
+    probes: int
+
+
 def run_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, phase) of each run: ``val`` or ``train``, whatever the spelling; runs without a usable phase are absent."""
     said = F.lower(F.regexp_replace("phase", r"[^A-Za-z]", ""))
@@ -67,6 +80,20 @@ def posted_passages(passages: int, shingles: int, t: float) -> int:
     return min(passages, again + -(-CUT * lost // (K - 1)) + needed(passages))
 
 
+def apart(shingles: np.ndarray) -> np.ndarray:
+    """First words of passages without a common word, of which an edited copy lacks at most one for every two lost shingles.
+
+    Whatever parts two words of a passage parts the two shingles that run through both. Only passages count whose shingles,
+    and the one before and after them, the text has once: then no other place keeps them, and no other passage counts them.
+    """
+    _, which, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    near = WORDS - K + 3  # shingles that run through two words of a passage
+    if len(shingles) < near:
+        return np.empty(0, np.int64)
+    clean = 1 + np.flatnonzero(np.lib.stride_tricks.sliding_window_view(times[which], near).max(axis=1) == 1)
+    return clean[clean % WORDS == np.bincount(clean % WORDS, minlength=WORDS).argmax()]
+
+
 def is_short(words: int, shingles: int, t: float) -> bool:
     """Whether a validation text is fingerprinted by three-word windows: a text shorter than a passage could hold it."""
     return words < WORDS or t * shingles <= WORDS - K
@@ -101,39 +128,54 @@ def _tag(tier: int, part: int) -> np.uint64:
     return np.uint64((tier * 8 + part) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
+def _marked(keys: np.ndarray, tier: int, whole: int) -> np.ndarray:
+    return keys & ~np.uint64(3) | np.uint64(2 * tier + whole)
+
+
 def whole_keys(codes: np.ndarray, tier: int) -> np.ndarray:
-    """A key of each code as it is; its lowest bit is set."""
-    return mix(codes ^ _tag(tier, 0)) | np.uint64(1)
+    """A key of each code as it is; its lowest bit is set, the next one is the tier."""
+    return _marked(mix(codes ^ _tag(tier, 0)), tier, 1)
 
 
 def segments(codes: np.ndarray, tier: int, radius: int) -> np.ndarray:
-    """Keys of the segments of codes, scrambled together with tier and segment number, one row a segment; lowest bit clear."""
+    """Keys of the segments of codes, scrambled together with tier and segment number, one row a segment; lowest bit clear, the next one is the tier."""
     parts, width = radius + 1, 64 // (radius + 1)
     low = np.uint64((1 << width) - 1 if width < 64 else 0xFFFFFFFFFFFFFFFF)
-    return np.stack([mix((codes >> np.uint64(s * width) & low) ^ _tag(tier, s + 1)) & ~np.uint64(1) for s in range(parts)])
+    return np.stack([_marked(mix((codes >> np.uint64(s * width) & low) ^ _tag(tier, s + 1)), tier, 0) for s in range(parts)])
+
 
+def slot(keys: np.ndarray, probe: int, size: int) -> np.ndarray:
+    """The ``probe``-th bit of a bitmap of ``size`` bits that a key has."""
+    return ((keys >> np.uint64(2)) + np.uint64(probe) * (keys >> np.uint64(33) | np.uint64(1))) & np.uint64(size - 1)
 
-def slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
-    """The bits of a bitmap of ``size`` bits that a key has."""
-    return [(keys >> np.uint64(1 + 31 * p)) & np.uint64(size - 1) for p in range(PROBES)]
 
+def slots(keys: np.ndarray, size: int, probes: int) -> np.ndarray:
+    """All bits of a bitmap of ``size`` bits that some keys have."""
+    short = keys[keys & np.uint64(2) != 0]
+    return np.concatenate([slot(keys if p < probes else short, p, size) for p in range(2 * probes)])
 
-def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether a bitmap may hold each key."""
-    out = np.ones(keys.shape, bool)
-    for slot in slots(keys, 8 * len(bits)):
-        out &= bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
-    return out
 
+def may_hold(bitmap: Bitmap, keys: np.ndarray, tier: int) -> np.ndarray:
+    """Whether a bitmap may hold each key; a bit is looked up only for keys that have those before it."""
+    flat = keys.reshape(-1)
+    at = None
+    for p in range(bitmap.probes * (1 + tier)):
+        where = slot(flat if at is None else flat[at], p, 8 * len(bitmap.bits))
+        hit = np.flatnonzero(bitmap.bits[(where >> np.uint64(3)).astype(np.int64)] >> (where & np.uint64(7)).astype(np.uint8) & 1)
+        at = hit if at is None else at[hit]
+    out = np.zeros(len(flat), bool)
+    out[at] = True
+    return out.reshape(keys.shape)
 
-def kept(codes: np.ndarray, tier: int, radius: int, bits: np.ndarray | None, near: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def kept(codes: np.ndarray, tier: int, radius: int, bits: Bitmap | None, near: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, codes, places) that a bitmap may hold (all without one): whole ones, and segments, with the places of their codes.
 
     If ``near`` is false, a code that is there whole, as are all of its segments, has no rows for segments.
     """
     whole, parts = whole_keys(codes, tier), segments(codes, tier, radius)
-    some = np.ones(parts.shape, bool) if bits is None else may_hold(bits, parts)
-    equal = np.ones(whole.shape, bool) if bits is None else may_hold(bits, whole)
+    some = np.ones(parts.shape, bool) if bits is None else may_hold(bits, parts, tier)
+    equal = np.ones(whole.shape, bool) if bits is None else may_hold(bits, whole, tier)
     if not near:
         equal &= some.all(axis=0)
         some &= ~equal
@@ -146,16 +188,29 @@ def passages(words: np.ndarray) -> np.ndarray:
     return majority(runs(words, 2), PAIRS)
 
 
-def rarest_passages(codes: np.ndarray, shingles: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
-    """The ``keep`` distinct codes whose rarest shingle is the rarest by the frequency sketch of the validation texts; ties by code."""
+def rarest_passages(codes: np.ndarray, shingles: np.ndarray, counts: np.ndarray, keep: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The ``keep`` distinct codes (of those ``at`` some places) whose rarest shingle is the rarest by the frequency sketch of the validation texts; ties by code."""
     seen = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]
     rare = np.lib.stride_tricks.sliding_window_view(seen, WORDS - K + 1).min(axis=1)
-    distinct, at = np.unique(codes, return_index=True)
-    return distinct[np.lexsort((mix(distinct), rare[at]))[:keep]]
+    if at is not None:
+        codes, rare = codes[at], rare[at]
+    distinct, first = np.unique(codes, return_index=True)
+    return distinct[np.lexsort((mix(distinct), rare[first]))[:keep]]
+
+
+def posted(codes: np.ndarray, shingles: np.ndarray, counts: np.ndarray, members: int, t: float) -> tuple[int, np.ndarray]:
+    """(least, codes): what a validation text with ``members`` distinct shingles posts, and how many of it a copy has at least."""
+    at = apart(shingles)
+    there, lacks = len(np.unique(codes[at])), (members - int(np.ceil(t * members - 1e-9))) // (K - 1)
+    if there >= lacks + APART_SPARE:
+        keep = min(there, lacks + max(1, there // APART_PER_MATCH))
+        return keep - lacks, rarest_passages(codes, shingles, counts, keep, at)
+    there = len(np.unique(codes))
+    return needed(there), rarest_passages(codes, shingles, counts, posted_passages(there, members, t))
 
 
 def held_out_codes(records: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """(example_id, cls, n, least, tier, codes): validation ``records`` with a shingle and their rarest passages' codes.
+    """(example_id, cls, n, least, tier, codes): validation ``records`` with a shingle and the codes that they post.
 
     ``least`` is how many codes a train text must share; ``tier`` is 1 for short texts.
     """
@@ -171,9 +226,8 @@ def held_out_codes(records: DataFrame, counts: np.ndarray, t: float) -> DataFram
                 for i, w, r in split_docs(flat, lens, K):
                     members = np.unique(r)
                     if not is_short(len(w), len(members), t):
-                        codes = passages(w)
-                        there = len(np.unique(codes))
-                        rows.append((ids[i], class_key(members), len(members), needed(there), 0, signed(rarest_passages(codes, r, seen, posted_passages(there, len(members), t)))))
+                        least, codes = posted(passages(w), r, seen, len(members), t)
+                        rows.append((ids[i], class_key(members), len(members), least, 0, signed(codes)))
                     else:
                         rows.append((ids[i], class_key(members), len(members), 1, 1, signed(np.unique(short_codes(w)))))
                 a, b, c, d, e, f = zip(*rows) if rows else ((), (), (), (), (), ())
@@ -185,7 +239,7 @@ def held_out_codes(records: DataFrame, counts: np.ndarray, t: float) -> DataFram
     return records.select("example_id", "text").mapInArrow(make, "example_id bigint, cls bigint, n int, least int, tier int, codes array<bigint>")
 
 
-def train_codes(records: DataFrame, bitmap: np.ndarray, radius: int = RADIUS) -> DataFrame:
+def train_codes(records: DataFrame, bitmap: Bitmap, radius: int = RADIUS) -> DataFrame:
     """(example_id, cls, n, keys, codes): train ``records`` with a shingle, and the keys of their passages that ``bitmap`` may hold.
 
     The code of a whole key says nothing new and is 0. The passages of a slice of records are made and tested at once.
@@ -227,10 +281,10 @@ def train_codes(records: DataFrame, bitmap: np.ndarray, radius: int = RADIUS) ->
 
 def _salts(keys: np.ndarray, counts: np.ndarray | None, hot: int) -> np.ndarray:
     """Over how many salts the rows of each key are spread."""
-    return np.ones(len(keys), np.int64) if counts is None else 1 + counts[(keys >> np.uint64(1)).astype(np.int64) & (len(counts) - 1)].astype(np.int64) // hot
+    return np.ones(len(keys), np.int64) if counts is None else 1 + counts[(keys >> np.uint64(2)).astype(np.int64) & (len(counts) - 1)].astype(np.int64) // hot
 
 
-def asked_rows(classes: DataFrame, bitmap: np.ndarray | None, counts: np.ndarray | None = None, radius: int = RADIUS, hot: int = HOT_ROWS) -> DataFrame:
+def asked_rows(classes: DataFrame, bitmap: Bitmap | None, counts: np.ndarray | None = None, radius: int = RADIUS, hot: int = HOT_ROWS) -> DataFrame:
     """(cls, n, least, key, salt, code): keys of the rows of ``held_out_codes`` that ``bitmap`` may hold, one row for each of a key's salts."""
     held = classes.sparkSession.sparkContext.broadcast((bitmap, counts))
 
@@ -279,23 +333,24 @@ def train_rows(classes: DataFrame, counts: np.ndarray, hot: int = HOT_ROWS) -> D
     return classes.select("cls", "n", "keys", "codes").mapInArrow(make, "cls bigint, n int, key bigint, salt int, code bigint")
 
 
-def key_summary(keys: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+def key_summary(keys: DataFrame, count: int) -> tuple[Bitmap, np.ndarray]:
     """(bitmap, counts) of all values of ``key``.
 
-    The bitmap has ``BITS_PER_KEY`` bits for each of ``count`` keys, within ``BITMAP_BITS``, ``PROBES`` of them set for each key.
-    Counters are shared by keys, so a count is an upper bound, up to 65,535. Tasks return places and counts in compressed
+    The bitmap has ``BITS_PER_KEY`` bits for each of ``count`` keys, within ``BITMAP_BITS``, ``PROBES`` of them set for each key,
+    fewer if that would fill it. Counters are shared by keys, so a count is an upper bound, up to 65,535. Tasks return places and counts in compressed
     blocks, which are merged by block.
     """
     wide = min(max((count * BITS_PER_KEY).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
     size, step, each = 1 << wide, (1 << wide) // BLOCKS, (1 << COUNTER_BITS) // BLOCKS
+    probes = min(max(round(np.log(2) * size / max(count, 1)), 1), PROBES)
     schema = "block int, body binary"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, some, total = zstandard.ZstdCompressor(level=1), [np.empty(0, np.uint64)], np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
             key = batch.column("key").to_numpy().view(np.uint64)
-            np.add.at(total, (key >> np.uint64(1)).astype(np.int64) & (len(total) - 1), np.uint32(1))
-            some.append(np.unique(np.concatenate(slots(key, size))).astype(np.uint64))
+            np.add.at(total, (key >> np.uint64(2)).astype(np.int64) & (len(total) - 1), np.uint32(1))
+            some.append(np.unique(slots(key, size, probes)))
             if sum(map(len, some)) > 4_000_000:
                 some = [np.unique(np.concatenate(some))]
         places = np.unique(np.concatenate(some))
@@ -326,7 +381,7 @@ def key_summary(keys: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
             bitmap[block] = np.frombuffer(data, np.uint8)
         else:
             counts[block - BLOCKS] = np.frombuffer(data, np.uint16)
-    return bitmap.reshape(-1), counts.reshape(-1)
+    return Bitmap(bitmap.reshape(-1), probes), counts.reshape(-1)
 
 
 def split_links(records: DataFrame, phases: DataFrame, t: float, radius: int = RADIUS, hot: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -169,6 +169,43 @@ def test_splits_of_periodic_and_short_texts(spark):
     assert got == want and len(want) >= 8
 
 
+def test_posted_passages_of_edited_copies():
+    """However a copy is edited, it has as many of the posted passages as are asked for; most texts post few."""
+    r, known, counts, hits, few = random.Random(11), WordCodes(), np.zeros(1 << 10, np.uint16), 0, 0
+    code = lambda words: splits.word_codes([" ".join(words)], known)[0]
+    for k in range(600):
+        base = [r.choice(VOCAB) for _ in range(r.randint(40, 300))]
+        if k % 5 == 0:
+            base[20:30] = base[:10] * r.randint(1, 3)  # repeats itself
+        copy, every, kind = [], r.randint(7, 16), r.randrange(4)
+        for i, w in enumerate(base):
+            cut = i % every == every // 2 if k % 2 else r.random() < 1 / every
+            copy += [[w, "new"], ["new"], [], ["new", w]][kind] if cut else [w]
+        if k % 3 == 0:
+            at = r.randrange(len(copy))
+            copy = ["before"] + copy[at:] + copy[:at]  # moved
+        x, y = sets(" ".join(base)), sets(" ".join(copy))
+        w = code(base)
+        least, codes = splits.posted(splits.passages(w), splits.runs(w, 3), counts, len(x), 0.8)
+        assert 1 <= least <= len(codes) and len(np.unique(codes)) == len(codes)
+        few += len(codes) <= len(base) / 6
+        if len(x & y) / len(x) >= 0.8:
+            hits += 1
+            assert len(np.intersect1d(codes, splits.passages(code(copy)))) >= least, (base, copy)
+    assert hits > 100 and few > 300
+
+
+def test_full_bitmap_lets_few_codes_through(spark, monkeypatch):
+    """With a bitmap of the greatest size, of 7 bits for a validation passage; no train text has any of them."""
+    monkeypatch.setattr(splits, "BITMAP_BITS", (12, 16))
+    r = random.Random(12)
+    side = lambda of, n: spark.createDataFrame([(i, " ".join(f"{of}{r.randrange(10**6)}" for _ in range(240))) for i in range(n)], "example_id bigint, text string")
+    val = splits.held_out_codes(side("v", 40), np.zeros(1 << 10, np.uint16), 0.8).cache()
+    bitmap, _ = splits.key_summary(splits.asked_rows(val, None), 3 * sum(len(x.codes) for x in val.collect()))
+    through = sum(len(x["keys"]) for x in splits.train_codes(side("t", 60), bitmap).collect())
+    assert through < 0.02 * 60 * 235
+
+
 def test_majority():
     r = np.random.default_rng(1)
     w = r.integers(0, 1 << 63, 40, np.uint64)
